@@ -189,7 +189,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     sample = fitting_sample(usable.select("text", F.col("lang").cast("string").alias("lang")), per_language)
     wide = sample.mapInPandas(featurise, "lang string, rank int, at array<int>, n array<int>")
-    fitted = wide.groupBy(F.lit(1)).applyInPandas(train, "lang string, at int, w double").collect()  # a bounded sample's model
+    fitted = wide.withColumn("model", F.lit(1)).groupBy("model").applyInPandas(train, "lang string, at int, w double").collect()  # a bounded sample's model
     langs = sorted({r.lang for r in fitted})
     weights, heat = np.zeros((DIMENSION + 1, len(langs))), 1.0
     for lang, at, w in fitted:

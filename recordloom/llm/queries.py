@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, langid, mixing, neardup, secrets
+from recordloom.llm import brown, decontam, langid, mixing, neardup, secrets, topk
 from recordloom.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, words = brown.fit(brown.training_rows(docs))
+    scored = brown.score(docs, model, words)
+    return scored.select("doc_id", langid.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -53,9 +65,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
+        "op9_top_k": op9_top_k,
+        "op10_class_lm": op10_class_lm,
     }
 
 
 #: DuckDB SQL, where SQL can express the result.
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle_sql()}
+    return {"op6_mixing": mixing.oracle_sql(), "op9_top_k": topk.ORACLE_SQL}
