@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import brown, decontam, langid, mixing, neardup, secrets, topk
+from recordloom.llm import brown, decontam, htmlwrap, langid, mixing, neardup, secrets, topk, toxicity
 from recordloom.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted", "matches")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlwrap.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -61,10 +71,12 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
+        "op8_main_text": op8_main_text,
         "op9_top_k": op9_top_k,
         "op10_class_lm": op10_class_lm,
     }
