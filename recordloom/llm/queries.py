@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import brown, decontam, htmlwrap, langid, mixing, neardup, secrets, topk, toxicity
+from recordloom.llm import brown, decontam, htmlwrap, langid, mixing, neardup, secrets, suffixdedup, topk, toxicity
 from recordloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlwrap.main_text(table(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_main_text": op8_main_text,
         "op9_top_k": op9_top_k,
         "op10_class_lm": op10_class_lm,
