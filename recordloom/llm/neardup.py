@@ -31,6 +31,7 @@ POOL = 1 << 16  # entries of the shared table of random draws
 LEVELS = 64  # steps of the logarithm of a weight that sampling tells apart
 BLOCK = 2000  # members of a bucket compared with its unconnected ones in one task
 HUB_CHUNK = 64  # texts verified against one copy of their hub's text
+BROADCAST_IDS = 1_000_000  # ids of involved documents up to which they travel to the tasks (8 MB)
 SLACK = 0.12  # below SIMILARITY, at which samples still call for verification: 2.4 standard errors
 SEED = 20240229
 
@@ -118,7 +119,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDTH) -> DataFrame:
-    """Per row with a text: ``doc_id, h1, h2`` (of the word sequence), ``bands`` and ``samples`` (32 bits of each)."""
+    """Per row with a text: ``doc_id, h1, h2`` (of the word sequence), ``bands`` and ``samples`` (one byte of each)."""
     idf = weights_of(frequency, n)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDT
                     for k in range(ROWS):
                         acc = tb.mix(acc + groups[:, k])
                     bands.append(acc.view(np.int64))
-                    samples.append((drawn >> np.uint64(32)).astype(np.uint32).tobytes())
+                    samples.append((drawn >> np.uint64(56)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id"),
@@ -171,6 +172,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / union if union else 1.0
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents in ``ids`` (distinct, column doc_id).
+
+    Few ids travel to the tasks that read the texts, so that other texts are not shuffled; many are joined.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """Of ``pairs`` (hub, member), those of weighted Jaccard similarity at least ``similarity``: ``a, b, similarity``.
 
@@ -182,8 +193,8 @@ def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, wid
     wanted = dealt.select(F.col("member").alias("doc_id"), "hub", "chunk", F.lit(1).alias("role")).unionByName(
         dealt.select(F.col("hub").alias("doc_id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    placed = texts.join(wanted, "doc_id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
+    wanted = materialize(wanted)
+    placed = texts_of(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, group, center = tb.spaced_words(), None, None
@@ -213,46 +224,65 @@ def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, wid
     return placed.select("hub", "chunk", "role", "doc_id", "text").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _unconnected_pairs(members: DataFrame, samples: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs across components inside one bucket, for the buckets that still hold several.
+def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, width: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` across components inside one bucket, for the buckets that still hold several.
 
     Members outside a bucket's main component (the one of its center) meet the whole bucket in blocks of
-    BLOCK members. Only pairs whose samples agree in a share of at least similarity - SLACK leave the task.
+    BLOCK members, with their texts. Pairs whose samples agree in a share of at least similarity - SLACK are
+    verified there; a task leaves out pairs whose components it has linked already, and only links leave it.
     """
+    idf = weights_of(frequency, n)
     stats = members.groupBy("band").agg(
         F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("central", "rep")).alias("main")
     )
-    open_ = members.join(stats.where("low <> high"), "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).join(samples, "rep")
-    whole = open_.select("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), "rep", "component", "samples")
-    odd = open_.where("component <> main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "rep", "component", "samples")
-    dealt = whole.unionByName(odd).repartition("band", "block").sortWithinPartitions("band", "block", "role", "rep")
+    open_ = materialize(members.join(stats.where("low <> high"), "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK)))
+    whole = open_.select("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), "rep", "component")
+    odd = open_.where("component <> main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "rep", "component")
+    ids = open_.select(F.col("rep").alias("doc_id")).distinct()
+    told = texts_of(docs, ids).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]).join(samples, "rep")
+    dealt = whole.unionByName(odd).join(told, "rep").repartition("band", "block").sortWithinPartitions("band", "block", "role", "rep")
     least = similarity - SLACK
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, odd_rows = None, []
-        for batch in batches:
-            bands, blocks = batch.column("band").to_pylist(), batch.column("block").to_pylist()
-            roles, reps = batch.column("role").to_pylist(), batch.column("rep").to_pylist()
-            comps, samples = batch.column("component").to_pylist(), batch.column("samples").to_pylist()
-            out, packed = set(), None
-            for i in range(len(batch)):
-                if group != (bands[i], blocks[i]):
-                    group, odd_rows, packed = (bands[i], blocks[i]), [], None
-                own = np.frombuffer(samples[i], np.uint32)
-                if roles[i] == 0:
-                    odd_rows.append((reps[i], comps[i], own))
-                    packed = None
-                elif odd_rows:
-                    if packed is None:
-                        packed = np.array([x[0] for x in odd_rows]), np.array([x[1] for x in odd_rows]), np.stack([x[2] for x in odd_rows])
-                    ids, parts, drawn = packed
-                    share = (drawn == own[None, :]).mean(axis=1)
-                    for k in np.flatnonzero((share >= least) & (parts != comps[i])):
-                        out.add((min(int(ids[k]), reps[i]), max(int(ids[k]), reps[i])))
-            out = sorted(out)
-            yield pa.RecordBatch.from_pydict({"hub": pa.array([x[0] for x in out], pa.int64()), "member": pa.array([x[1] for x in out], pa.int64())})
-
-    return dealt.mapInArrow(meet, "hub long, member long").distinct()
+        table, group = tb.spaced_words(), None
+        odd_rows: list[tuple] = []
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        packed = None
+        for large in batches:
+            for batch in tb.pieces(large):
+                _, _, found, runs = _shingle_runs(batch, width, table)
+                bands, blocks, roles, reps, comps, drawn = (batch.column(x).to_pylist() for x in ("band", "block", "role", "rep", "component", "samples"))
+                out = []
+                for i in range(len(batch)):
+                    if group != (bands[i], blocks[i]):
+                        group, packed = (bands[i], blocks[i]), None
+                        odd_rows, joined = [], {}
+                    own = np.frombuffer(drawn[i], np.uint8)
+                    bag = None
+                    if roles[i] == 0 or odd_rows:
+                        keys, counts = np.unique(found[runs[i] : runs[i + 1]], return_counts=True)
+                        bag = keys, counts * idf[(keys & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    if roles[i] == 0:
+                        odd_rows.append((reps[i], comps[i], own, bag))
+                        packed = None
+                    elif odd_rows:
+                        if packed is None:
+                            packed = np.stack([x[2] for x in odd_rows])
+                        share = (packed == own[None, :]).mean(axis=1)
+                        for k in np.flatnonzero(share >= least):
+                            other, comp, _, its_bag = odd_rows[k]
+                            if root(comp) != root(comps[i]) and weighted_jaccard(its_bag, bag) >= similarity:
+                                joined[root(comp)] = root(comps[i])
+                                out.append((other, reps[i]))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return dealt.select("band", "block", "role", "rep", "component", "samples", "text").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -280,8 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     links = materialize(verify(star.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("member")), docs, frequency, n, width, similarity).select("a", "b"))
     joined = connected_components(links)
     labelled = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = _unconnected_pairs(labelled, texts.select("rep", "samples"), similarity)
-    more = materialize(verify(materialize(rest), docs, frequency, n, width, similarity).select("a", "b"))
+    more = materialize(_links_of_unconnected(labelled, texts.select("rep", "samples"), docs, frequency, n, width, similarity))
     if not more.isEmpty():
         joined = connected_components(links.unionByName(more))
     classes = texts.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
