@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def sent_to_tasks(spark: SparkSession, value: Any) -> Broadcast:
+    """A value of bounded size for all tasks; the classes of this package travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> Any:
+    """In a task: what ``sent_to_tasks`` sent."""
+    return pickle.loads(shared.value)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and go on from there.
 

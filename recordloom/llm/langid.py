@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
+from recordloom.llm.common import received, sent_to_tasks
 
 DIMENSION = 1 << 15
 ORDERS = (1, 2, 3)
@@ -206,10 +207,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     The prediction comes from the whole text alone. A null text, or one without a letter, is ``und`` with score 0;
     so is every text if no labelled text could be learned from. Repeated rows get equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent_to_tasks(docs.sparkSession, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = received(shared)
         for whole in batches:
             for batch in tb.pieces(whole):
                 out = [known.predict(t) for t in batch.column("text").to_pylist()]
