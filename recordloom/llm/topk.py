@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import materialize
@@ -25,6 +25,7 @@ QUERY_BLOCK = 1024
 SHARD = 4096
 FAN_IN = 32
 SCALE = 256.0
+LARGEST = 1.7e308
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -36,7 +37,12 @@ def quantized(vectors: DataFrame) -> DataFrame:
     good = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     )
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(SCALE)).cast("double"))
+
+    def whole(x: Column) -> Column:
+        y = F.least(F.greatest(x.cast("double") * F.lit(SCALE), F.lit(-LARGEST)), F.lit(LARGEST))
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    v = F.transform("embedding", whole)
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), v.alias("v"))
 
 
@@ -85,7 +91,7 @@ def tile_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
             edge = np.partition(own, len(own) - k)[len(own) - k]
             allowed, own = allowed[own >= edge], own[own >= edge]
         order = sorted(range(len(own)), key=lambda i: (-own[i], c_ids[allowed[i]]))[:k]
-        yield int(query), c_ids[allowed[order]], [int(own[i]) for i in order]
+        yield int(query), c_ids[allowed[order]], [max(-(1 << 63), min((1 << 63) - 1, int(own[i]))) for i in order]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -93,7 +99,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both sides have columns ``vec_id, embedding``. Vectors of another dimension than the query's are no
     candidates, nor are rows of the query's own id; ties go to the smaller id, and repeated rows of one id count
-    once each. A score beyond the range of long raises an error. Empty tables give no rows.
+    once each. A score beyond the range of long counts as the end of that range. Empty tables give no rows.
     """
     blocks = _packed(quantized(queries).repartition(F.ceil(F.col("vec_id") / (QUERY_BLOCK * 50)).alias("part")), QUERY_BLOCK)
     blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
