@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import decontam, langid, mixing, neardup, secrets
-from recordloom.llm.common import table
+from recordloom.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language can't be told at all: no letter, or no language above this probability.
@@ -57,10 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``; each result is written to the shared folder and read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/recordloom-pipeline"
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
     return docs
