@@ -1,5 +1,6 @@
 """One local session for all tests."""
 
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -8,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = os.environ.get("RECORDLOOM_TEST_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
