@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -25,16 +26,27 @@ def received(shared: Broadcast) -> Any:
     return pickle.loads(shared.value)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests on one
+    machine, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or tempfile.mkdtemp(prefix="recordloom-")).rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: later readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a temporary folder is taken.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="recordloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
