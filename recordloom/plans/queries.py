@@ -775,4 +775,5 @@ def dense_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return folds.dense_numbers(requests, ["series"], ["c_custkey"], used)
 
 
-from recordloom.plans import tables as _decision_tables  # noqa: E402, F401  registers the decision tables
+from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
+from recordloom.plans import tables as _tables  # noqa: E402, F401  registers the decision tables
