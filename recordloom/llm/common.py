@@ -26,6 +26,18 @@ def received(shared: Broadcast) -> Any:
     return pickle.loads(shared.value)
 
 
+BROADCAST_IDS = 1_000_000  # ids up to which they travel to the tasks (8 MB)
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, how: str, name: str = "doc_id") -> DataFrame:
+    """Semi or anti join by an id: few ids travel to the tasks that read the rows, many are joined. In a semi join a
+    null id is an id like others; in an anti join it matches none."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    told = ids.select(F.col(name).alias("_id"))
+    same = F.col(name).eqNullSafe(F.col("_id")) if how == "left_semi" else F.col(name) == F.col("_id")
+    return rows.join(F.broadcast(told) if few else told, same, how)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests on one
     machine, a temporary one."""

@@ -1,17 +1,17 @@
 """Repeated byte strings of 100 bytes across all texts, by two-stage suffix sorting.
 
-What may repeat is found first: of every 100 bytes, the 40-byte gram of the least hash is an anchor (winnowing),
-so equal strings have an anchor at the same place. Anchors that occur once are dropped. The others bring their
-context, the 160 bytes in which any string around the anchor lies. Contexts equal throughout are settled by
-their order; the different contexts of an anchor are suffix-sorted together: only suffixes smaller than their
-successors are sorted directly, the rest are induced by bucket scans, and adjacent common prefixes of 100 bytes
-or more show the strings that occur elsewhere. Of these, all but the first in the order of (doc_id, start) are
-marked.
-
-Scale. Texts are shuffled once, by id, and read there three times (anchors, contexts, result). About one row for
-28 bytes leaves a task as four numbers; contexts leave only where an anchor has different ones. Suffix arrays
-are built for chunks of bounded size; an anchor with more than GROUP contexts is settled string by string in
-an aggregation instead.
+What may repeat is found first. Every string of 100 bytes has an anchor, its 40-byte gram of the least hash, and
+equal strings have equal anchors at the same place. Successive strings of one anchor form a context, the bytes
+that they cover together; contexts do not share strings. An anchor that occurs once is dropped. Equal contexts are
+settled by their order; the different contexts of an anchor are suffix-sorted together: only suffixes smaller than
+their successors are sorted directly, the rest are induced by bucket scans, and adjacent common prefixes of 100
+bytes or more show the strings that occur elsewhere. Of these, all but the first in the order of (doc_id, start)
+are marked.
+
+Scale. About one row for 28 bytes leaves a task as four numbers, and equal contexts of one batch leave as one
+candidate; texts are shuffled only to cut contexts of different bytes and to take out what is marked, and only
+those concerned. Suffix arrays are built for chunks of bounded size; an anchor with more than GROUP contexts is
+settled string by string in an aggregation instead.
 """
 
 from __future__ import annotations
@@ -21,32 +21,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import materialize
+from recordloom.llm.common import of_ids, written
 
 LENGTH = 100  # bytes of a string that counts
 GRAM = 40  # bytes of an anchor
-REACH = LENGTH - GRAM  # bytes of context on either side
-CHUNK = 20_000  # contexts suffix-sorted together
-GROUP = 50_000  # contexts of one anchor up to which they are sorted in one chunk
+WINDOW = LENGTH - GRAM + 1  # grams of a string
+PIECE = 1 << 18  # bytes looked into at once; working arrays take about a hundred times as much
+CHUNK = 2000  # contexts suffix-sorted together
+GROUP = 5000  # contexts of one anchor up to which they are sorted in one chunk
 _ODD = 0x9E3779B97F4A7C15
 
 
-def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial sums of the bytes modulo 2^64, and the inverse powers that align them."""
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base modulo 2^64, and their inverses, for texts of up to ``n`` bytes."""
+    tables = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        table = np.full(n + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
+
+
+def prefix_hashes(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of the bytes modulo 2^64."""
     n = len(data)
-    powers = np.full(n + 1, _ODD, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    inverse = np.full(n + 1, pow(_ODD, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    return sums, inverse
+    return sums
 
 
 def span_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -54,26 +60,55 @@ def span_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: n
     return tb.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def anchors_of(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places whose hash is the least of some ``width`` successive ones."""
-    if len(grams) < width:
-        return np.zeros(0, np.int64)
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least, and of equal ones the first, of every ``width`` successive values."""
+    low, at, span = values, np.arange(len(values), dtype=np.int32), 1
+
+    def combine(shift: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        right = low[shift : shift + n] < low[:n]
+        place = at[:n].copy()
+        np.copyto(place, at[shift : shift + n], where=right)
+        return np.minimum(low[:n], low[shift : shift + n]), place
 
-    def slide(x: np.ndarray, pick) -> np.ndarray:
-        span = 1
-        while 2 * span <= width:
-            x = pick(x[:-span], x[span:])
-            span *= 2
-        return pick(x[: len(x) - (width - span)], x[width - span :])
+    while 2 * span <= width:
+        low, at = combine(span, len(low) - span)
+        span *= 2
+    if span < width:
+        low, at = combine(width - span, len(values) - width + 1)
+    return at
 
-    low = slide(grams, np.minimum)
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    return np.flatnonzero(grams == slide(padded, np.maximum))
 
+def contexts_of(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of texts (their bytes, and where each begins), in bounded blocks: text, anchor, first and last string, gram and context hash.
 
-def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    ``tables`` are power tables for PIECE + LENGTH bytes.
+    """
+    powers, inverse = tables
+    whose = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    for begin in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+        block = data[begin : begin + PIECE + LENGTH - 1]
+        if len(block) < LENGTH:
+            return
+        sums = prefix_hashes(block, powers)
+        grams = tb.mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(block) - GRAM + 1] + np.uint64(GRAM))
+        best = first_least(grams, WINDOW)
+        doc = whose[begin : begin + len(best)]
+        start = np.flatnonzero(doc == whose[begin + LENGTH - 1 : begin + LENGTH - 1 + len(best)])
+        doc, best = doc[start], best[start]
+        if not len(start):
+            continue
+        head = np.flatnonzero(heads(best, doc))
+        low, high, anchor, doc = start[head], start[np.append(head[1:], len(start)) - 1], best[head].astype(np.int64), doc[head]
+        # strings at other places of their anchor's context are other contexts
+        context = span_hashes(sums, inverse, low, high + LENGTH) ^ tb.mix((anchor - low).astype(np.uint64) + np.uint64(7))
+        offset = begin - at[doc]
+        yield doc, anchor + offset, low + offset, high + offset, grams[anchor], context
+
+
+def two_stage_suffix_array(text: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
     """Suffixes of a byte string that ends in 0, in the order of their first ``depth`` bytes at least.
 
+    ``words`` holds the eight bytes from each place on, up to ``depth`` places beyond the end (``words_at``).
     A suffix smaller than its successor is sorted directly, eight bytes a round. Scans of the buckets of first
     bytes, in ascending order, then induce the others: a suffix of the larger kind follows, in its bucket, in
     the order of its successor.
@@ -88,30 +123,25 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     smaller = kind[np.minimum(ahead, len(change) - 1)] > 0
     smaller[text == 0] = True
     direct = np.flatnonzero(smaller & (text != 0))
-    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
-    words = words_at(padded, n + depth + 8)
-    _, rank = np.unique(words, return_inverse=True)
-    group = rank[direct]
-    order = np.argsort(group, kind="stable")
-    direct, group = direct[order], group[order]
+    key = words[direct]
+    order = np.argsort(key, kind="stable")
+    direct, key = direct[order], key[order]
+    group = np.cumsum(heads(key))
+    tied = np.arange(len(direct))
     for shift in range(8, depth, 8):
-        new = np.ones(len(group), bool)
-        new[1:] = group[1:] != group[:-1]
-        group = np.cumsum(new) - 1
+        new = heads(group)
         alone = new.copy()
         alone[:-1] &= new[1:]
-        tied = np.flatnonzero(~alone)
+        tied = tied[~alone]  # places of the order that are still to be settled, whole groups of them
+        group = group[~alone]
         if not len(tied):
             break
-        key = group[tied] * np.int64(len(rank)) + rank[direct[tied] + shift]
-        at = np.argsort(key, kind="stable")
-        direct[tied] = direct[tied][at]
-        fresh = np.zeros(len(group), np.int64)
-        fresh[tied] = key[at] % np.int64(len(rank)) + 1
+        key = words[direct[tied] + shift]
+        at = np.lexsort((key, group))
+        direct[tied] = direct[tied[at]]
+        key = key[at]
         # a group splits where the next word differs
-        split = new.copy()
-        split[1:] |= (fresh[1:] != fresh[:-1]) & (group[1:] == group[:-1])
-        group = np.cumsum(split) - 1
+        group = np.cumsum(heads(group, key))
     zeros = np.flatnonzero(text == 0)
     by_byte = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -146,6 +176,15 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Whether each element begins a run of equal keys."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for key in keys:
+        out[1:] |= key[1:] != key[:-1]
+    return out
+
+
 def words_at(data: np.ndarray, n: int) -> np.ndarray:
     """The eight bytes from each of the first ``n`` places on, as big-endian integers."""
     out = np.zeros(n, np.uint64)
@@ -173,47 +212,69 @@ def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int)
     return out
 
 
+def wanted_parts(contexts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(context, start, end) of the part of each context that its strings found in another one, by hash, cover."""
+    digests, owners, places = [], [], []
+    powers, inverse = power_tables(sum(sorted(map(len, contexts))[-CHUNK:]))
+    for first in range(0, len(contexts), CHUNK):
+        part = contexts[first : first + CHUNK]
+        size = np.array([len(x) for x in part], np.int64)
+        begin = np.cumsum(size) - size
+        sums = prefix_hashes(np.frombuffer(b"".join(part), np.uint8), powers)
+        n = np.maximum(size - LENGTH + 1, 0)
+        owner = np.repeat(np.arange(len(part)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = begin[owner] + within
+        digests.append(span_hashes(sums, inverse, place, place + LENGTH))
+        owners.append((owner + first).astype(np.int32))
+        places.append(within.astype(np.int32))
+    digest, owner, place = (np.concatenate(x) for x in (digests, owners, places))
+    order = np.argsort(digest, kind="stable")
+    same = digest[order[1:]] == digest[order[:-1]]
+    found = np.zeros(len(digest), bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    owner, place = owner[found], place[found]  # in order of context and place
+    if not len(owner):
+        return []
+    head = np.flatnonzero(heads(owner))
+    tail = np.append(head[1:], len(owner)) - 1
+    return list(zip(owner[head].tolist(), place[head].tolist(), (place[tail] + LENGTH).tolist(), strict=True))
+
+
 def repeats(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
     """(id, start, end) of the strings of LENGTH bytes in ``contexts`` that another context holds earlier.
 
     ``starts`` is the place of each context's first byte in its text. Bytes are moved up by one so that 0 can
     end a context; no UTF-8 text has the byte 255.
     """
+    parts = wanted_parts(contexts)
+    if not parts:
+        return []
+    ids = ids[[x[0] for x in parts]]
+    starts = starts[[x[0] for x in parts]] + np.array([x[1] for x in parts], np.int64)
+    contexts = [contexts[i][a:b] for i, a, b in parts]
     size = np.array([len(x) for x in contexts], np.int64)
     first = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8) + np.uint8(1)
     owner = np.repeat(np.arange(len(contexts)), size + 1)
     left = first[owner] + size[owner] - np.arange(len(text))  # bytes from here to the context's end
-    # strings that may repeat, by hash; only their contexts are sorted
-    sums, inverse = prefix_hashes(text)
-    place = np.flatnonzero(left >= LENGTH)
-    digest = span_hashes(sums, inverse, place, place + LENGTH)
-    _, back, times = np.unique(digest, return_inverse=True, return_counts=True)
-    wanted = np.unique(owner[place[times[back] > 1]])
-    if not len(wanted):
-        return []
-    if len(wanted) < len(contexts):
-        return repeats([contexts[i] for i in wanted], ids[wanted], starts[wanted])
-    order = two_stage_suffix_array(text, LENGTH + 4)
-    order = order[left[order] >= LENGTH]
     words = words_at(np.concatenate([text, np.zeros(LENGTH + 16, np.uint8)]), len(text) + LENGTH + 8)
+    order = two_stage_suffix_array(text, LENGTH + 4, words)
+    order = order[left[order] >= LENGTH]
     same = common_prefixes(words, order[:-1], order[1:], LENGTH) >= LENGTH
     cls = np.concatenate([[0], np.cumsum(~same)])
     where = starts[owner[order]] + order - first[owner[order]]
     whose = ids[owner[order]]
     by = np.lexsort((where, whose, cls))
-    new = np.ones(len(by), bool)
-    new[1:] = cls[by[1:]] != cls[by[:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    head = np.maximum.accumulate(np.where(heads(cls[by]), np.arange(len(by)), 0))
     later = (whose[by] != whose[by[head]]) | (where[by] != where[by[head]])
     hit = by[later]
     if not len(hit):
         return []
     hit = hit[np.lexsort((where[hit], whose[hit]))]
     d, p = whose[hit], where[hit]
-    cut = np.ones(len(hit), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)
-    at = np.flatnonzero(cut)
+    at = np.flatnonzero(heads(d) | heads(p - np.arange(len(p))))
     last = np.append(at[1:], len(hit)) - 1
     return list(zip(d[at].tolist(), p[at].tolist(), (p[last] + LENGTH).tolist(), strict=True))
 
@@ -223,6 +284,42 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(names)})
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """``gram, context, id, place, again`` of every context of the texts; place packs anchor, first and last string.
+
+    Of equal contexts of one batch the first in order is a candidate; the others occur again for sure, whatever
+    other tasks hold. They get a key of their own in place of the gram, so that a frequent passage is no hot key.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = power_tables(PIECE + LENGTH)
+        for whole in batches:
+            for batch in tb.pieces(whole, size=PIECE):
+                data, at = tb.utf8(batch.column("text"))
+                ids = batch.column("id").to_numpy()
+                for doc, anchor, low, high, gram, context in contexts_of(data, at, tables):
+                    place, whose = (anchor << 12) | ((anchor - low) << 6) | (high - low), ids[doc]
+                    order = np.lexsort((place, whose, context, gram))
+                    gram, context, whose, place = (x[order] for x in (gram, context, whose, place))
+                    head = np.maximum.accumulate(np.where(heads(gram, context), np.arange(len(gram)), 0))
+                    again = (whose != whose[head]) | (place != place[head])
+                    gram[again] = tb.mix(gram[again] + tb.mix(whose[again].view(np.uint64)) + place[again].astype(np.uint64))
+                    yield pa.RecordBatch.from_pydict(
+                        {"gram": pa.array(gram.view(np.int64)), "context": pa.array(context.view(np.int64)), "id": pa.array(whose), "place": pa.array(place), "again": pa.array(again)}
+                    )
+
+    return rows.select("id", "text").mapInArrow(find, "gram long, context long, id long, place long, again boolean")
+
+
+def first_string() -> Column:
+    return F.shiftright("place", 12) - F.shiftright("place", 6).bitwiseAND(F.lit(63))
+
+
+def behind() -> Column:
+    """The byte behind a context."""
+    return first_string() + F.col("place").bitwiseAND(F.lit(63)) + LENGTH
+
+
 def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
 
@@ -233,69 +330,46 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    long = rows.where(F.octet_length("text") >= LENGTH)
     # a copy of a whole text loses everything, so only the first of the copies is looked into
-    digests = materialize(rows.where(F.octet_length("text") >= LENGTH).select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m")))
+    digests = written(long.select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m")))
     firsts = digests.groupBy("h", "m").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = materialize(digests.join(firsts, ["h", "m"]).where("id > first").select("id").distinct())
-    placed = rows.repartition("id")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in tb.pieces(whole):
-                data, at = tb.utf8(batch.column("text"))
-                ids = batch.column("id").to_pylist()
-                sums, inverse = prefix_hashes(data)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for d in range(len(batch)):
-                    low, high = int(at[d]), int(at[d + 1])
-                    if high - low < LENGTH:
-                        continue
-                    place = np.arange(low, high - GRAM + 1)
-                    grams = span_hashes(sums, inverse, place, place + GRAM)
-                    found = anchors_of(grams, REACH + 1)
-                    start, end = np.maximum(found - REACH, 0) + low, np.minimum(found + LENGTH + low, high)
-                    # contexts clipped at different places are different
-                    context = span_hashes(sums, inverse, start, end) ^ tb.mix((found + low - start).astype(np.uint64) + np.uint64(7))
-                    for into, values in zip(out, (grams[found], context, np.full(len(found), ids[d], np.int64), found), strict=True):
-                        into.append(values)
-                if out[0]:
-                    g, c, i, f = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_pydict(
-                        {"gram": pa.array(g.view(np.int64)), "context": pa.array(c.view(np.int64)), "id": pa.array(i), "at": pa.array(f, pa.int32())}
-                    )
-
-    alone = placed.join(copies, "id", "left_anti")
-    anchors = alone.select("id", "text").mapInArrow(find, "gram long, context long, id long, at int")
-    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "at")
+    copies = written(digests.join(firsts, ["h", "m"]).where("id > first").select("id").distinct())
+    anchors = candidates(of_ids(long, copies, "left_anti", "id"))
+    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "place")
     seen = anchors.repartition("gram").select(
         "*",
         F.row_number().over(by_context).alias("nth"),
-        F.first("id").over(by_context).alias("first_id"),
-        F.first("at").over(by_context).alias("first_at"),
-        F.min("context").over(by_gram).alias("low"),
-        F.max("context").over(by_gram).alias("high"),
+        F.first(F.struct("id", "place")).over(by_context).alias("first"),
+        (F.min("context").over(by_gram) < F.max("context").over(by_gram)).alias("open"),
         F.count("*").over(by_gram).alias("size"),
-    ).where("size > 1")
-    seen = materialize(seen.where("nth > 1 OR low <> high").withColumn("again", (F.col("nth") > 1) & ((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))))
-    whole_contexts = seen.where("again").select("id", F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("start"), (F.col("at") + LENGTH).cast("long").alias("end"))
-    open_ = seen.where("nth = 1 AND low <> high").groupBy("id").agg(F.collect_list(F.struct("at", "gram", "size")).alias("spots"))
+    )
+    later = F.col("again") | ((F.col("nth") > 1) & (F.struct("id", "place") != F.col("first")))
+    seen = seen.withColumn("again", later).where("again OR (nth = 1 AND open)")
+    seen = written(seen.select("id", "place", "again", F.when(~F.col("again"), F.col("gram")).alias("gram"), (~F.col("again") & (F.col("size") > group)).alias("large")))
+    whole_contexts = seen.where("again").select("id", first_string().alias("start"), behind().alias("end"))
+    unsettled = seen.where("NOT again")
+    spots = unsettled.groupBy("id").agg(F.collect_list(F.struct("gram", "large", first_string().alias("start"), behind().alias("end"))).alias("spots"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tb.pieces(whole):
-                out: list[tuple] = []
-                for text, i, spots in zip(batch.column("text").to_pylist(), batch.column("id").to_pylist(), batch.column("spots").to_pylist(), strict=True):
-                    raw = text.encode("utf-8")
-                    for spot in spots:
-                        start = max(spot["at"] - REACH, 0)
-                        out.append((spot["gram"], spot["size"] > group, i, start, raw[start : spot["at"] + LENGTH]))
-                for k in range(0, len(out), 20_000):
-                    part = out[k : k + 20_000]
-                    kinds = (("gram", pa.int64()), ("large", pa.bool_()), ("id", pa.int64()), ("start", pa.int64()), ("context", pa.binary()))
-                    yield pa.RecordBatch.from_pydict({name: pa.array([x[j] for x in part], kind) for j, (name, kind) in enumerate(kinds)})
-
-    contexts = placed.join(open_, "id").select("id", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, start long, context binary")
-    contexts = materialize(contexts) if seen.where(F.col("size") > group).limit(1).count() else contexts
+            for batch in tb.pieces(whole, size=PIECE):
+                data, at = tb.utf8(batch.column("text"))
+                raw, spots_ = data.tobytes(), batch.column("spots")
+                each, fields = pc.list_value_length(spots_).to_numpy(), spots_.flatten()
+                gram, large, low, high = (fields.field(x) for x in ("gram", "large", "start", "end"))
+                doc = np.repeat(np.arange(len(batch)), each)
+                start, end = (at[doc] + x.to_numpy() for x in (low, high))
+                for k in range(0, len(doc), 4096):
+                    some = slice(k, k + 4096)
+                    context = pa.array([raw[i:j] for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)], pa.binary())
+                    ids = batch.column("id").take(pa.array(doc[some]))
+                    yield pa.RecordBatch.from_pydict({"gram": gram[some], "large": large[some], "id": ids, "start": low[some], "context": context})
+
+    placed = of_ids(long, unsettled.select("id").distinct(), "left_semi", "id").join(spots, "id")
+    contexts = placed.select("id", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, start long, context binary")
+    any_large = not unsettled.where("large").isEmpty()
+    contexts = written(contexts) if any_large else contexts
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int]] = []
@@ -318,41 +392,48 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     few = contexts.where("NOT large").select("gram", "context", "id", "start").repartition("gram").sortWithinPartitions("gram")
     marked = few.mapInArrow(sort, "id long, start long, end long").unionByName(whole_contexts)
-    if seen.where(F.col("size") > group).limit(1).count():
+    if any_large:
         marked = marked.unionByName(_string_by_string(contexts.where("large")))
-    spans = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    gone = copies.withColumn("gone", F.lit(True))
+    whole_texts = copies.select("id", F.lit(0).cast("long").alias("start"), F.lit((1 << 62)).alias("end"))
+    marked = marked.unionByName(whole_texts)
+    spans = written(marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
         for whole in batches:
-            for batch in tb.pieces(whole):
+            for batch in tb.pieces(whole, size=PIECE):
+                data, at = tb.utf8(batch.column("text"))
+                spans_ = batch.column("spans")
+                fields, edge = spans_.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(spans_).to_numpy())])
+                start, end = (fields.field(x).to_numpy() for x in ("start", "end"))
                 out = []
-                for i, text, spans_, all_ in zip(*(batch.column(x).to_pylist() for x in ("id", "text", "spans", "gone")), strict=True):
-                    raw = text.encode("utf-8")
-                    merged: list[list[int]] = [[0, len(raw)]] if all_ and len(raw) >= LENGTH else []
-                    for span in spans_ or [] if not merged else []:
-                        end = min(span["end"], len(raw))
-                        if merged and span["start"] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], end)
-                        else:
-                            merged.append([span["start"], end])
-                    digest, at = hashlib.sha256(), 0
-                    for start, end in merged:
-                        digest.update(raw[at:start])
-                        at = end
-                    digest.update(raw[at:])
-                    out.append((None if i == lowest else i, len(raw), sum(e - s for s, e in merged), len(merged), digest.hexdigest()))
-                kinds = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
+                for d, i in enumerate(batch.column("id").to_pylist()):
+                    raw, own = data[at[d] : at[d + 1]], slice(edge[d], edge[d + 1])
+                    # spans come by start: a new run begins where one starts behind all that ended before
+                    low, high = start[own], np.minimum(np.maximum.accumulate(end[own]), len(raw))
+                    first = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+                    low, high = low[first], high[np.append(first[1:], len(low)) - 1]
+                    digest, last = hashlib.sha256(), 0
+                    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                        digest.update(raw[last:a])
+                        last = b
+                    digest.update(raw[last:])
+                    out.append((i, len(raw), int((high - low).sum()), len(low), digest.hexdigest()))
                 yield pa.RecordBatch.from_pydict({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(kinds)})
 
-    result = placed.join(spans, "id", "left").join(gone, "id", "left").select("id", "text", "spans", "gone")
-    return result.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ids = spans.select("id")
+    touched = of_ids(rows, ids, "left_semi", "id").join(spans, "id").select("id", "text", "spans").mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    whole = of_ids(rows, ids, "left_anti", "id").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    result = touched.unionByName(whole)
+    return result.select(F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def _string_by_string(contexts: DataFrame) -> DataFrame:
     """``id, start, end`` of repeated strings of large groups: every string's first place by aggregation."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, inverse = power_tables(2 * LENGTH)
         for batch in batches:
             a, b, i, p = [], [], [], []
             for context, doc, start in zip(*(batch.column(x).to_pylist() for x in ("context", "id", "start")), strict=True):
@@ -360,16 +441,16 @@ def _string_by_string(contexts: DataFrame) -> DataFrame:
                 if len(data) < LENGTH:
                     continue
                 place = np.arange(len(data) - LENGTH + 1)
-                sums, inverse = prefix_hashes(data)
+                sums = prefix_hashes(data, powers)
                 a.append(span_hashes(sums, inverse, place, place + LENGTH))
-                sums, inverse = prefix_hashes(data[::-1] ^ np.uint8(0x5A))
+                sums = prefix_hashes(data[::-1] ^ np.uint8(0x5A), powers)
                 b.append(span_hashes(sums, inverse, len(data) - LENGTH - place, len(data) - place))
                 i.append(np.full(len(place), doc, np.int64))
                 p.append(place + start)
             columns = [np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((a, np.uint64), (b, np.uint64), (i, np.int64), (p, np.int64))]
             yield pa.RecordBatch.from_pydict({n: pa.array(c.view(np.int64)) for n, c in zip(("a", "b", "id", "start"), columns, strict=True)})
 
-    strings = materialize(contexts.select("context", "id", "start").mapInArrow(split, "a long, b long, id long, start long").distinct())
+    strings = written(contexts.select("context", "id", "start").mapInArrow(split, "a long, b long, id long, start long").distinct())
     firsts = strings.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = strings.join(firsts, ["a", "b"]).where(F.struct("id", "start") > F.col("first"))
     return later.select("id", "start", (F.col("start") + LENGTH).alias("end"))
