@@ -26,7 +26,7 @@ WIDTH = 5  # words in a shingle
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 BUCKETS = 1 << 16  # of the hashed document-frequency table: a fixed size, whatever the corpus
-PRIOR = 0.1  # share of the corpus added to every document frequency
+PRIOR = 1.0  # corpora added to every document frequency: weights go from 1 to 1.7, so copies of a text that is itself frequent stay copies
 POOL = 1 << 16  # entries of the shared table of random draws
 LEVELS = 64  # steps of the logarithm of a weight that sampling tells apart
 BLOCK = 2000  # members of a bucket compared with its unconnected ones in one task
@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     ``class_id`` is the smallest doc_id of the documents connected by links of weighted Jaccard similarity of
     at least ``similarity``; ``keep`` marks the document that stays for its class. Words are separated by white
     space, A-Z count as a-z. A null text is a class of its own; texts without a word are copies of one another;
-    a text of fewer than ``width`` words is one shingle. Repeated rows get the same class. An empty table gives
-    no rows. Other columns of ``docs`` play no part.
+    a text of fewer than ``width`` words is one shingle. Repeated rows get the same class. A null
+    doc_id has no links but equal texts. An empty table gives no rows. Other columns of ``docs`` play no part.
     """
     frequency, n = document_frequencies(docs, width)
     signed = materialize(signatures(docs, frequency, n, width))
@@ -317,4 +317,4 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id")
     alone = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("class_id", F.col("doc_id"))
-    return found.unionByName(alone).withColumn("keep", F.col("doc_id") == F.col("class_id"))
+    return found.unionByName(alone).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
