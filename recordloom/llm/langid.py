@@ -25,6 +25,7 @@ from recordloom.llm.common import received, sent_to_tasks
 
 DIMENSION = 1 << 15
 ORDERS = (1, 2, 3)
+MOST_LANGUAGES = 1000  # languages that are told apart, by their labelled rows: bounds the model and its sample
 PER_LANGUAGE = 1000  # rows of the fitting sample for each language, of which a fifth calibrates
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
@@ -93,8 +94,9 @@ def fitting_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Dat
     """
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 50)) / F.lit(float(1 << 50))
-    near = labelled.withColumn("place", place).join(counts, "lang").where(F.col("place") * F.col("n") <= 3.0 * per_language)
-    ranked = near.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
+    counts = counts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    near = labelled.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("n") <= 3.0 * per_language)
+    ranked = near.groupBy("lang", "place", "text").agg(F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
     return ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank")
 
 
@@ -201,26 +203,26 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(langs, idf, weights, heat)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row of ``docs``.
+def identify(docs: DataFrame, model: Model, kept: list[str] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row of ``docs``, or its ``kept`` columns (``text`` among them) in place of the id.
 
     The prediction comes from the whole text alone. A null text, or one without a letter, is ``und`` with score 0;
     so is every text if no labelled text could be learned from. Repeated rows get equal results.
     """
     shared = sent_to_tasks(docs.sparkSession, model)
+    names = ["doc_id"] if kept is None else kept
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = received(shared)
         for whole in batches:
             for batch in tb.pieces(whole):
                 out = [known.predict(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id"), "lang_pred": pa.array([x[0] for x in out], pa.string()), "score": pa.array([x[1] for x in out], pa.float64())}
-                )
+                told = {"lang_pred": pa.array([x[0] for x in out], pa.string()), "score": pa.array([x[1] for x in out], pa.float64())}
+                yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in names} | told)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        predict, "doc_id long, lang_pred string, score double"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[x for x in names if x not in ("doc_id", "text")])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema.fields)
+    return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
