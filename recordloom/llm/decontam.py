@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
+from recordloom.llm.common import of_ids, written
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -168,5 +169,21 @@ def _search_block(texts: DataFrame, ids: list[int], sets: list[np.ndarray], widt
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows without an id stay."""
-    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    bad = written(contained_items(docs, benchmark).select("doc_id").distinct())
+    return of_ids(docs, bad, "left_anti")
+
+
+#: DuckDB SQL for the rows of ``contained_items`` with its production parameters.
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10ffff}]+') AS w
+  FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10ffff}]+')
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+shingles AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words WHERE len(w) > 0),
+items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 1)
+SELECT d.id AS doc_id, item_id, count(*)::INT AS shared, any_value(n)::INT AS item_shingles, count(*) / any_value(n)::DOUBLE AS containment
+FROM shingles d JOIN items i ON d.s = i.s WHERE side = 0 GROUP BY d.id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9
+"""

@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: DuckDB SQL, where SQL can express the result.
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.oracle_sql(), "op9_top_k": topk.ORACLE_SQL}
+    return {"op3_secret_scan": secrets.oracle_sql(), "op5_decontamination": decontam.ORACLE_SQL, "op6_mixing": mixing.oracle_sql(), "op9_top_k": topk.ORACLE_SQL}

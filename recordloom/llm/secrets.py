@@ -159,3 +159,34 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(dirty, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
+
+
+_SPANS_SQL = """
+  SELECT doc_id, {kind} AS kind, '{name}' AS name, gap + before AS s, gap + before + len(hit) AS e, hit, value FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {
+        'gap': list_sum(list_transform(gaps[1:i], lambda g: len(g))), 'before': coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: len(h))), 0), 'hit': hits[i], 'value': vals[i]}), recursive := true)
+    FROM (SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {group}) AS vals FROM texts))
+"""
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of the registered query. Windows' entropies are taken from scratch there."""
+
+    def spans(kind: int, pattern: str, group: int = 0) -> str:
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        return _SPANS_SQL.replace("{kind}", str(kind)).replace("{name}", KINDS[kind]).replace("{pattern}", quoted).replace("{group}", str(group))
+
+    return (
+        "WITH texts AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, coalesce(text, '') AS t FROM documents),\nbase AS ("
+        + f"SELECT * FROM ({spans(0, ASSIGN, 2)}) WHERE len(value) >= {ASSIGN_VALUE} UNION ALL {spans(1, ACCESS)} UNION ALL {spans(2, HEX)}),\n"
+        + f"""words AS (SELECT * FROM ({spans(3, CANDIDATE)}) WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '{ALLOWED}')),
+bits AS (SELECT *, list_max(list_transform(range(1, len(hit) - {WINDOW - 2}), lambda i: list_sum(list_transform(list_distinct(string_split(substr(hit, i, {WINDOW}), '')),
+    lambda c: -(len(list_filter(string_split(substr(hit, i, {WINDOW}), ''), lambda x: x = c)) / {WINDOW}.0) * log2(len(list_filter(string_split(substr(hit, i, {WINDOW}), ''), lambda x: x = c)) / {WINDOW}.0))))) AS h FROM words),
+more AS (SELECT * FROM bits WHERE h >= CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN {HEX_BITS} ELSE {MIXED_BITS} END
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = bits.doc_id AND b.s < bits.e AND bits.s < b.e)),
+told AS (SELECT doc_id, kind, s, e, name || ':' || s || ':' || e AS x FROM base UNION ALL SELECT doc_id, kind, s, e, name || ':' || s || ':' || e FROM more),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+    string_agg(x, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind) AS spans FROM told GROUP BY doc_id)
+SELECT id AS doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN a USING (doc_id)"""
+    )
