@@ -35,6 +35,25 @@ def read_table(spark: SparkSession, path: str, declared: StructType, units: list
     return found.withColumn("unit", F.col("unit").cast("string"))
 
 
+def write_warm(rows: DataFrame, folder: str) -> None:
+    """Replace the warm rows (unit, version, table, pk, row) of the written (unit, version, table) and of no others."""
+    ordered = rows.select("pk", "row", "unit", "version", "table")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "version", "table").parquet(folder)
+
+
+def operations(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """``id, kind, received, body, valid`` of the operations log's records of a kind: JSON files, one record a line, whose
+    signatures were checked when they came (``valid``)."""
+    schema = "id string, kind string, received timestamp, body string, valid boolean"
+    return spark.read.schema(schema).json(folder).where((F.col("kind") == kind) & F.col("valid"))
+
+
+def next_generation(units: DataFrame, recorded: DataFrame) -> DataFrame:
+    """One row ``generation``: one more than the largest known to the catalog or the operations log; 1 at first."""
+    both = units.select(F.col("generation").cast("long")).unionByName(recorded.select(F.col("generation").cast("long")))
+    return both.agg((F.coalesce(F.max("generation"), F.lit(0)) + 1).alias("generation"))
+
+
 def verified(spark: SparkSession, paths: list[str], expected: DataFrame) -> DataFrame:
     """``path, ok`` of object files against ``expected`` (path, sha256, size)."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.length("content").cast("long").alias("found_size"), F.sha2("content", 256).alias("found"))

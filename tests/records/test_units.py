@@ -397,3 +397,67 @@ def test_orders_of_child_tables():
     assert [c.name for c in relations.by_depth("docs", children)] == ["lines", "marks"]
     with pytest.raises(ValueError):
         relations.by_depth("docs", [relations.Child("x", "nowhere", "a", "b")])
+
+
+def test_warm_rows_are_replaced_by_unit_version_and_table(spark, tmp_path):
+    schema = "unit string, version int, table string, pk string, row string"
+    files.write_warm(spark.createDataFrame([("u", 1, "t", "a", "1"), ("v", 1, "t", "a", "1"), ("u", 1, "s", "a", "1")], schema), f"{tmp_path}/warm")
+    files.write_warm(spark.createDataFrame([("u", 1, "t", "b", "2")], schema), f"{tmp_path}/warm")
+    got = sorted((r.unit, r.table, r.pk) for r in spark.read.parquet(f"{tmp_path}/warm").collect())
+    assert got == [("u", "s", "a"), ("u", "t", "b"), ("v", "t", "a")]
+
+
+def test_operations_log_and_generations(spark, tmp_path):
+    lines = [{"id": "1", "kind": "backup", "received": "2024-01-01T00:00:00Z", "body": "{}", "valid": True}, {"id": "2", "kind": "backup", "valid": False}, {"id": "3", "kind": "trust", "valid": True}]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join(map(json.dumps, lines)))
+    assert [r.id for r in files.operations(spark, f"{tmp_path}/log", "backup").collect()] == ["1"]
+    some = spark.createDataFrame([(3,), (7,)], "generation int")
+    assert files.next_generation(some, some.where("generation < 5")).first().generation == 8
+    assert files.next_generation(some.limit(0), some.limit(0)).first().generation == 1
+
+
+def test_streaming_numbers_go_on_and_restart_with_an_epoch(spark, tmp_path):
+    from recordloom.streaming import outbox
+
+    schema = "partition int, epoch string, ord long"
+    batches = [[(0, "1.0", 1), (0, "1.0", 2), (1, "1.0", 3)], [(0, "1.0", 5), (0, "2.0", 6), (1, "1.0", 4)], [(0, "2.0", 9)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = outbox.numbered_stream(stream, f"{schema}, seq long")
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.partition, r.ord, r.seq) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 5, 3), (0, 6, 1), (0, 9, 2), (1, 3, 1), (1, 4, 2)]
+
+
+def test_snapshot_pages_and_pending_partitions(spark):
+    from recordloom.streaming import outbox
+
+    records = spark.createDataFrame([(f"r{i:03d}", i) for i in range(25)], "record_id string, version long")
+    seen, after = [], None
+    while True:
+        rows = [r.record_id for r in outbox.snapshot_page(records, after, 10).collect()]
+        seen += rows[:10]
+        if len(rows) <= 10:
+            break
+        after = rows[9]
+    assert seen == [f"r{i:03d}" for i in range(25)]
+    box = spark.createDataFrame([("s", 0, 1, None), ("s", 1, None, None), ("s", 2, 1, datetime.datetime(2024, 1, 1))], "stream string, partition int, seq long, published_at timestamp")
+    assert sorted(r.partition for r in outbox.unpublished(box).collect()) == [0, 1]
+
+
+def test_purge_of_work_items_waits_for_the_time_table(spark):
+    from recordloom.operators import commands
+
+    now = datetime.datetime(2024, 2, 1)
+    old = now - datetime.timedelta(days=10)
+    rows = [("a", "j", "succeeded", old, None), ("b", "j", "succeeded", old, now), ("c", "j", "succeeded", old, old), ("d", "j", "dead", old, None), ("e", "j", "dead", old - datetime.timedelta(days=25), None), ("f", "j", "running", old, None)]
+    items_ = spark.createDataFrame(rows, "id string, job string, state string, finished_at timestamp, slot_at timestamp")
+    marks = spark.createDataFrame([("j", old)], "job string, watermark_at timestamp")
+    assert sorted(r.id for r in commands.purgeable(items_, marks, F.lit(now)).collect()) == ["a", "c", "e"]
+
+
+def test_pushed_predicates_of_two_segments_stay_one_scan(spark, small):
+    plan = items(spark, small).where(view_plan().where)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 4
