@@ -20,6 +20,7 @@ from recordloom.llm.common import materialize
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 RANGE = 2000
+BROADCAST_LEAVES = 100_000  # budgets (under 100 bytes each) up to which they travel to the tasks; beyond, a join
 LEVELS = ("domain", "lang", "source")
 # Fixed values of the production mix: share of the corpus's tokens to take, epochs, seed and weights.
 SHARE = (6, 10)
@@ -109,7 +110,8 @@ def mix(docs: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, s
     """
     counts = materialize(token_counts(docs))
     leaves = materialize(budgets(counts, share, epochs).where("given > 0"))
-    rows = counts.where("tokens > 0").join(leaves, list(LEVELS))
+    few = leaves.count() <= BROADCAST_LEAVES
+    rows = counts.where("tokens > 0").join(F.broadcast(leaves) if few else leaves, list(LEVELS))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(epochs - 1), F.ceil(F.col("given") / F.col("held")).cast("int") - 1))))
     # what is left of the leaf's budget when the epoch begins; a whole epoch needs no order
     rows = rows.withColumn("left", F.col("given") - F.col("epoch") * F.col("held"))
