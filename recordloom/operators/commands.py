@@ -20,7 +20,7 @@ def purgeable(items: DataFrame, cron_watermarks: DataFrame, now: Column, done_da
     """Finished items past their retention; slots of a time table only behind its watermark (job, watermark_at)."""
     age = F.when(F.col("state") == "dead", F.lit(dead_days)).otherwise(F.lit(done_days))
     old = F.col("state").isin("succeeded", "dead") & (F.col("finished_at") < now - F.make_dt_interval(age))
-    told = items.where(old).join(F.broadcast(cron_watermarks), "job", "left")
+    told = items.where(old).join(cron_watermarks, "job", "left")
     return told.where(F.col("slot_at").isNull() | (F.col("slot_at") <= F.col("watermark_at"))).drop("watermark_at")
 
 

@@ -21,10 +21,12 @@ def numbered(rows: DataFrame, partition: list[str], order: list[str], counters:
 def numbered_in_ranges(rows: DataFrame, order: list[str], start: int = 0, parts: int = 200) -> DataFrame:
     """One gap-free ``seq`` over all rows in a total order, without one task holding them.
 
-    Rows are dealt by ranges of the order; counts of the ranges (``parts`` rows) give each its start. ``order`` must
-    tell all rows apart, so that the ranges come out the same in both passes.
+    Rows are dealt by ranges of the order; counts of the ranges (``parts`` rows) give each its start. Ranges come from
+    a sample, so the dealt rows are kept in the checkpoint folder: both passes, and a task that runs again, see the same.
     """
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    from recordloom.sources.tables import checkpointed
+
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     first = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", first.alias("_first"))

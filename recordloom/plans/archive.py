@@ -59,7 +59,7 @@ def units_of(found: DataFrame, c: ArchiveClass, blocked: DataFrame | None = None
         held = found.join(blocked.select(F.col("root_id").alias(c.root_key)), c.root_key, "left_semi").select(*keys).distinct()
         found = found.join(held, keys, "left_anti")
     sizes = found.groupBy(*keys).agg(F.ceil(F.count("*") / (MOST_MEMBERS * 0.9)).alias("parts"))
-    dealt = found.join(F.broadcast(sizes), keys).withColumn("part", F.pmod(F.xxhash64(c.root_key), F.col("parts")))
+    dealt = found.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(c.root_key), F.col("parts")))
     dealt = dealt.withColumn("unit", F.concat_ws("~", F.lit(c.name), *keys, F.col("part").cast("string")))
     members = dealt.select("unit", F.col(c.root_key).alias("root_id"))
     units = dealt.groupBy("unit", *keys).agg(F.count("*").alias("members"), F.max(c.anchor).alias("anchor_max"))

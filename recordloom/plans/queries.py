@@ -346,7 +346,7 @@ def outbox(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-OUTBOX = f"outbox AS (SELECT event_id, CAST(user_id AS VARCHAR) AS record_id, event_type, ts, {FNV.format(chr(40) + chr(39) + 'user-' + chr(39) + ' || user_id' + chr(41), 8)} AS partition, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS generation, props, value FROM events)"
+OUTBOX = f"outbox AS (SELECT event_id, CAST(user_id AS VARCHAR) AS record_id, event_type, ts, {FNV.format(chr(40) + chr(39) + 'user-' + chr(39) + ' || user_id' + chr(41), 8)} AS partition, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1::BIGINT ELSE 2 END AS generation, props, value FROM events)"
 
 
 @registered(f"WITH {OUTBOX} SELECT event_id, partition, generation, row_number() OVER (PARTITION BY partition, generation ORDER BY event_id) AS seq FROM outbox")
@@ -413,7 +413,7 @@ def stream_redelivery_starts(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered(
     f"""WITH {OUTBOX}, c AS (SELECT partition, count(*) FILTER (WHERE generation = 2) AS last_seq, count(*) FILTER (WHERE generation = 1) AS fork, max(partition) AS q FROM outbox GROUP BY partition),
-asked AS (SELECT CAST(p AS INT) AS partition, CAST(g AS INT) AS g, CASE WHEN s >= 0 THEN s END AS s FROM range(10) t(p), (VALUES (1), (2), (3)) v(g), (VALUES (-1), (0), (40), (300), (100000)) w(s))
+asked AS (SELECT CAST(p AS INT) AS partition, CAST(g AS INT) AS g, CASE WHEN s >= 0 THEN CAST(s AS BIGINT) END AS s FROM range(10) t(p), (VALUES (1), (2), (3)) v(g), (VALUES (-1), (0), (40), (300), (100000)) w(s))
 SELECT partition, g AS generation, s AS after_seq, c.last_seq IS NOT NULL AND (s IS NULL OR g < 1 OR (g = 1 AND s < 50)) AS beyond,
  CASE WHEN s IS NULL THEN FALSE WHEN c.last_seq IS NULL THEN TRUE WHEN g = 2 THEN s > c.last_seq WHEN g = 1 THEN s > fork ELSE TRUE END AS ahead FROM asked LEFT JOIN c USING (partition)"""
 )

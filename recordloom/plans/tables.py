@@ -54,7 +54,7 @@ t AS (SELECT *, CASE kind WHEN 'full' THEN 'complete' WHEN 'partial' THEN 'incom
 a AS (SELECT *, CASE WHEN kind = 'purged' THEN 'write' WHEN state IS NULL THEN CASE kind WHEN 'partial' THEN 'write_and_fetch' ELSE 'write' END WHEN old THEN CASE kind WHEN 'partial' THEN 'write_and_fetch' ELSE 'overwrite' END
  WHEN state = 'tombstone' AND v > version THEN CASE kind WHEN 'partial' THEN 'write_and_fetch' WHEN 'full' THEN 'overwrite' ELSE 'write' END WHEN state = 'tombstone' THEN 'ignore'
  WHEN kind = 'full' AND (v > version OR (state = 'incomplete' AND v >= version)) THEN 'overwrite' WHEN kind = 'partial' AND v > version THEN 'merge_and_fetch' WHEN kind = 'delete' AND v >= version THEN 'write' ELSE 'ignore' END AS action FROM t)
-SELECT state AS before, old, kind, v, CASE WHEN action = 'ignore' THEN state ELSE target END AS after, CASE WHEN kind = 'purged' THEN 0 WHEN action = 'ignore' THEN version ELSE v END AS version, action FROM a"""
+SELECT state AS before, old, kind, CAST(v AS BIGINT) AS v, CASE WHEN action = 'ignore' THEN state ELSE target END AS after, CAST(CASE WHEN kind = 'purged' THEN 0 WHEN action = 'ignore' THEN version ELSE v END AS BIGINT) AS version, action FROM a"""
 )
 def table_projection_row(spark: SparkSession, sf: str) -> DataFrame:
     rows = grid(spark, version=[3], old=[True, False], kind=ROWS["kind"], v=[2, 3, 4]).withColumn("state", F.explode(F.array(F.lit(None).cast("string"), *[F.lit(x) for x in ROWS["state"][1:]])))

@@ -61,6 +61,12 @@ def receive(stream: DataFrame, inbox_path: str, checkpoint: str, subscription: s
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_within(stream: DataFrame, delay: str) -> DataFrame:
+    """Each event once, where repeats come at most ``delay`` apart: the state of older events is dropped, so it stays
+    bounded; for repeats of any age there is ``receive``."""
+    return stream.withWatermark("delivered_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def quarantined(failures: DataFrame, now: Column, attempts: int = 3, seconds: int = 30) -> DataFrame:
     """``projection, subject``: subjects of events that failed often or long enough; an event without subjects stops
     the whole projection and is listed with a null subject."""

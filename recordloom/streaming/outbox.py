@@ -67,7 +67,7 @@ def read_after(outbox: DataFrame, asked: DataFrame, limit: int = PAGE) -> DataFr
     later ones are there. ``asked``: partition, after."""
     from pyspark.sql import Window
 
-    rows = outbox.join(F.broadcast(asked), "partition").where("seq > after")
+    rows = outbox.join(asked, "partition").where("seq > after")
     first = F.min("seq").over(Window.partitionBy("partition"))
     place = F.row_number().over(Window.partitionBy("partition").orderBy("seq"))
     return rows.withColumn("reset", first > F.col("after") + 1).withColumn("place", place).where(F.col("place") <= limit).drop("place", "after")

@@ -26,7 +26,7 @@ def admissible(inputs: DataFrame, sources: DataFrame) -> DataFrame:
     """
     from recordloom.functions.keys import epoch_of
 
-    joined = inputs.join(F.broadcast(sources.select("projection", F.col("impl").alias("own_impl"), F.col("epoch").alias("own_epoch"))), "projection", "left")
+    joined = inputs.join(sources.select("projection", F.col("impl").alias("own_impl"), F.col("epoch").alias("own_epoch")), "projection", "left")
     ours, theirs = epoch_of(F.col("own_epoch")), epoch_of(F.col("epoch"))
     why = (
         F.when(F.col("own_impl").isNull(), F.lit(None))
@@ -128,7 +128,7 @@ def pull_page(outbox: DataFrame, positions: DataFrame, echoes: DataFrame, size:
     partition's last page, which carries the echo. ``positions``: partition, after; ``echoes``: partition, echo."""
     from pyspark.sql import Window
 
-    rows = outbox.join(F.broadcast(positions), "partition").join(F.broadcast(echoes), "partition").where("seq > after AND seq <= echo")
+    rows = outbox.join(positions, "partition").join(echoes, "partition").where("seq > after AND seq <= echo")
     place = F.row_number().over(Window.partitionBy("partition").orderBy("seq"))
     return rows.withColumn("place", place).where(F.col("place") <= size).withColumn("last", F.col("seq") == F.col("echo")).drop("place", "after", "echo")
 
@@ -138,7 +138,7 @@ def resent(outbox: DataFrame, starts: DataFrame) -> DataFrame:
 
     ``outbox`` has ``position`` structs; ``starts``: stream, partition, position.
     """
-    joined = outbox.join(F.broadcast(starts.select("stream", "partition", F.col("position").alias("start"))), ["stream", "partition"], "left")
+    joined = outbox.join(starts.select("stream", "partition", F.col("position").alias("start")), ["stream", "partition"], "left")
     return joined.where(F.col("start").isNull() | (F.col("position") > F.col("start"))).drop("start")
 
 
