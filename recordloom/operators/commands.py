@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.operators.decisions import reservation
+from recordloom.operators.decisions import external_command, resend_deadline, reservation
 
 
 def claimable(items: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -39,6 +39,58 @@ def reservation_states(commands: DataFrame, order: list[str]) -> DataFrame:
     return commands.groupBy("branch").agg(F.aggregate(log, start, step).alias("o")).select("branch", "o.state", "o.changes")
 
 
+def command_states(log: DataFrame, order: list[str]) -> DataFrame:
+    """``command, state, why, steps``: every external command after the events of its log in order, folded in one aggregation.
+
+    ``log``: command, event, result, at (unix seconds), and per command the same dedupe_s, last_use, query,
+    processing_s, abandon (unix second or null). Times that later rules read (when a send may first and last have
+    reached the other side, since when the state is unknown or accepted) are kept along the way.
+    """
+    wide = ["event", "result", "at", "dedupe_s", "last_use", "query", "processing_s", "abandon"]
+    events = F.array_sort(F.collect_list(F.struct(*order, *[c for c in wide if c not in order])))
+    none = F.lit(None).cast("double")
+    start = F.struct(
+        F.lit("prepared").alias("state"), F.lit("").alias("why"), none.alias("first"), none.alias("last"), none.alias("unknown_since"), none.alias("accepted_since"), F.lit(0).alias("steps"),
+    )
+
+    def step(now: Column, e: Column) -> Column:
+        at = e["at"].cast("double")
+        deadline = resend_deadline(now["first"], now["last"], e["dedupe_s"], e["last_use"])
+        facts = {name: now[name] for name in ("state", "first", "last", "unknown_since", "accepted_since")} | {"deadline": deadline, "expires": none, "unrecorded": none, "abandon": e["abandon"].cast("double")}
+        out = external_command(facts, e["event"], e["result"], {name: e[name] for name in ("dedupe_s", "last_use", "query", "processing_s")}, at)
+        reached = ((e["event"] == "send_result") & ~e["result"].eqNullSafe(F.lit("not_reached"))) | (e["event"] == "lease_lost")
+        reached = F.coalesce(reached & (now["state"] == "sending"), F.lit(False))
+
+        def since(name: str, kept: Column) -> Column:
+            return F.when(out["state"] != name, none).otherwise(F.when(now["state"] == name, kept).otherwise(at))
+
+        return F.struct(
+            out["state"].alias("state"), out["why"].alias("why"), F.when(reached, F.coalesce(now["first"], at)).otherwise(now["first"]).alias("first"), F.when(reached, at).otherwise(now["last"]).alias("last"),
+            since("unknown", now["unknown_since"]).alias("unknown_since"), since("accepted", now["accepted_since"]).alias("accepted_since"), (now["steps"] + 1).alias("steps"),
+        )
+
+    return log.groupBy("command").agg(F.aggregate(events, start, step).alias("o")).select("command", "o.state", "o.why", "o.steps")
+
+
+def instance_states(decisions: DataFrame, order: list[str]) -> DataFrame:
+    """``instance, state, step``: approval instances after their decisions in order. Every step takes one decision; a
+    rejection ends the instance as it says (``on_reject``), the last of ``steps`` approvals approves it; decisions on
+    an instance that has ended, or on a step that is not the current one, change nothing.
+
+    ``decisions``: instance, step (from 1), choice, steps, on_reject, and the order's columns.
+    """
+    log = F.array_sort(F.collect_list(F.struct(*order, *[c for c in ("step", "choice", "steps", "on_reject") if c not in order])))
+    start = F.struct(F.lit("running").alias("state"), F.lit(1).alias("step"))
+
+    def step(now: Column, d: Column) -> Column:
+        counts = (now["state"] == "running") & (d["step"] == now["step"])
+        state = F.when(counts & (d["choice"] == "reject"), d["on_reject"]).when(counts & (d["step"] == d["steps"]), "approved").otherwise(now["state"])
+        next_ = F.when(counts & (d["choice"] == "approve") & (d["step"] < d["steps"]), now["step"] + 1).otherwise(now["step"])
+        return F.struct(state.alias("state"), next_.alias("step"))
+
+    return decisions.groupBy("instance").agg(F.aggregate(log, start, step).alias("o")).select("instance", "o.state", "o.step")
+
+
 def unfinished_sends(commands: DataFrame, attempts: DataFrame) -> DataFrame:
     """``commands`` with ``sending_at``: the earliest start of a send attempt that has not ended."""
     starts = attempts.where("kind = 'send' AND ended_at IS NULL").groupBy("command").agg(F.min("started_at").alias("sending_at"))

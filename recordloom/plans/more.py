@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.operators import commands, evidence, folds
@@ -86,6 +86,34 @@ def reservation_fold(spark: SparkSession, sf: str) -> DataFrame:
     return commands.reservation_states(log, ["event_id"])
 
 
+@registered()
+def command_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """External commands after their logs: one command for each user and type of event."""
+    names = "claim before_send send_result query_found query_not_found query_unavailable lease_lost finality_passed".split()
+    results = "not_reached maybe_reached accepted succeeded processing".split()
+    e = read(spark, sf, "events")
+
+    def one(options: list[str], salt: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(F.xxhash64("event_id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+
+    log = e.select(
+        F.concat_ws("/", "user_id", "event_type").alias("command"), F.col("event_id").alias("at"), one(names, 1).alias("event"), one(results, 2).alias("result"), F.lit(20_000.0).alias("dedupe_s"),
+        F.lit(True).alias("last_use"), (F.col("user_id") % 2 == 0).alias("query"), F.lit(100.0).alias("processing_s"), F.lit(None).cast("double").alias("abandon"),
+    )
+    return commands.command_states(log, ["at"])
+
+
+@registered()
+def approval_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Approval instances after their decisions: one for each order, one decision for each of its lines."""
+    lines = read(spark, sf, "lineitem")
+    told = lines.select(
+        F.col("l_orderkey").alias("instance"), F.col("l_shipdate").alias("at"), "l_partkey", "l_suppkey", (F.col("l_linenumber") % 3 + 1).cast("int").alias("step"),
+        F.when(F.col("l_returnflag") == "R", "reject").otherwise("approve").alias("choice"), F.lit(3).alias("steps"), F.lit("returned").alias("on_reject"),
+    )
+    return commands.instance_states(told, ["at", "l_partkey", "l_suppkey", "step"])
+
+
 @registered(
     """WITH r AS (SELECT o_custkey % 50 AS requester, o_orderkey % 40 AS reference, o_orderkey, CAST(o_custkey % 2 AS VARCHAR) AS digest FROM orders)
 SELECT o_orderkey, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN digest = first_value(digest) OVER w THEN 'repeat' ELSE 'conflict' END AS outcome FROM r WINDOW w AS (PARTITION BY requester, reference ORDER BY o_orderkey)"""

@@ -467,3 +467,39 @@ def test_repeats_within_a_delay_are_dropped(spark, tmp_path):
     stream = inbox.once_within(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), "10 minutes")
     stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_command_logs_fold_to_their_state(spark):
+    from recordloom.operators import commands
+
+    logs = {
+        "done": [("claim", None, 1), ("before_send", None, 2), ("send_result", "accepted", 3), ("query_found", "succeeded", 4), ("query_found", "failed", 5)],
+        "retried": [("claim", None, 1), ("send_result", "not_reached", 2), ("claim", None, 3), ("send_result", "maybe_reached", 4), ("query_not_found", None, 100)],
+        "late": [("claim", None, 1), ("send_result", "maybe_reached", 2), ("query_not_found", None, 20_000)],
+        "unknown": [("claim", None, 1), ("lease_lost", None, 2), ("query_unavailable", None, 50_000), ("query_unavailable", None, 90_000)],
+        "expired": [("claim", None, 1), ("send_result", "maybe_reached", 2), ("query_unavailable", None, 999_999)],
+        "untouched": [("query_found", "succeeded", 1)],
+    }
+    rows = [(name, e, r, at, 10_000.0, True, True, 0.0, 500_000.0 if name == "expired" else None) for name, log in logs.items() for e, r, at in log]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "command string, event string, result string, at long, dedupe_s double, last_use boolean, query boolean, processing_s double, abandon double")
+    got = {r.command: (r.state, r.steps) for r in commands.command_states(df, ["at"]).collect()}
+    assert got == {"done": ("succeeded", 5), "retried": ("sending", 5), "late": ("manual", 3), "unknown": ("manual", 4), "expired": ("failed", 3), "untouched": ("prepared", 1)}
+
+
+def test_reservation_logs_fold_like_the_table(spark):
+    from recordloom.operators import commands
+
+    logs = {"a": ["hold-enough", "confirm", "consume-within", "consume-exact", "cancel"], "b": ["hold-short", "confirm"], "c": ["cancel", "hold-other"], "d": ["query"], "e": ["hold-enough", "expire"]}
+    rows = [(b, c, k, b == "e") for b, log in logs.items() for k, c in enumerate(log)]
+    got = {r.branch: (r.state, r.changes) for r in commands.reservation_states(spark.createDataFrame(rows, "branch string, command string, seq int, past boolean"), ["seq"]).collect()}
+    assert got == {"a": ("consumed", 4), "b": ("rejected", 1), "c": ("cancelled", 1), "d": ("absent", 0), "e": ("expired", 2)}
+
+
+def test_approval_instances(spark):
+    from recordloom.operators import commands
+
+    logs = {"a": [(1, "approve"), (2, "approve")], "r": [(1, "approve"), (2, "reject"), (2, "approve")], "w": [(2, "approve"), (1, "approve")], "n": [(2, "reject")]}
+    rows = [(i, k, step, choice, 2, "returned") for i, log in logs.items() for k, (step, choice) in enumerate(log)]
+    got = {r.instance: (r.state, r.step) for r in commands.instance_states(spark.createDataFrame(rows, "instance string, seq int, step int, choice string, steps int, on_reject string"), ["seq"]).collect()}
+    assert got == {"a": ("approved", 2), "r": ("returned", 2), "w": ("running", 2), "n": ("running", 1)}
