@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import decontam, langid, mixing, neardup, secrets
-from recordloom.llm.common import table, written
+from recordloom.llm.common import of_ids, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language can't be told at all: no letter, or no language above this probability.
@@ -15,15 +15,14 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model of their own labelled rows tells."""
-    found = langid.identify(docs, langid.fit(langid.training_rows(docs)))
-    good = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return docs.join(good.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    found = langid.identify(docs, langid.fit(langid.training_rows(docs)), kept=COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(COLUMNS)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate class."""
-    classes = neardup.near_duplicates(docs)
-    return docs.join(classes.where("keep").select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    kept = written(neardup.near_duplicates(docs).where("keep").select("doc_id").distinct())
+    return of_ids(docs, kept, "left_semi").select(COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
