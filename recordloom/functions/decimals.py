@@ -36,7 +36,7 @@ def round_units(units: Column, multiple: int, mode: str = "half_away") -> Column
     if multiple <= 0:
         raise ValueError("the cash unit is not positive")
     size, base = F.abs(units), F.lit(multiple)
-    down, rest = F.floor(size / base).cast("long"), size % base
+    down, rest = F.call_function("div", size, base), size % base
     up = F.when(rest * 2 > base, 1).when(rest * 2 < base, 0).otherwise(F.lit(1) if mode == "half_away" else down % 2)
     return F.signum(units).cast("long") * (down + up) * multiple
 

@@ -29,7 +29,7 @@ def test_amounts(spark):
         assert (None if got is None else str(got)) == want, text
     for value, mode, want in (("2.5", "half_away", 3), ("-2.5", "half_away", -3), ("2.5", "half_even", 2), ("3.5", "half_even", 4), ("-2.5", "half_even", -2)):
         assert int(one(spark, decimals.round_amount(F.lit(value).cast("decimal(10,1)"), 0, mode))) == want
-    for units, multiple, want in ((7, 5, 5), (8, 5, 10), (-8, 5, -10), (25, 50, 50), (-25, 50, -50)):
+    for units, multiple, want in ((7, 5, 5), (8, 5, 10), (-8, 5, -10), (25, 50, 50), (-25, 50, -50), ((1 << 62) + 1, 5, 4611686018427387905)):
         assert one(spark, decimals.round_units(F.lit(units).cast("long"), multiple)) == want
     with pytest.raises(ValueError):
         decimals.round_units(F.lit(1), 0)
