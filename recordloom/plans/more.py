@@ -77,12 +77,19 @@ def work_claim(spark: SparkSession, sf: str) -> DataFrame:
     return commands.claimable(items, F.lit("1996-01-01").cast(NTZ), 300).select("id", "state")
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE e AS (SELECT user_id, ['hold-enough', 'confirm', 'consume-within', 'query', 'expire', 'cancel', 'consume-exact', 'hold-other'][event_id * 7919 % 1009 % 8 + 1] AS c, event_id % 5 = 0 AS past, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'absent' AS s, 0 AS changes FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, n, coalesce(move, s), changes + CASE WHEN move IS NULL THEN 0 ELSE 1 END FROM (SELECT e.user_id, e.n, s, changes, CASE WHEN c = 'hold-enough' AND s = 'absent' THEN 'held' WHEN c IN ('confirm', 'expire') AND s = 'held' AND past THEN 'expired'
+    WHEN c = 'confirm' AND s = 'held' THEN 'committed' WHEN c = 'cancel' AND s = 'absent' THEN 'cancelled' WHEN c = 'cancel' AND s IN ('held', 'committed') THEN 'released' WHEN c = 'consume-exact' AND s = 'committed' THEN 'consumed' WHEN c = 'consume-within' AND s = 'committed' THEN 'committed' END AS move
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS branch, s AS state, changes FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM r) WHERE n = m"""
+)
 def reservation_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Reservation branches after their command logs: one branch for each user, one command for each event."""
     names = "hold-enough confirm consume-within query expire cancel consume-exact hold-other".split()
     e = read(spark, sf, "events")
-    log = e.select(F.col("user_id").alias("branch"), "event_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.xxhash64("event_id"), F.lit(len(names))) + 1).cast("int")).alias("command"), (F.col("event_id") % 5 == 0).alias("past"))
+    log = e.select(F.col("user_id").alias("branch"), "event_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") * 7919 % 1009 % len(names) + 1).cast("int")).alias("command"), (F.col("event_id") % 5 == 0).alias("past"))
     return commands.reservation_states(log, ["event_id"])
 
 
@@ -103,7 +110,12 @@ def command_fold(spark: SparkSession, sf: str) -> DataFrame:
     return commands.command_states(log, ["at"])
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE d AS (SELECT l_orderkey AS k, l_linenumber % 3 + 1 AS step, l_returnflag = 'R' AS reject, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber % 3, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n FROM lineitem),
+r AS (SELECT k, CAST(0 AS BIGINT) AS n, 'running' AS state, 1 AS cur FROM (SELECT DISTINCT k FROM d)
+  UNION ALL SELECT d.k, d.n, CASE WHEN state = 'running' AND step = cur THEN CASE WHEN reject THEN 'returned' WHEN step = 3 THEN 'approved' ELSE state END ELSE state END, CASE WHEN state = 'running' AND step = cur AND NOT reject AND step < 3 THEN cur + 1 ELSE cur END FROM r JOIN d ON d.k = r.k AND d.n = r.n + 1)
+SELECT k AS instance, state, cur AS step FROM (SELECT *, max(n) OVER (PARTITION BY k) AS m FROM r) WHERE n = m"""
+)
 def approval_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Approval instances after their decisions: one for each order, one decision for each of its lines."""
     lines = read(spark, sf, "lineitem")

@@ -612,9 +612,17 @@ def fold_projection(spark: SparkSession, sf: str) -> DataFrame:
     return projection.fold_whole(admitted, ["record_id"])
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE i AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'click' THEN 'partial' ELSE 'full' END AS kind, (event_id * 37) % 1009 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id % 50 <> 49),
+t AS (SELECT *, CASE kind WHEN 'full' THEN 'complete' WHEN 'partial' THEN 'incomplete' ELSE 'tombstone' END AS target FROM i),
+r AS (SELECT user_id, n, target AS state, v AS version FROM t WHERE n = 1
+  UNION ALL SELECT t.user_id, t.n, CASE WHEN takes THEN target ELSE state END, CASE WHEN takes THEN v ELSE version END FROM (
+    SELECT t.*, r.state, r.version, CASE WHEN r.state = 'tombstone' THEN t.v > r.version WHEN t.kind = 'full' THEN t.v > r.version OR (r.state = 'incomplete' AND t.v >= r.version) WHEN t.kind = 'partial' THEN t.v > r.version ELSE t.v >= r.version END AS takes
+    FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1) t)
+SELECT CAST(user_id AS VARCHAR) AS record_id, state, CAST(version AS BIGINT) AS version, CAST(CASE WHEN state = 'incomplete' THEN version END AS BIGINT) AS need_version FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM r) WHERE n = m"""
+)
 def fold_projection_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    return projection.fold_ordered(inputs(spark, sf).where("epoch = '1.0'"), ["seq"])
+    return projection.fold_ordered(inputs(spark, sf).where("epoch = '1.0'"), ["seq"]).select("record_id", "state", "version", "need_version")
 
 
 @registered(
@@ -760,7 +768,13 @@ def audit_purge(spark: SparkSession, sf: str) -> DataFrame:
     return folds.receipts_settled(rows, "3.0", 1500, ancestors, True, F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("INTERVAL 10 DAYS")).select("event_id", "settled")
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE n AS (SELECT user_id % 50 AS principal, event_type AS key, event_id, ts, event_id % 3 AS f, row_number() OVER (PARTITION BY user_id % 50, event_type ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT *, ts AS s, f AS p, 'runs' AS outcome FROM n WHERE i = 1
+  UNION ALL SELECT n.*, CASE WHEN n.ts - r.s >= INTERVAL 24 HOUR THEN n.ts ELSE r.s END, CASE WHEN n.ts - r.s >= INTERVAL 24 HOUR THEN n.f ELSE r.p END, CASE WHEN n.ts - r.s >= INTERVAL 24 HOUR THEN 'runs' WHEN n.f = r.p THEN 'replays' ELSE 'conflicts' END
+  FROM r JOIN n ON n.principal = r.principal AND n.key = r.key AND n.i = r.i + 1)
+SELECT principal, key, event_id, outcome FROM r"""
+)
 def idempotent_commands(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events").select((F.col("user_id") % 50).alias("principal"), "event_type", F.col("ts").alias("at"), "event_id")
     commands = e.select("principal", F.col("event_type").alias("key"), "at", "event_id", (F.col("event_id") % 3).cast("string").alias("fingerprint"))
