@@ -52,7 +52,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``size`` bytes of text, one row at least: bounds working memory."""
     _, at = utf8(batch.column(text))
     first = 0
