@@ -333,8 +333,8 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     long = rows.where(F.octet_length("text") >= LENGTH)
     # a copy of a whole text loses everything, so only the first of the copies is looked into
     digests = written(long.select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m")))
-    firsts = digests.groupBy("h", "m").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = written(digests.join(firsts, ["h", "m"]).where("id > first").select("id").distinct())
+    firsts = digests.groupBy("h", "m").agg(F.min("id").alias("id"))
+    copies = written(digests.select("id").distinct().join(firsts.select("id"), "id", "left_anti"))
     anchors = candidates(of_ids(long, copies, "left_anti", "id"))
     by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "place")
     seen = anchors.repartition("gram").select(
