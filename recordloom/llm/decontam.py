@@ -1,10 +1,11 @@
 """Benchmark passages inside documents by size-partitioned MinHash containment search.
 
-Items (short) and documents (long) are sets of shingles of five words. Documents are cut into overlapping
-segments, so that every passage of an item's length lies whole in one of them; segments are partitioned by
-size, and each partition takes as many single-row bands as its largest size needs for a containment of
-0.8 (the tuning of LSH Ensemble: the containment threshold becomes a Jaccard threshold that depends on the
-sizes). A candidate is verified by the exact share of the item's shingles that the whole document holds.
+Items (short) and documents (long) are sets of shingles of five words. Items are grouped by size, and for each
+group documents are cut into overlapping segments, so that every passage of an item's length lies whole in one
+of them; segments are partitioned by size, and each partition takes as many single-row bands as its largest
+size needs for a containment of 0.8 (the tuning of LSH Ensemble: the containment threshold becomes a Jaccard
+threshold that depends on the sizes). Items too short for the bands there are, are looked up by their shingles.
+A candidate is verified by the exact share of the item's shingles that the whole document holds.
 
 Scale. One pass over the documents and no shuffle of text. Items are taken in blocks of a fixed size, so
 what travels to the tasks is bounded; a longer list of items costs another pass for each block.
@@ -33,61 +34,117 @@ MAX_HASHES = 256
 SEED = 7919
 
 
-class ItemBlock:
-    """Shingle sets of a block of items and their MinHash index."""
+def least_shared(n: int, containment: float) -> int:
+    """Shingles of an item of ``n`` that a document must hold to contain it."""
+    return max(1, math.ceil(containment * n - 1e-9))
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], containment: float):
-        self.ids, self.sets, self.containment = ids, sets, containment
-        self.longest = max(map(len, sets), default=1)
-        self.shortest = min(map(len, sets), default=1)
+
+def bands_needed(size: int, sizes: list[int], containment: float) -> int:
+    """Bands of one row, by which segments of ``size`` shingles find a contained item of any of the ``sizes``.
+
+    A segment with m of an item's q shingles agrees with it in a band with m / (size + q) at least, so the bound
+    on what is overlooked holds for shingles that are scattered over several segments, too.
+    """
+    worst = max((size + q) / least_shared(q, containment) for q in sizes)
+    return max(4, math.ceil(-math.log(MISS) * worst))
+
+
+def owners(rows: np.ndarray, owner: np.ndarray, values: np.ndarray) -> set[int]:
+    """Owners of the sorted ``rows`` that are equal to one of the ``values``."""
+    at = np.searchsorted(rows, values)
+    hit = rows[np.minimum(at, len(rows) - 1)] == values
+    out: set[int] = set()
+    for value, first in zip(values[hit], at[hit], strict=True):
+        out.update(owner[first : int(np.searchsorted(rows, value, "right"))].tolist())
+    return out
+
+
+class SizeGroup:
+    """Items of similar sizes and their MinHash index; the segments are at least as long as the longest item."""
+
+    def __init__(self, members: list[int], sets: list[np.ndarray], sizes: list[int], containment: float):
+        self.longest = max(sizes)
+        self.step = max(SEGMENT, self.longest)
         rng = np.random.default_rng(SEED)
         self.factors = rng.integers(1, 1 << 62, MAX_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.bands = {size: self.needed(size) for size in self.sizes()}
+        self.bands = {size: bands_needed(size, sizes, containment) for size in self.segment_sizes()}
         most = max(self.bands.values())
-        low = np.stack([self.minima(s, most) for s in sets]) if sets else np.zeros((0, most), np.uint64)
+        low = np.stack([self.minima(sets[i], most) for i in members])
         self.salts = tb.mix(np.arange(1, most + 1, dtype=np.uint64))
         rows = (low ^ self.salts[None, :]).ravel()
         order = np.argsort(rows, kind="stable")
-        self.rows, self.owner = rows[order], np.repeat(np.arange(len(sets)), most)[order]
+        self.rows, self.owner = rows[order], np.repeat(np.array(members), most)[order]
 
-    def sizes(self) -> list[int]:
+    @staticmethod
+    def largest_segment(longest: int) -> int:
+        return max(SEGMENT, longest) + longest
+
+    def segment_sizes(self) -> list[int]:
         """Upper sizes of the partitions of segments: doubling up to a whole segment."""
-        top, out, size = SEGMENT + self.longest, [], 16
+        top, out, size = self.largest_segment(self.longest), [], 16
         while size < top:
             out.append(size)
             size *= 2
         return [*out, top]
 
-    def needed(self, size: int) -> int:
-        """Bands of one row, by which a segment of ``size`` shingles finds a contained item."""
-        q = self.shortest
-        jaccard = min(1.0, math.ceil(self.containment * q) / (size + q - self.containment * q))
-        return MAX_HASHES if jaccard <= 0 else min(MAX_HASHES, max(4, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - jaccard)))))
-
     def minima(self, keys: np.ndarray, n: int) -> np.ndarray:
         return (keys[:, None] * self.factors[None, :n]).min(axis=0)
 
     def candidates(self, keys: np.ndarray) -> set[int]:
-        """Items that share the minimum of a band with a segment of these shingles."""
-        size = next((s for s in self.bands if len(keys) <= s), None) or max(self.bands)
-        n = self.bands[size]
-        low = self.minima(keys, n) ^ self.salts[:n]
-        at = np.searchsorted(self.rows, low)
-        hit = self.rows[np.minimum(at, len(self.rows) - 1)] == low
+        """Items that share the minimum of a band with a segment of a document's shingles."""
         out: set[int] = set()
-        for value, first in zip(low[hit], at[hit], strict=True):
-            last = int(np.searchsorted(self.rows, value, "right"))
-            out.update(self.owner[first:last].tolist())
+        for first in range(0, max(1, len(keys) - self.longest), self.step):
+            segment = keys[first : first + self.step + self.longest]
+            n = self.bands[next(s for s in self.bands if len(segment) <= s)]
+            out |= owners(self.rows, self.owner, self.minima(segment, n) ^ self.salts[:n])
         return out
 
+
+class ItemBlock:
+    """Shingle sets of a block of items, split by size.
+
+    A group takes as many sizes as MAX_HASHES bands suffice for. Items so short that these are too few even for
+    their own size are looked up exactly: a document that contains an item of n shingles lacks less than
+    n - least_shared(n) + 1 of them, so it holds one of any so many; the rarest ones of the block are taken.
+    """
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], containment: float):
+        self.ids, self.sets, self.containment = ids, sets, containment
+        by_size: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            by_size.setdefault(len(s), []).append(i)
+        sizes, self.groups, exact = sorted(by_size), [], []
+        while sizes:
+            k = 0
+            while k < len(sizes) and bands_needed(SizeGroup.largest_segment(sizes[k]), sizes[: k + 1], containment) <= MAX_HASHES:
+                k += 1
+            if k:
+                self.groups.append(SizeGroup([i for n in sizes[:k] for i in by_size[n]], sets, sizes[:k], containment))
+            else:
+                exact += by_size[sizes[0]]
+            sizes = sizes[max(1, k) :]
+        self.rows, self.owner = self._rarest(exact)
+
+    def _rarest(self, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if not members:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, times = np.unique(np.concatenate([self.sets[i] for i in members]), return_counts=True)
+        rows, owner = [], []
+        for i in members:
+            s = self.sets[i]
+            taken = len(s) - least_shared(len(s), self.containment) + 1
+            rows.append(s[np.argsort(times[np.searchsorted(keys, s)], kind="stable")[:taken]])
+            owner += [i] * taken
+        order = np.argsort(np.concatenate(rows), kind="stable")
+        return np.concatenate(rows)[order], np.array(owner)[order]
+
     def search(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, shared shingles, the item's shingles) for every item contained in a document's shingle run."""
         if not len(keys) or not self.sets:
             return []
-        found: set[int] = set()
-        step = SEGMENT
-        for first in range(0, max(1, len(keys) - self.longest), step):
-            found |= self.candidates(keys[first : first + step + self.longest])
+        found = owners(self.rows, self.owner, np.unique(keys)) if len(self.rows) else set()
+        for group in self.groups:
+            found |= group.candidates(keys)
         if not found:
             return []
         own = np.unique(keys)
@@ -134,7 +191,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, c
     """
     sets = item_sets(benchmark, width).groupBy("item_id", "keys").agg(F.size(F.first("keys")).alias("n"))
     blocks: list[tuple[list[int], list[np.ndarray]]] = []
-    for row in sets.orderBy("item_id").toLocalIterator():  # one block at a time leaves for the tasks
+    for row in sets.orderBy("n", "item_id").toLocalIterator():  # one block at a time leaves for the tasks
         if not blocks or len(blocks[-1][0]) >= BLOCK_ITEMS or sum(map(len, blocks[-1][1])) >= BLOCK_SHINGLES:
             blocks.append(([], []))
         blocks[-1][0].append(row.item_id)

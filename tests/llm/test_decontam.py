@@ -66,6 +66,23 @@ def test_items_in_long_documents_and_odd_rows(spark, monkeypatch):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((r[0] for r in rows if r[0] is None or r[0] not in dirty), key=str)
 
 
+def test_short_items_beside_long_ones(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(3000)]
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [(i, prose((5, 6, 9, 12, 15, 40)[i % 6])) for i in range(240)] + [(1000, prose(2004)), (1001, prose(504))]
+    docs = []
+    for i, item in items:
+        half = len(item) // 2
+        docs.append((len(docs), " ".join(prose(300) + item + prose(200))))
+        if len(item) > 30:  # in two places: the four shingles across the cut are missing
+            docs.append((len(docs), " ".join(prose(100) + item[:half] + prose(600) + item[half:] + prose(100))))
+    texts = [(i, " ".join(w)) for i, w in items]
+    rows = [(d, t, "en", "web", len(t)) for d, t in docs]
+    found = got(decontam.contained_items(spark.createDataFrame(rows, SCHEMA).repartition(4), spark.createDataFrame(texts, "item_id long, text string")))
+    assert found == brute(docs, texts) and len(found) >= len(items)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contained_items(docs, bench).collect() == []
