@@ -5,7 +5,7 @@ over such tokens: sequences with optional groups, repeated groups and text slots
 one page after another of a host with the wrapper so far: equal tokens stay, tokens of one side become optional,
 equal groups that follow one another become a repeated group, and differing texts a slot. A wrapper tells
 where the variable text of a host's pages lies; the page's own tokens of that place, without boilerplate groups and
-without texts that are the same on all pages, are its main text.
+without texts that are the same on all pages and lie before or after all that varies, are its main text.
 
 Scale. Every page of every host is aligned. Wrappers are folded in the tasks that read the pages and merged
 per host in bounded groups, FAN_IN at a time, so a host with a third of all pages is no single task. Only a short
@@ -32,8 +32,7 @@ FAN_IN = 32  # wrappers merged in one group
 WIDE = 64  # items of a level before it becomes one repeated group of optional items
 HOSTS_HELD = 500  # wrappers a task holds before it hands them on
 DEEP = 60  # levels of nesting that are told apart
-CONSTANT_PAGES = 8  # pages that must share a text before it counts as the host's own
-BROADCAST_HOSTS = 20_000  # rules (under 1 KB each) up to which they travel to the tasks; beyond, a join by host
+BROADCAST_HOSTS = 20_000  # rules (under 1 KB each, on average) up to which they travel to the tasks; beyond, a join by host
 
 # HTML element groups.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
@@ -54,6 +53,8 @@ BOILERPLATE = frozenset(
     "copyright disclaimer pagination pager toolbar complementary contentinfo search searchform".split()
 )
 TITLES = frozenset({"h1", "h2", "h3"})
+HEADINGS = TITLES | {"h4", "h5", "h6"}
+ENDS = HEADINGS | {"p", "li", "pre", "blockquote", "td", "tr"}  # groups that a path does not enter
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -240,47 +241,65 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def mass(items: list[list]) -> int:
-    """Characters outside links of all texts of a wrapper's items."""
-    return sum(x[4] + mass(x[5]) for x in items)
-
-
 def rule_of(wrapper: list[list]) -> dict:
-    """Where the variable text lies: the path of keys, and the checksums of constant texts below it."""
-    path: list[str] = []
-    items = wrapper
+    """Where the variable text lies: the smallest subtree with all of it, as the keys of each level of its path, and the
+    checksums of the host's own texts there.
+
+    A level's articles or mains stand for the level. Otherwise the path goes on only while a single group of the
+    level holds variable text and no heading stands beside it.
+    """
+    path: list[list[str]] = []
+    items, varying = wrapper, _varies(wrapper)
     while items:
-        total = mass(items)
-        named = [x for x in items if x[0].split(".")[0] in ("article", "main") and mass([x])]
-        best = max(named or items, key=lambda x: mass([x]))
-        tag = best[0].split(".")[0]
-        if best[0] == "#" or tag not in BLOCKS or tag in ("p", "li", "pre", "blockquote", "td", "tr") or (not named and mass([best]) < 0.6 * total):
+        named = [x for x in items if x[0].split(".")[0] in ("article", "main") and _holds(x, varying)]
+        live = named or [x for x in items if _holds(x, varying) or x[0].split(".")[0] in HEADINGS and _holds(x, False)]
+        keys = list(dict.fromkeys(x[0] for x in live))
+        tags = {k.split(".")[0] for k in keys}
+        if not named and (len(keys) != 1 or keys == ["#"] or not tags <= BLOCKS - ENDS):
             break
-        path.append(best[0])
-        items = best[5]
-        if tag == "article":
+        path.append(keys)
+        items = [y for x in live for y in x[5]]
+        if "article" in tags or len(live) > 1:
             break
-    constant: list[int] = []
-    if any(x[0] != "#" or not x[3] for x in items) and _varies(items):
-        constant = [x[3] for y in items for x in (y, *y[5]) if x[0] == "#" and x[3] and x[2] >= CONSTANT_PAGES and y[1] != REPEATED]
-    return {"path": path, "constant": constant[:100]}
+    return {"path": path, "constant": _own_of_host(items) if _varies(items) else []}
 
 
 def _varies(items: list[list]) -> bool:
     return any((x[0] == "#" and not x[3]) or _varies(x[5]) for x in items)
 
 
+def _holds(item: list, varying: bool, linked: bool = False) -> bool:
+    """Whether an item that may be read holds text outside links, variable text if ``varying``; a heading's links count."""
+    tag = item[0].split(".")[0]
+    if tag == "#":
+        return bool((item[4] or linked) and not (varying and item[3]))
+    return tag != "header" and any(_holds(x, varying, linked or tag in HEADINGS) for x in item[5])
+
+
+def _own_of_host(items: list[list]) -> list[int]:
+    """Checksums of the texts that stand once on every page before or after all variable texts and headings of a place."""
+    live = [k for k, x in enumerate(items) if _holds(x, True) or x[0].split(".")[0] in HEADINGS]
+    edge = [*items[: live[0]], *items[live[-1] + 1 :]] if live else []
+    return [c for x in edge for c in _fixed_texts(x)]
+
+
+def _fixed_texts(item: list) -> list[int]:
+    if item[1] != ONCE or item[2] < 2:
+        return []
+    return [item[3]] if item[0] == "#" and item[3] else [c for x in item[5] for c in _fixed_texts(x)]
+
+
 def extract(page: str, rule: dict | None) -> str:
     """The page's main text by its host's rule, or by its own tokens if the rule's place is not there."""
     root = parse(page)
     places = [root]
-    for key in (rule or {}).get("path", []):
-        places = [c for p in places for c in p.children if isinstance(c, Node) and c.key == key]
+    for keys in (rule or {}).get("path", []):
+        places = [c for p in places for c in p.children if isinstance(c, Node) and c.key in keys]
     if not places or (places == [root]):
         own = rule_of(items_of(root))["path"]
         places = [root]
-        for key in own:
-            places = [c for p in places for c in p.children if isinstance(c, Node) and c.key == key]
+        for keys in own:
+            places = [c for p in places for c in p.children if isinstance(c, Node) and c.key in keys]
     constant = set((rule or {}).get("constant", ()))
     blocks: list[str] = []
     for place in places:
@@ -379,7 +398,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "rule": pa.array(rules, pa.string())})
 
     rules = materialize(wrappers(pages).select("host", "wrapper").mapInArrow(ruled, "host string, rule string"))
-    small = rules.count() <= BROADCAST_HOSTS
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule")), F.lit(0))).first()
+    small = n <= BROADCAST_HOSTS and size <= BROADCAST_HOSTS * 1000
     with_host = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     joined = with_host.join(F.broadcast(rules) if small else rules, "host", "left").select("page_id", "url", "html", "rule")
 

@@ -87,5 +87,26 @@ def test_broken_pages_and_odd_rows(spark):
     assert found[8] == [("word " * 100_000).strip()]
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"https://one.example/{k}", page) for k, page in enumerate(pages)]
+    return [r.text for r in sorted(htmlwrap.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())]
+
+
+@pytest.mark.parametrize("n", [4, 12])
+def test_nothing_beside_the_largest_group_is_lost(spark, n):
+    words = lambda k, m: " ".join(f"w{k * 7 % 31}x{i * k % 17}" for i in range(m))
+    body = lambda k: f"<p>{words(k, 60)}</p><p>{words(k + 50, 40)}</p>"
+    own = "<div class='top'><p>Welcome to this site</p></div>"
+    posts = [f"<body>{own}<div class='post'><h1>Title {k}</h1><p>lead {k}</p><div class='entry'>{body(k)}</div></div></body>" for k in range(n)]
+    text = [f"{words(k, 60)}\n\n{words(k + 50, 40)}" for k in range(n)]
+    assert texts_of(spark, posts) == [f"Title {k}\n\nlead {k}\n\n{text[k]}" for k in range(n)]
+    mains = [f"<body>{own}<main><h1>Title {k}</h1><div>{body(k)}</div></main></body>" for k in range(n)]
+    assert texts_of(spark, mains) == [f"Title {k}\n\n{text[k]}" for k in range(n)]
+    two = [f"<body>{own}<div class='left'><p>{words(k, 65)}</p></div><div class='right'><p>{words(k + 9, 35)}</p></div><div><p>Thanks to all</p></div></body>" for k in range(n)]
+    assert texts_of(spark, two) == [f"{words(k, 65)}\n\n{words(k + 9, 35)}" for k in range(n)]
+    heads = [f"<body><article><h1>Title {k}</h1><h2>Summary</h2><p>short {k}</p><h2>More</h2><div>{body(k)}</div></article></body>" for k in range(n)]
+    assert texts_of(spark, heads) == [f"Title {k}\n\nSummary\n\nshort {k}\n\nMore\n\n{text[k]}" for k in range(n)]
+
+
 def test_empty_table(spark):
     assert htmlwrap.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
