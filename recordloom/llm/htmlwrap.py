@@ -18,6 +18,7 @@ import html as html_lib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +32,7 @@ from recordloom.llm.common import materialize
 FAN_IN = 32  # wrappers merged in one group
 WIDE = 64  # items of a level before it becomes one repeated group of optional items
 HOSTS_HELD = 500  # wrappers a task holds before it hands them on
-DEEP = 60  # levels of nesting that are told apart
+DEEP = 60  # levels of nesting that a wrapper tells apart; pages are read to any depth
 BROADCAST_HOSTS = 20_000  # rules (under 1 KB each, on average) up to which they travel to the tasks; beyond, a join by host
 
 # HTML element groups.
@@ -87,6 +88,7 @@ def parse(page: str) -> Node:
     """The page's tokens, nested by their tags; unclosed and stray tags are mended as browsers do."""
     root = Node("", "", False)
     stack = [root]
+    opened: Counter[str] = Counter()  # elements of the stack by tag, so a tag that is not open costs no walk
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -99,35 +101,42 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    _pop(stack, k, opened)
                     break
                 if stack[k].tag in ("table", "td") and tag not in ("table", "tr", "tbody", "thead", "body", "html"):
                     break
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"})
-            if tag in TITLES or tag in ("h4", "h5", "h6"):
-                _close(stack, {"h1", "h2", "h3", "h4", "h5", "h6"})
+            _close(stack, {"p"}, opened)
+            if tag in HEADINGS:
+                _close(stack, HEADINGS, opened)
         if tag in SAME_LEVEL:
-            _close(stack, SAME_LEVEL[tag])
+            _close(stack, SAME_LEVEL[tag], opened)
         node = _open(tag, m[3] or m[6] or "")
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/") and len(stack) < DEEP:
+        elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root
 
 
-def _close(stack: list[Node], tags: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
+def _pop(stack: list[Node], first: int, opened: Counter[str]) -> None:
+    for node in stack[first:]:
+        opened[node.tag] -= 1
+    del stack[first:]
+
+
+def _close(stack: list[Node], tags: frozenset[str] | set[str], opened: Counter[str]) -> None:
+    for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in tags) else ():
         if stack[k].tag in tags:
-            del stack[k:]
+            _pop(stack, k, opened)
             return
         if stack[k].tag in SCOPES:
             return
@@ -138,16 +147,20 @@ def _close(stack: list[Node], tags: set[str]) -> None:
 ONCE, OPTIONAL, REPEATED = 0, 1, 2
 
 
-def items_of(node: Node, linked: bool = False) -> list[list]:
-    """Wrapper items of one page's children; boilerplate groups stay as tokens without contents."""
+def items_of(node: Node, linked: bool = False, depth: int = 0) -> list[list]:
+    """Wrapper items of one page's children; boilerplate groups stay as tokens without contents.
+
+    What lies deeper than DEEP levels is one text of its group: a path ends above it, and it is read whole.
+    """
     out: list[list] = []
+    if depth >= DEEP:
+        return _texts_as_one([_text_item(x, link) for x, link in _deep_texts(node, linked) if not x.isspace()])
     for child in node.children:
         if isinstance(child, str):
-            words = " ".join(child.split())
-            if words:
-                out.append(["#", ONCE, 1, zlib.crc32(words.encode("utf-8", "replace")) or 1, 0 if linked else len(words), []])
+            if not child.isspace():
+                out.append(_text_item(child, linked))
         elif not child.skip:
-            own = items_of(child, linked or child.tag == "a")
+            own = items_of(child, linked or child.tag == "a", depth + 1)
             if child.tag in BLOCKS:
                 out.append([child.key, ONCE, 1, 0, 0, own])
             else:  # inline markup is part of the text around it
@@ -157,6 +170,22 @@ def items_of(node: Node, linked: bool = False) -> list[list]:
     return fold_repeats(out)
 
 
+def _text_item(text: str, linked: bool) -> list:
+    words = " ".join(text.split())
+    return ["#", ONCE, 1, zlib.crc32(words.encode("utf-8", "replace")) or 1, 0 if linked else len(words), []]
+
+
+def _deep_texts(node: Node, linked: bool) -> Iterator[tuple[str, bool]]:
+    """The texts of a subtree outside boilerplate groups, and whether they are links."""
+    left: list[tuple[Node | str, bool]] = [(c, linked) for c in reversed(node.children)]
+    while left:
+        child, link = left.pop()
+        if isinstance(child, str):
+            yield child, link
+        elif not child.skip and child.tag != "header":
+            left += [(c, link or child.tag == "a") for c in reversed(child.children)]
+
+
 def _texts_as_one(items: list[list]) -> list[list]:
     out: list[list] = []
     for item in items:
@@ -317,24 +346,36 @@ def _flush(run: list[str], blocks: list[str], constant: set[int]) -> None:
 
 
 def _has_title(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag in TITLES or _has_title(c)) for c in node.children)
+    left = [node]
+    while left:
+        for c in left.pop().children:
+            if isinstance(c, Node):
+                if c.tag in TITLES:
+                    return True
+                left.append(c)
+    return False
 
 
 def _read(node: Node, run: list[str], blocks: list[str], constant: set[int]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
+    left: list[tuple[Node, Iterator[Node | str]]] = [(node, iter(node.children))]
+    while left:
+        parent, children = left[-1]
+        child = next(children, None)
+        if child is None:
+            left.pop()
+            if left and parent.tag in BLOCKS:
+                _flush(run, blocks, constant)
+        elif isinstance(child, str):
             run.append(child)
         elif child.tag == "br":
             run.append(" ")
-        elif child.skip or (child.tag == "header" and not (node.tag == "article" and _has_title(child))):
+        elif child.skip or (child.tag == "header" and not (parent.tag == "article" and _has_title(child))):
             if child.tag in BLOCKS:
                 _flush(run, blocks, constant)
-        elif child.tag in BLOCKS:
-            _flush(run, blocks, constant)
-            _read(child, run, blocks, constant)
-            _flush(run, blocks, constant)
         else:
-            _read(child, run, blocks, constant)
+            if child.tag in BLOCKS:
+                _flush(run, blocks, constant)
+            left.append((child, iter(child.children)))
 
 
 def host_of(url):

@@ -108,5 +108,17 @@ def test_nothing_beside_the_largest_group_is_lost(spark, n):
     assert texts_of(spark, heads) == [f"Title {k}\n\nSummary\n\nshort {k}\n\nMore\n\n{text[k]}" for k in range(n)]
 
 
+def test_what_follows_or_is_boilerplate_below_deep_nesting(spark):
+    def page(k, deep):
+        inner = f"<p>deep {k}</p><nav><ul><li>menu {k}</li></ul></nav><header>head {k}</header><div>a {k}<div>b {k}</div>c {k}</div>"
+        return f"<body><article><h1>Title {k}</h1>" + "<div>" * deep + inner + "</div>" * deep + f"<p>after {k}</p></article><div><p>outside {k}</p></div></body>"
+
+    for deep in (3, 62, 75, 3000):
+        expected = [f"Title {k}\n\ndeep {k}\n\na {k}\n\nb {k}\n\nc {k}\n\nafter {k}" for k in range(3)]
+        assert texts_of(spark, [page(k, deep) for k in range(3)]) == expected, deep
+    inline = ["<body><p>" + "<b>" * 3000 + f"in {k}" + "</b>" * 3000 + f" out {k}</p></body>" for k in range(3)]
+    assert texts_of(spark, inline) == [f"in {k} out {k}" for k in range(3)]
+
+
 def test_empty_table(spark):
     assert htmlwrap.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
