@@ -90,12 +90,14 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fitting_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` different texts of each language, by the order of a hash of the text.
 
-    A threshold on the hash, from the language's count, keeps what is ranked small before any row moves.
+    A threshold on the hash, from the language's number of different texts, keeps what is ranked small before any
+    text moves; copies do not lower it.
     """
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 50)) / F.lit(float(1 << 50))
+    placed = labelled.select("text", "lang", place.alias("place"))
+    counts = placed.groupBy("lang", "place").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
     counts = counts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    near = labelled.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("n") <= 3.0 * per_language)
+    near = placed.join(F.broadcast(counts), "lang").where(F.col("place") * F.col("different") <= 3.0 * per_language)
     ranked = near.groupBy("lang", "place", "text").agg(F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
     return ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank")
 

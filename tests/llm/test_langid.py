@@ -50,6 +50,15 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(empty, langid.fit(langid.training_rows(empty))).collect() == []
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    rows = spark.range(4000).selectExpr("'one text of many copies' AS text", "'xx' AS lang")
+    for lang, n in (("xx", 10), ("yy", 50), ("zz", 3)):
+        rows = rows.unionByName(spark.range(n).selectExpr(f"concat('text of {lang} ', id) AS text", f"'{lang}' AS lang"))
+    found = langid.fitting_sample(rows, per_language=5).collect()
+    assert {x: sorted(r["rank"] for r in found if r.lang == x) for x in ("xx", "yy", "zz")} == {"xx": [1, 2, 3, 4, 5], "yy": [1, 2, 3, 4, 5], "zz": [1, 2, 3]}
+    assert len({r.text for r in found}) == 13
+
+
 def test_one_language(spark):
     docs = spark.createDataFrame([(i, f"some words {i}", "en", "web", 10) for i in range(20)], SCHEMA)
     found = langid.identify(docs, langid.fit(langid.training_rows(docs))).collect()
