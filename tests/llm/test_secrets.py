@@ -1,8 +1,12 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from recordloom.llm import secrets
 from recordloom.llm.queries import op3_secret_scan
 from tests.llm.fixtures import SCHEMA, odd_rows, plain_documents, with_clashes
@@ -112,3 +116,49 @@ def test_the_plan_has_no_python_and_no_exchange(spark, small):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_entropy_of_long_candidates_is_that_of_every_window(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(chars) for _ in range(n)) for n in (19, 20, 21, 4096, 4115, 4116, 10_000) for chars in ("ab1", "0123456789abcdef", "+/=-_AZaz09xyzQ")]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k long, w string").select("k", secrets.window_entropy(F.col("w")).alias("bits"))
+    for r in df.collect():
+        word = words[r.k]
+        best = max((entropy(word[i : i + secrets.WINDOW]) for i in range(len(word) - secrets.WINDOW + 1)), default=0.0)
+        assert abs(r.bits - best) < 1e-9
+
+
+def test_only_the_last_windows_of_a_long_candidate_are_random(spark, tmp_path):
+    tail = "q8Zk2LmN0pRs7TuVwXy3"
+    texts = ["a1" * n + tail for n in (2040, 2043, 2048, 2053)] + ["a1" * 2060, "x " + "b2" * 5000 + tail + " y"]
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert columns(op3_secret_scan(spark, str(tmp_path)).collect()) == expected([r[:2] for r in rows])
+
+
+def test_a_million_characters_and_many_matches_take_time_in_proportion(spark):
+    rng = random.Random(5)
+    word = "".join(rng.choice("xy1") for _ in range(1_000_000))
+    many = " ".join(f"password=abcdefgh{k:06d}" for k in range(20_000))
+    df = spark.createDataFrame([(1, "g" + word), (2, many)], "doc_id long, text string").repartition(2)
+    start = time.monotonic()
+    found = {r.doc_id: r for r in secrets.redact(df).select("doc_id", F.char_length("text").alias("n"), F.md5("text").alias("h")).collect()}
+    assert time.monotonic() - start < 90
+    assert found[1].n == 1_000_001
+    assert found[2].h == hashlib.md5(" ".join(["[SECRET]"] * 20_000).encode()).hexdigest()
+
+
+def test_redaction_across_block_edges(spark):
+    rng = random.Random(6)
+    texts = []
+    for shift in range(-30, 31, 5):
+        texts.append("é" * (secrets.BLOCK + shift) + " password=hunter2hunter2 and token=0123456789abcdef0123456789abcdef0 " + "z " * rng.randrange(20_000))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redact(df).collect():
+        want, at, text = "", 0, texts[r.doc_id]
+        spans = sorted((int(a), int(b)) for a, b in (x.split(":")[1:] for x in join([*base_of(text), *more_of(text, base_of(text))]).split(",")))
+        for a, b in spans:
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == want + text[at:]
