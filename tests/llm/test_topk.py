@@ -27,6 +27,7 @@ def test_ties_nulls_dimensions_and_many_tiles(spark, monkeypatch, k):
     monkeypatch.setattr(topk, "SHARD", 8)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     monkeypatch.setattr(topk, "FAN_IN", 3)
+    monkeypatch.setattr(topk, "ROUND_BYTES", 20)
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(120)]
     rows += [(200 + i, rows[7][1]) for i in range(30)]
@@ -54,3 +55,17 @@ def test_scores_beyond_long_are_its_ends(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk.top_k(df, df, 5).collect() == []
+
+
+def test_repeated_query_rows_make_one_list(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [0.0, 4.0]), (2, [0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0"), 4).orderBy("rank").collect()]
+    assert got == [(1, 2, 8 << 16), (2, 2, 8 << 16), (3, 1, 3 << 16), (4, 1, 3 << 16)]
+
+
+def test_ties_of_negative_extremes(spark):
+    rows = [(0, [1e300]), (5, [-1e308]), (4, [-1e308]), (3, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()]
+    assert got == [(3, -(1 << 63)), (4, -(1 << 63))]
