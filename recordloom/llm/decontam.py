@@ -7,17 +7,20 @@ size needs for a containment of 0.8 (the tuning of LSH Ensemble: the containment
 threshold that depends on the sizes). Items too short for the bands there are, are looked up by their shingles.
 A candidate is verified by the exact share of the item's shingles that the whole document holds.
 
-Scale. One pass over the documents and no shuffle of text. Items are taken in blocks of a fixed size, so
-what travels to the tasks is bounded; a longer list of items costs another pass for each block.
+Scale. One pass over the documents and no shuffle of text. Items are taken in blocks of a fixed size and similar
+sizes, so what travels through the driver to the tasks is bounded; a block's pairs are written to the shared folder before
+the next one is fetched, and a longer list of items costs another pass for each block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from recordloom.llm.common import of_ids, written
 WIDTH = 5
 CONTAINMENT = 0.8
 SEGMENT = 192  # shingles of a segment at most, beside its overlap
-BLOCK_ITEMS = 2000  # items sent to the tasks at once
+BLOCK_ITEMS = 4000  # items sent to the tasks at once
 BLOCK_SHINGLES = 400_000  # and their shingles at most, but for a single longer item
 MISS = 1e-3  # chance to overlook a pair just at the threshold
 MAX_HASHES = 256
@@ -190,23 +193,30 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, c
     rows of either side give repeated pairs of documents and one pair for each item id; empty tables give no rows.
     """
     sets = item_sets(benchmark, width).groupBy("item_id", "keys").agg(F.size(F.first("keys")).alias("n"))
-    blocks: list[tuple[list[int], list[np.ndarray]]] = []
-    for row in sets.orderBy("n", "item_id").toLocalIterator():  # one block at a time leaves for the tasks
-        if not blocks or len(blocks[-1][0]) >= BLOCK_ITEMS or sum(map(len, blocks[-1][1])) >= BLOCK_SHINGLES:
-            blocks.append(([], []))
-        blocks[-1][0].append(row.item_id)
-        blocks[-1][1].append(np.array(row["keys"], np.int64).view(np.uint64))
     schema = "doc_id long, item_id long, shared int, item_shingles int, containment double"
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.sparkSession.createDataFrame([], schema)
-    for ids, keys in blocks:
-        found = found.unionByName(_search_block(texts, ids, keys, width, containment, schema))
-    return found
-
-
-def _search_block(texts: DataFrame, ids: list[int], sets: list[np.ndarray], width: int, containment: float, schema: str) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast((ids, sets))
-
+    found: list[DataFrame] = []
+    ids: list[int] = []
+    keys: list[np.ndarray] = []
+
+    def search_held() -> None:
+        shared = docs.sparkSession.sparkContext.broadcast((list(ids), list(keys)))
+        ids.clear()
+        keys.clear()
+        found.append(written(_search_block(texts, shared, width, containment, schema)))
+        shared.destroy()
+
+    for row in sets.orderBy("n", "item_id").toLocalIterator():  # one block is held at a time, and leaves with its search
+        ids.append(row.item_id)
+        keys.append(np.array(row["keys"], np.int64).view(np.uint64))
+        if len(ids) >= BLOCK_ITEMS or sum(map(len, keys)) >= BLOCK_SHINGLES:
+            search_held()
+    if ids:
+        search_held()
+    return reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], schema))
+
+
+def _search_block(texts: DataFrame, shared: Broadcast, width: int, containment: float, schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, table = ItemBlock(*shared.value, containment), tb.plain_words()
         for whole in batches:

@@ -89,3 +89,20 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f", "en", "web", 11)], SCHEMA)
     assert decontam.contained_items(some, bench).collect() == []
     assert decontam.clean_documents(some, bench).count() == 1
+
+
+def test_every_length_of_item_in_long_documents(spark):
+    """Items of 1 to 10 shingles, beside one of 400, each whole in a document of 2 000 words."""
+    rnd = random.Random(19)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(3000)]
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [(i, prose(5 + i % 10)) for i in range(300)] + [(1000, prose(404))]
+    docs = []
+    for i, item in items:
+        place = rnd.randrange(1900)
+        docs.append((i, " ".join(prose(place) + item + prose(2000 - place))))
+    rows = [(d, t, "en", "web", len(t)) for d, t in docs]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontam.contained_items(spark.createDataFrame(rows, SCHEMA).repartition(4), bench).collect()
+    whole = {(r.doc_id, r.item_id) for r in found}
+    assert sum((i, i) in whole for i, _ in items) >= 0.99 * len(items)
