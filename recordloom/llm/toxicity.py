@@ -6,6 +6,8 @@ stands in toxic than in other texts of a bounded sample of labelled rows, joined
 counts. A match inside an exception phrase does not count. The sum of weights less what a toxic text of that length
 would hold of matches becomes a probability by a fitted logistic curve.
 
+Two words that texts of label 0 hold together with a match, and no text of label 1, become an exception phrase.
+
 Scale. Labels are sampled before texts are read: at most SAMPLE rows of each label, whose ids are sent to
 the tasks, so no text is shuffled to learn from it. Words are counted by distinct predecessors, so that repeated
 lines and copies count once. Scoring is a map over whole texts with an automaton of bounded size.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,8 +31,6 @@ from recordloom.llm.common import materialize, received, sent_to_tasks
 from recordloom.llm.langid import held_out
 
 SAMPLE = 8000  # rows of each label at most that the lexicon and the curve are learned from
-ENTRIES = 5000  # of the lexicon at most, by gain
-CANDIDATES = 100_000  # entries looked at, by occurrences
 MIN_CONTEXTS = 4  # different words before an entry in toxic texts
 MIN_RATIO = 4.0  # of an entry's frequency in toxic texts to that in others
 MIN_GAIN = 12.0  # log-likelihood by which an entry tells toxic texts from others
@@ -46,11 +47,12 @@ FIXED = (
     "scum scumbag shit slut stupid subhuman trash vermin whore worthless"
 ).split()
 PRIOR = 2.0
-# Phrases whose words are not meant as abuse.
+# Phrases whose words are not meant as abuse; more are learned from texts of label 0.
 EXCEPTIONS = (
-    "class clown|clown fish|circus clown|trash can|trash bin|trash bag|white trash bag|garbage collection|garbage collector|garbage truck|guinea pig|"
-    "pig iron|control freak|fool proof|idiot proof|dumb waiter|dumb terminal|fools gold|stupid simple|loser bracket|pond scum filter"
+    "class clown|clown fish|circus clown|trash can|trash bin|trash bag|garbage collection|garbage collector|garbage truck|guinea pig|"
+    "pig iron|control freak|fool proof|idiot proof|dumb waiter|dumb terminal|fools gold"
 ).split("|")
+LEAST_CLEAN = 3  # sampled texts of label 0, and none of label 1, that make two words an exception
 # Look-alike letters of other scripts.
 LOOK_ALIKES = dict(zip("аеорсхуіѕјһкмтвнԁԛԝαοειкνρτυωɑɡıℓ", "aeopcxyisjhkmtbhdqwaoeiknptuwagil", strict=True))
 # Digits and signs read as letters.
@@ -167,8 +169,32 @@ class Model:
                     spared.append((start, end))
                 else:
                     at[start] = max(at.get(start, 0.0), weight)
-        counted = [w for start, w in at.items() if not any(a <= start < b for a, b in spared)] if spared else list(at.values())
-        return sum(counted), len(counted), len(folded.split())
+        if spared:
+            covered = merged(spared)
+            begins = [a for a, _ in covered]
+
+            def is_spared(start: int) -> bool:
+                k = bisect_right(begins, start) - 1
+                return k >= 0 and start < covered[k][1]
+
+            at = {start: w for start, w in at.items() if not is_spared(start)}
+        return sum(at.values()), len(at), len(folded.split())
+
+    def pairs(self, text: str) -> set[str]:
+        """Each matched word of the folded text with the word before and with the word behind it."""
+        folded = fold(text)
+        starts = {end - size + 1 for end, (size, weight) in self.matchers()[0].iter(folded) if weight is not None} if len(self.matchers()[0]) else set()
+        out: set[str] = set()
+        at, words = 0, folded.split(" ")
+        hits = []
+        for word in words:
+            hits.append(bool(word) and at - 1 in starts)
+            at += len(word) + 1
+        full = [(w, h) for w, h in zip(words, hits, strict=True) if w]
+        for (a, hit_a), (b, hit_b) in zip(full, full[1:], strict=False):
+            if hit_a or hit_b:
+                out.add(f"{a} {b}")
+        return out
 
     def raw(self, text: str) -> tuple[float, int]:
         """The sum of weights less what a toxic text of this length has of matches, and the number of matches."""
@@ -179,6 +205,17 @@ class Model:
         return float(self.floor + (1 - self.floor) / (1 + np.exp(-(self.slope * raw + self.shift))))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as ordered spans without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """Slope, shift and floor of the likeliest curve floor + (1 - floor) * logistic(slope * x + shift).
 
@@ -214,8 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n1, n0 = totals.get(1, 0) + 1.0, totals.get(0, 0) + 1.0
     fixed = {fold(w).strip() + " " for w in FIXED}
     entries = materialize(_entries(words))
-    often = entries.where(F.col("a") >= MIN_CONTEXTS).where(F.col("a") / n1 >= MIN_RATIO * (F.col("b") + 0.5) / n0)
-    found = {r.entry: (r.a, r.b) for r in often.orderBy(F.col("a").desc(), "entry").limit(CANDIDATES).collect()}  # bounded
+    both = (F.col("a") + F.col("b")) / F.lit(n1 + n0)
+    gained = F.col("a") * F.log(F.col("a") / n1 / both) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n0 / both)).otherwise(0.0)
+    often = entries.where(F.col("a") >= MIN_CONTEXTS).where(F.col("a") / n1 >= MIN_RATIO * (F.col("b") + 0.5) / n0).where(gained >= MIN_GAIN * 0.999)
+    found = {r.entry: (r.a, r.b) for r in often.collect()}  # entries that tell the labels of a bounded sample apart
     known = {r.entry: (r.a, r.b) for r in entries.where(F.col("entry").isin(sorted(fixed))).collect()}
 
     def weight_of(a: float, b: float) -> float:
@@ -229,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weights: dict[str, float] = {}
     heads: set[str] = set()  # beginnings of the entries so far
     for entry, (a, b) in sorted(found.items(), key=lambda x: (-round(gain(*x[1]), 6), -len(x[0]), x[0])):
-        if len(weights) >= ENTRIES or gain(a, b) < MIN_GAIN:
+        if gain(a, b) < MIN_GAIN:
             break
         if entry not in heads and not any(entry[:k] in weights for k in range(SHORTEST, len(entry))):
             weights[entry] = weight_of(a, b)
@@ -239,6 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if (w := weight_of(a + PRIOR, b)) > 0:
             weights[entry] = max(w, FIXED_WEIGHT if not b else w, weights.get(entry, 0.0))
     model = Model(weights, list(EXCEPTIONS))
+    model.exceptions += [x for x in learned_exceptions(sample, model) if x not in model.exceptions]
+    model.automaton = model.plain = None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,10 +301,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def learned_exceptions(sample: DataFrame, model: Model) -> list[str]:
+    """Pairs of successive words with an entry's match that LEAST_CLEAN texts of label 0 hold and no text of label 1."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                pairs = sorted(model.pairs(text))
+                yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(pairs), pa.int32()), "phrase": pa.array(pairs, pa.string())})
+
+    pairs = sample.select("text", "toxic").mapInArrow(cut, "toxic int, phrase string").groupBy("phrase").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.count("*").alias("n"))
+    return sorted(r.phrase for r in pairs.where(f"a = 0 AND n >= {LEAST_CLEAN}").collect())
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted, matches`` for every row: the probability of label 1 from the whole text alone.
 
-    Null and empty texts have no match and the score of a text without one. Repeated rows get equal results.
+    Null and empty texts have no match and the score of a text without one. Repeated rows get equal results; an empty
+    table gives no rows. Columns beside ``doc_id, text`` play no part.
     """
     shared = sent_to_tasks(docs.sparkSession, model)
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -72,3 +73,59 @@ def test_curve_finds_a_floor():
     y = (rng.random(6000) < p).astype(float)
     slope, shift, floor = toxicity.curve(x, y, np.ones(6000))
     assert abs(slope - 1.2) < 0.25 and abs(shift + 3) < 0.7 and 0.005 < floor < 0.04
+
+
+def naive(model, text):
+    """Matches by looking for every entry at every word, word by word."""
+    total = n = 0
+    variants = [toxicity.fold(text)] + ([] if text.isascii() else [toxicity.fold(text, True)])
+    fixed = {toxicity.fold(w).strip() + " " for w in toxicity.FIXED}
+    size = len(variants[0])
+    covered, best = set(), {}
+    for k, folded in enumerate(variants):
+        for phrase in model.exceptions:
+            own = toxicity.fold(phrase)
+            for at in range(size):
+                if folded.startswith(own, at):
+                    covered.update(range(at, at + len(own) - 1))
+        for entry, weight in model.weights.items():
+            if k and entry not in fixed:
+                continue
+            for at in range(size):
+                if folded.startswith(" " + entry, at):
+                    best[at] = max(best.get(at, 0.0), weight)
+    for at, weight in best.items():
+        if at not in covered:
+            total, n = total + weight, n + 1
+    return total, n, len(variants[0].split())
+
+
+def test_matches_equal_a_naive_scan():
+    rng = np.random.default_rng(8)
+    words = ["idiot", "trash", "can", "clown", "fish", "1d10t", "tràsh", "guinea", "pig", "pigs", "iron", "x", "scum", "idiotic", "ID1OT"]
+    m = toxicity.Model({"idiot ": 3.0, "trash ": 2.5, "ciown ": 1.5, "pig ": 2.0, "idio": 1.0, "scu": 4.0}, list(toxicity.EXCEPTIONS) + ["x trash"])
+    m.weights = {toxicity.fold(k.strip()).strip() + (" " if k.endswith(" ") else ""): v for k, v in m.weights.items()}
+    for _ in range(200):
+        text = " ".join(rng.choice(words, rng.integers(0, 30)).tolist())
+        got, want = m.matches(text), naive(m, text)
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9, text
+
+
+def test_many_exceptions_take_time_in_proportion():
+    m = model_of(["trash"])
+    start = time.monotonic()
+    assert m.matches("trash can " * 100_000 + "trash")[1] == 1
+    assert time.monotonic() - start < 10
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    rows, labels = [], []
+    for k in range(120):
+        rows.append((k, f"you word{k} zorgle, go home{k} zorgle", "en", "web", 0))
+        labels.append((k, 0, 1))
+        rows.append((1000 + k, f"plain words number {k} of a text" + (f" with zorgle bread {k}" if k % 10 == 0 else ""), "en", "web", 0))
+        labels.append((1000 + k, 0, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert toxicity.fold("zorgle bread").strip() in m.exceptions
+    assert m.matches("a zorgle bread")[1] == 0 and m.matches("a zorgle")[1] > 0
