@@ -6,8 +6,8 @@ elastic-net penalties (McMahan et al. 2013) on a bounded sample of each language
 held-back rows of that sample calibrates its probabilities.
 
 Scale. Two passes over the texts (frequencies, predictions), each a map; what is aggregated is a table of
-DIMENSION counts. The sample is bounded by PER_LANGUAGE rows of each language, featurised before it moves, and
-fitted in one task; the model's size is DIMENSION times the number of languages.
+DIMENSION counts. The sample is bounded by PER_LANGUAGE rows of each language and SAMPLE_ROWS of all, featurised before
+it moves, and fitted in one task; the model has MODEL_CELLS weights at most, and every labelled language.
 """
 
 from __future__ import annotations
@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import received, sent_to_tasks
+from recordloom.llm.common import received, sent_to_tasks, written
 
 DIMENSION = 1 << 15
 ORDERS = (1, 2, 3)
-MOST_LANGUAGES = 1000  # languages that are told apart, by their labelled rows: bounds the model and its sample
-PER_LANGUAGE = 1000  # rows of the fitting sample for each language, of which a fifth calibrates
+PER_LANGUAGE = 1000  # rows of the fitting sample for each language at most, of which a fifth calibrates
+SAMPLE_ROWS = 20_000  # and of all languages together, as far as each keeps LEAST_ROWS
+LEAST_ROWS = 20
+MODEL_CELLS = 1 << 24  # buckets times languages: more languages share fewer buckets, none is left out
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
+BROADCAST_LANGUAGES = 100_000  # rows of a name and a count up to which they travel to the tasks; beyond, a join
 UNKNOWN = "und"
 
 
@@ -38,19 +41,28 @@ def held_out(doc_id: str | Column, parts: int, part: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % parts) == part
 
 
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """The size of the n-gram table: DIMENSION, halved until the model of all languages keeps within MODEL_CELLS."""
+    size = DIMENSION
+    while size > 256 and size * languages > MODEL_CELLS:
+        size //= 2
+    return size
+
+
+def gram_counts(text: str, dimension: int = DIMENSION) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the text's n-grams, ascending, and how often each occurs. Space runs count as one space."""
     folded = " " + " ".join(text.lower().split()) + " "
     code = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(DIMENSION, np.int64)
+    shift = np.uint32(33 - dimension.bit_length())
+    places = []
     acc = np.zeros(len(code), np.uint32)
     for order in ORDERS:
         n = len(code) - order + 1
         if n <= 0:
             break
         acc = acc[:n] * np.uint32(0x01000193) + code[order - 1 :]
-        spread = (acc ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        total += np.bincount((spread >> np.uint32(17)).astype(np.int64), minlength=DIMENSION)
+        places.append(((acc ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> shift)
+    total = np.bincount(np.concatenate(places), minlength=dimension)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -64,22 +76,22 @@ def _usable(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+def frequencies(texts: DataFrame, dimension: int = DIMENSION) -> tuple[np.ndarray, int]:
     """In how many of the texts each bucket occurs, and the number of texts with a letter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIMENSION, np.int64), 0
+        total, n = np.zeros(dimension, np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if _usable(text):
-                    total[gram_counts(text)[0]] += 1
+                    total[gram_counts(text, dimension)[0]] += 1
                     n += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(total[some], n), pa.int64())})
 
     rows = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    frequency, n = np.zeros(DIMENSION, np.int64), 0
-    for bucket, total in rows:  # DIMENSION + 1 rows at most
+    frequency, n = np.zeros(dimension, np.int64), 0
+    for bucket, total in rows:  # dimension + 1 rows at most
         if bucket < 0:
             n = total
         else:
@@ -88,24 +100,26 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fitting_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` different texts of each language, by the order of a hash of the text.
+    """At most ``per_language`` different texts of each language, by the order of a hash of the text; fewer if all languages
+    together would exceed SAMPLE_ROWS, but LEAST_ROWS at least.
 
     A threshold on the hash, from the language's number of different texts, keeps what is ranked small before any
     text moves; copies do not lower it.
     """
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 50)) / F.lit(float(1 << 50))
     placed = labelled.select("text", "lang", place.alias("place"))
-    counts = placed.groupBy("lang", "place").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
-    counts = counts.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    near = placed.join(F.broadcast(counts), "lang").where(F.col("place") * F.col("different") <= 3.0 * per_language)
+    counts = written(placed.groupBy("lang", "place").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("different")))
+    languages = counts.count()
+    quota = min(per_language, max(LEAST_ROWS, SAMPLE_ROWS // max(1, languages)))
+    near = placed.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(F.col("place") * F.col("different") <= 3.0 * quota)
     ranked = near.groupBy("lang", "place", "text").agg(F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
-    return ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank")
+    return ranked.where(F.col("rank") <= quota).select("text", "lang", "rank")
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs: int = EPOCHS, seed: int = 5) -> np.ndarray:
-    """Weights (DIMENSION + 1 for the intercept, classes) after FTRL-proximal with elastic-net penalties."""
-    z = np.zeros((DIMENSION + 1, n_classes))
-    n = np.zeros((DIMENSION + 1, n_classes))
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs: int = EPOCHS, seed: int = 5, dimension: int = DIMENSION) -> np.ndarray:
+    """Weights (a row for each bucket and the intercept, classes) after FTRL-proximal with elastic-net penalties."""
+    z = np.zeros((dimension + 1, n_classes))
+    n = np.zeros((dimension + 1, n_classes))
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[at]
@@ -124,7 +138,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    return weights(np.arange(DIMENSION + 1))
+    return weights(np.arange(dimension + 1))
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -151,8 +165,9 @@ class Model:
         self.langs, self.idf, self.weights, self.heat = langs, idf, weights, heat
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = gram_counts(text)
-        return np.append(at, DIMENSION), np.append(_weighted(at, n, self.idf), 1.0)
+        dimension = len(self.idf)
+        at, n = gram_counts(text, dimension)
+        return np.append(at, dimension), np.append(_weighted(at, n, self.idf), 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not _usable(text) or not self.langs:
@@ -168,12 +183,13 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows ``text, lang``; rows of a null language or without a letter are left out."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    frequency, total = frequencies(usable)
+    dimension = buckets_for(usable.select("lang").distinct().count())
+    frequency, total = frequencies(usable, dimension)
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [gram_counts(t) for t in batch["text"]]
+            out = [gram_counts(t, dimension) for t in batch["text"]]
             yield pd.DataFrame({"lang": batch["lang"], "rank": batch["rank"], "at": [a.astype(np.int32) for a, _ in out], "n": [n.astype(np.int32) for _, n in out]})
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,12 +197,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         number = {x: k for k, x in enumerate(langs)}
         pdf = pdf.sort_values(["lang", "rank"], kind="stable")
         rows = [
-            (np.append(np.asarray(a), DIMENSION), np.append(_weighted(np.asarray(a), np.asarray(n), idf), 1.0), number[x])
+            (np.append(np.asarray(a), dimension), np.append(_weighted(np.asarray(a), np.asarray(n), idf), 1.0), number[x])
             for a, n, x in zip(pdf["at"], pdf["n"], pdf["lang"], strict=True)
         ]
         back = (pdf["rank"] % 5 == 0).to_numpy()
         learn = [r for r, b in zip(rows, back, strict=True) if not b] or rows
-        weights = ftrl(learn, len(langs))
+        weights = ftrl(learn, len(langs), dimension=dimension)
         kept = [r for r, b in zip(rows, back, strict=True) if b]
         heat = temperature(np.array([x @ weights[a] for a, x, _ in kept]).reshape(len(kept), len(langs)), np.array([y for _, _, y in kept], int))
         at, k = np.nonzero(weights)
@@ -196,12 +212,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     wide = sample.mapInPandas(featurise, "lang string, rank int, at array<int>, n array<int>")
     fitted = wide.withColumn("model", F.lit(1)).groupBy("model").applyInPandas(train, "lang string, at int, w double").collect()  # a bounded sample's model
     langs = sorted({r.lang for r in fitted})
-    weights, heat = np.zeros((DIMENSION + 1, len(langs))), 1.0
+    weights, heat = np.zeros((dimension + 1, len(langs))), 1.0
+    number_of = {x: k for k, x in enumerate(langs)}
     for lang, at, w in fitted:
         if at < 0:
             heat = w
         else:
-            weights[at, langs.index(lang)] = w
+            weights[at, number_of[lang]] = w
     return Model(langs, idf, weights, heat)
 
 
@@ -209,7 +226,8 @@ def identify(docs: DataFrame, model: Model, kept: list[str] | None = None) -> Da
     """``doc_id, lang_pred, score`` for every row of ``docs``, or its ``kept`` columns (``text`` among them) in place of the id.
 
     The prediction comes from the whole text alone. A null text, or one without a letter, is ``und`` with score 0;
-    so is every text if no labelled text could be learned from. Repeated rows get equal results.
+    so is every text if no labelled text could be learned from. Repeated rows get equal results; an empty table gives no
+    rows. Of other columns only the ``kept`` ones are looked at, whatever their names.
     """
     shared = sent_to_tasks(docs.sparkSession, model)
     names = ["doc_id"] if kept is None else kept

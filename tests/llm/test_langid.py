@@ -82,3 +82,61 @@ def test_temperature_calibrates():
     p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=row) for row in p])
     assert langid.temperature(logits * 4, y) == pytest.approx(4, rel=0.1)
+
+
+def dense_ftrl(rows, n_classes, dimension):
+    """The same updates written out weight by weight."""
+    z, n = np.zeros((dimension + 1, n_classes)), np.zeros((dimension + 1, n_classes))
+
+    def weight(i, k):
+        if abs(z[i, k]) <= langid.L1:
+            return 0.0
+        return -(z[i, k] - np.sign(z[i, k]) * langid.L1) / ((langid.BETA + n[i, k] ** 0.5) / langid.ALPHA + langid.L2)
+
+    rng = np.random.default_rng(5)
+    for _ in range(langid.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            at, x, y = rows[r]
+            w = [[weight(i, k) for k in range(n_classes)] for i in at]
+            s = [sum(x[j] * w[j][k] for j in range(len(at))) for k in range(n_classes)]
+            p = [np.exp(v - max(s)) for v in s]
+            p = [v / sum(p) for v in p]
+            for j, i in enumerate(at):
+                for k in range(n_classes):
+                    g = x[j] * (p[k] - (k == y))
+                    sigma = ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / langid.ALPHA
+                    z[i, k] += g - sigma * w[j][k]
+                    n[i, k] += g * g
+    return np.array([[weight(i, k) for k in range(n_classes)] for i in range(dimension + 1)])
+
+
+def test_fit_equals_a_dense_version():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        at = np.append(np.sort(rng.choice(16, 5, replace=False)), 16)
+        rows.append((at, np.append(rng.random(5), 1.0), int(rng.integers(3))))
+    assert np.allclose(langid.ftrl(rows, 3, dimension=16), dense_ftrl(rows, 3, 16), atol=1e-9)
+
+
+def test_gram_counts_equal_a_plain_count():
+    text = "  Ünïcödé  and\tplain \U0001f600 words "
+    at, n = langid.gram_counts(text)
+    folded = " " + " ".join(text.lower().split()) + " "
+    grams = {}
+    for order in langid.ORDERS:
+        for i in range(len(folded) - order + 1):
+            acc = 0
+            for c in folded[i : i + order]:
+                acc = (acc * 0x01000193 + ord(c)) & 0xFFFFFFFF
+            bucket = (((acc ^ (order * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF) >> 17
+            grams[bucket] = grams.get(bucket, 0) + 1
+    assert dict(zip(at.tolist(), n.tolist(), strict=True)) == grams
+
+
+def test_every_labelled_language_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_CELLS", 1 << 18)
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = spark.range(1200).selectExpr("concat('text number ', id, ' of language ', id % 600) AS text", "concat('l', id % 600) AS lang")
+    model = langid.fit(rows)
+    assert len(model.langs) == 600 and len(model.idf) == 256 and model.weights.shape == (257, 600)
