@@ -53,7 +53,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.deduplicate(table(spark, sf_dir, "documents"))
+    return removal_digests(suffixdedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
+def removal_digests(found: DataFrame) -> DataFrame:
+    """Counts and the digest of what ``suffixdedup.deduplicate`` keeps and removes."""
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,21 @@
 """Repeated byte strings of 100 bytes across all texts, by two-stage suffix sorting.
 
-What may repeat is found first. Every string of 100 bytes has an anchor, its 40-byte gram of the least hash, and
-equal strings have equal anchors at the same place. Successive strings of one anchor form a context, the bytes
-that they cover together; contexts do not share strings. An anchor that occurs once is dropped. Equal contexts are
-settled by their order; the different contexts of an anchor are suffix-sorted together: only suffixes smaller than
-their successors are sorted directly, the rest are induced by bucket scans, and adjacent common prefixes of 100
-bytes or more show the strings that occur elsewhere. Of these, all but the first in the order of (doc_id, start)
+Strings that may be equal are brought together first. Every string of 100 bytes has an anchor, its 40-byte gram of the
+least hash, and equal strings have equal anchors at the same place. Successive strings of one anchor form a context, the
+bytes that they cover together; contexts do not share strings. An anchor that occurs once is dropped; of equal contexts
+all but the first repeat as a whole. The different contexts of an anchor are suffix-sorted together: only suffixes
+smaller than their successors are sorted directly, the rest are induced by bucket scans, and adjacent common prefixes of
+100 bytes or more show the strings that occur elsewhere. Of these, all but the first in the order of (doc_id, start)
 are marked.
 
-Scale. About one row for 28 bytes leaves a task as four numbers, and equal contexts of one batch leave as one
+Scale. About one row for 28 bytes leaves a task as five numbers, and equal contexts of one batch leave as one
 candidate; texts are shuffled only to cut contexts of different bytes and to take out what is marked, and only
-those concerned. Suffix arrays are built for chunks of bounded size; an anchor with more than GROUP contexts is
-settled string by string in an aggregation instead.
+those concerned. Suffix arrays are built for chunks of bounded size; an anchor with more than GROUP different contexts
+is settled string by string in an aggregation instead, which no single task holds.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import of_ids, written
+from recordloom.llm.common import BROADCAST_IDS, of_ids, written
 
 LENGTH = 100  # bytes of a string that counts
 GRAM = 40  # bytes of an anchor
 WINDOW = LENGTH - GRAM + 1  # grams of a string
 PIECE = 1 << 18  # bytes looked into at once; working arrays take about a hundred times as much
 CHUNK = 2000  # contexts suffix-sorted together
-GROUP = 5000  # contexts of one anchor up to which they are sorted in one chunk
+GROUP = 1000  # contexts of one anchor up to which they are sorted in one chunk
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -212,49 +211,16 @@ def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int)
     return out
 
 
-def wanted_parts(contexts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(context, start, end) of the part of each context that its strings found in another one, by hash, cover."""
-    digests, owners, places = [], [], []
-    powers, inverse = power_tables(sum(sorted(map(len, contexts))[-CHUNK:]))
-    for first in range(0, len(contexts), CHUNK):
-        part = contexts[first : first + CHUNK]
-        size = np.array([len(x) for x in part], np.int64)
-        begin = np.cumsum(size) - size
-        sums = prefix_hashes(np.frombuffer(b"".join(part), np.uint8), powers)
-        n = np.maximum(size - LENGTH + 1, 0)
-        owner = np.repeat(np.arange(len(part)), n)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        place = begin[owner] + within
-        digests.append(span_hashes(sums, inverse, place, place + LENGTH))
-        owners.append((owner + first).astype(np.int32))
-        places.append(within.astype(np.int32))
-    digest, owner, place = (np.concatenate(x) for x in (digests, owners, places))
-    order = np.argsort(digest, kind="stable")
-    same = digest[order[1:]] == digest[order[:-1]]
-    found = np.zeros(len(digest), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    owner, place = owner[found], place[found]  # in order of context and place
-    if not len(owner):
-        return []
-    head = np.flatnonzero(heads(owner))
-    tail = np.append(head[1:], len(owner)) - 1
-    return list(zip(owner[head].tolist(), place[head].tolist(), (place[tail] + LENGTH).tolist(), strict=True))
-
-
-def repeats(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(id, start, end) of the strings of LENGTH bytes in ``contexts`` that another context holds earlier.
+def repeats(contexts: list[bytes], ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(id, key, start, end) of the strings of LENGTH bytes in ``contexts`` that also start earlier.
 
-    ``starts`` is the place of each context's first byte in its text. Bytes are moved up by one so that 0 can
-    end a context; no UTF-8 text has the byte 255.
+    Earlier is in a text of a smaller id, or in the same text (id and key) at an earlier place. ``starts`` is the place
+    of each context's first byte in its text. Bytes are moved up by one so that 0 can end a context; no UTF-8
+    text has the byte 255.
     """
-    parts = wanted_parts(contexts)
-    if not parts:
-        return []
-    ids = ids[[x[0] for x in parts]]
-    starts = starts[[x[0] for x in parts]] + np.array([x[1] for x in parts], np.int64)
-    contexts = [contexts[i][a:b] for i, a, b in parts]
     size = np.array([len(x) for x in contexts], np.int64)
+    if len(size) < 2:
+        return []
     first = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\xff".join([*contexts, b""]), np.uint8) + np.uint8(1)
     owner = np.repeat(np.arange(len(contexts)), size + 1)
@@ -263,32 +229,36 @@ def repeats(contexts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> list[
     order = two_stage_suffix_array(text, LENGTH + 4, words)
     order = order[left[order] >= LENGTH]
     same = common_prefixes(words, order[:-1], order[1:], LENGTH) >= LENGTH
-    cls = np.concatenate([[0], np.cumsum(~same)])
+    # suffixes that share LENGTH bytes with none beside them occur once
+    found = np.append(same, False) | np.append(False, same)
+    cls = np.concatenate([[0], np.cumsum(~same)])[found]
+    order = order[found]
     where = starts[owner[order]] + order - first[owner[order]]
-    whose = ids[owner[order]]
-    by = np.lexsort((where, whose, cls))
-    head = np.maximum.accumulate(np.where(heads(cls[by]), np.arange(len(by)), 0))
-    later = (whose[by] != whose[by[head]]) | (where[by] != where[by[head]])
-    hit = by[later]
+    whose, key = ids[owner[order]], keys[owner[order]]
+    by = np.lexsort((where, key, whose, cls))
+    cls, whose, key, where = cls[by], whose[by], key[by], where[by]
+    least = np.maximum.accumulate(np.where(heads(cls), np.arange(len(by)), 0))
+    own = np.maximum.accumulate(np.where(heads(cls, whose, key), np.arange(len(by)), 0))
+    hit = np.flatnonzero((whose != whose[least]) | (where != where[own]))
     if not len(hit):
         return []
-    hit = hit[np.lexsort((where[hit], whose[hit]))]
-    d, p = whose[hit], where[hit]
-    at = np.flatnonzero(heads(d) | heads(p - np.arange(len(p))))
+    hit = hit[np.lexsort((where[hit], key[hit], whose[hit]))]
+    d, k, p = whose[hit], key[hit], where[hit]
+    at = np.flatnonzero(heads(d, k, p - np.arange(len(p))))
     last = np.append(at[1:], len(hit)) - 1
-    return list(zip(d[at].tolist(), p[at].tolist(), (p[last] + LENGTH).tolist(), strict=True))
+    return list(zip(d[at].tolist(), k[at].tolist(), p[at].tolist(), (p[last] + LENGTH).tolist(), strict=True))
 
 
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    names = ("id", "start", "end")
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    names = ("id", "key", "start", "end")
     return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(names)})
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``gram, context, id, place, again`` of every context of the texts; place packs anchor, first and last string.
+    """``gram, context, id, key, place, again`` of every context of the texts; place packs anchor, first and last string.
 
-    Of equal contexts of one batch the first in order is a candidate; the others occur again for sure, whatever
-    other tasks hold. They get a key of their own in place of the gram, so that a frequent passage is no hot key.
+    Of equal contexts of one batch those of the least id, and of each text the first, are candidates; the others occur
+    again for sure, whatever other tasks hold. They get a key of their own in place of the gram, so that a frequent passage is no hot key.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +266,19 @@ def candidates(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in tb.pieces(whole, size=PIECE):
                 data, at = tb.utf8(batch.column("text"))
-                ids = batch.column("id").to_numpy()
+                ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
                 for doc, anchor, low, high, gram, context in contexts_of(data, at, tables):
-                    place, whose = (anchor << 12) | ((anchor - low) << 6) | (high - low), ids[doc]
-                    order = np.lexsort((place, whose, context, gram))
-                    gram, context, whose, place = (x[order] for x in (gram, context, whose, place))
-                    head = np.maximum.accumulate(np.where(heads(gram, context), np.arange(len(gram)), 0))
-                    again = (whose != whose[head]) | (place != place[head])
+                    place, whose, key = (anchor << 12) | ((anchor - low) << 6) | (high - low), ids[doc], keys[doc]
+                    order = np.lexsort((place, key, whose, context, gram))
+                    gram, context, whose, key, place = (x[order] for x in (gram, context, whose, key, place))
+                    least = np.maximum.accumulate(np.where(heads(gram, context), np.arange(len(gram)), 0))
+                    own = np.maximum.accumulate(np.where(heads(gram, context, whose, key), np.arange(len(gram)), 0))
+                    again = (whose != whose[least]) | (place != place[own])
                     gram[again] = tb.mix(gram[again] + tb.mix(whose[again].view(np.uint64)) + place[again].astype(np.uint64))
-                    yield pa.RecordBatch.from_pydict(
-                        {"gram": pa.array(gram.view(np.int64)), "context": pa.array(context.view(np.int64)), "id": pa.array(whose), "place": pa.array(place), "again": pa.array(again)}
-                    )
+                    columns = {"gram": gram.view(np.int64), "context": context.view(np.int64), "id": whose, "key": key, "place": place, "again": again}
+                    yield pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in columns.items()})
 
-    return rows.select("id", "text").mapInArrow(find, "gram long, context long, id long, place long, again boolean")
+    return rows.select("id", "key", "text").mapInArrow(find, "gram long, context long, id long, key long, place long, again boolean")
 
 
 def first_string() -> Column:
@@ -320,36 +290,39 @@ def behind() -> Column:
     return first_string() + F.col("place").bitwiseAND(F.lit(63)) + LENGTH
 
 
-def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
+LOWEST = -(1 << 63)  # stands for a null id, before all others
 
-    A byte is removed if a string of LENGTH bytes that covers it also starts earlier: in a text of smaller
-    doc_id, or earlier in its own. Strings are judged on the input. A null text is empty; a null doc_id comes
-    before all others. Rows of one doc_id count as one place each, so equal rows keep each other. An empty table
-    gives no rows; texts shorter than LENGTH keep all their bytes.
-    """
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """``id, key, text`` of every row; rows of one id and one text are one place, told by the key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def repeated_spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
+    """``id, key, spans``: of the texts (``placed_rows``) with something to remove, spans (start, end) in bytes by start;
+    they may overlap, and may end behind the text."""
     long = rows.where(F.octet_length("text") >= LENGTH)
-    # a copy of a whole text loses everything, so only the first of the copies is looked into
-    digests = written(long.select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m")))
-    firsts = digests.groupBy("h", "m").agg(F.min("id").alias("id"))
-    copies = written(digests.select("id").distinct().join(firsts.select("id"), "id", "left_anti"))
-    anchors = candidates(of_ids(long, copies, "left_anti", "id"))
-    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "place")
+    # a copy of a whole text in a row of a larger id loses everything, so only the first of the copies is looked into
+    digests = written(long.select("id", "key", F.md5("text").alias("m")))
+    firsts = digests.groupBy("key", "m").agg(F.min("id").alias("id"))
+    copies = written(digests.select("id", "key").distinct().join(firsts.select("id", "key"), ["id", "key"], "left_anti"))
+    anchors = candidates(without(long, copies))
+    by_gram, by_context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("id", "key", "place")
     seen = anchors.repartition("gram").select(
         "*",
-        F.row_number().over(by_context).alias("nth"),
-        F.first(F.struct("id", "place")).over(by_context).alias("first"),
+        F.first("id").over(by_context).alias("least"),
+        F.min("place").over(Window.partitionBy("gram", "context", "id", "key")).alias("own"),
         (F.min("context").over(by_gram) < F.max("context").over(by_gram)).alias("open"),
         F.count("*").over(by_gram).alias("size"),
     )
-    later = F.col("again") | ((F.col("nth") > 1) & (F.struct("id", "place") != F.col("first")))
-    seen = seen.withColumn("again", later).where("again OR (nth = 1 AND open)")
-    seen = written(seen.select("id", "place", "again", F.when(~F.col("again"), F.col("gram")).alias("gram"), (~F.col("again") & (F.col("size") > group)).alias("large")))
-    whole_contexts = seen.where("again").select("id", first_string().alias("start"), behind().alias("end"))
+    # equal contexts: those of the least id stay, one in each of its texts
+    later = F.col("again") | (F.col("id") != F.col("least")) | (F.col("place") != F.col("own"))
+    seen = seen.withColumn("again", later).where("again OR open")
+    seen = written(seen.select("id", "key", "place", "again", F.when(~F.col("again"), F.col("gram")).alias("gram"), (~F.col("again") & (F.col("size") > group)).alias("large")))
+    whole_contexts = seen.where("again").select("id", "key", first_string().alias("start"), behind().alias("end"))
     unsettled = seen.where("NOT again")
-    spots = unsettled.groupBy("id").agg(F.collect_list(F.struct("gram", "large", first_string().alias("start"), behind().alias("end"))).alias("spots"))
+    spots = unsettled.groupBy("id", "key").agg(F.collect_list(F.struct("gram", "large", first_string().alias("start"), behind().alias("end"))).alias("spots"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -363,80 +336,100 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 for k in range(0, len(doc), 4096):
                     some = slice(k, k + 4096)
                     context = pa.array([raw[i:j] for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)], pa.binary())
-                    ids = batch.column("id").take(pa.array(doc[some]))
-                    yield pa.RecordBatch.from_pydict({"gram": gram[some], "large": large[some], "id": ids, "start": low[some], "context": context})
+                    ids, keys = (batch.column(x).take(pa.array(doc[some])) for x in ("id", "key"))
+                    yield pa.RecordBatch.from_pydict({"gram": gram[some], "large": large[some], "id": ids, "key": keys, "start": low[some], "context": context})
 
-    placed = of_ids(long, unsettled.select("id").distinct(), "left_semi", "id").join(spots, "id")
-    contexts = placed.select("id", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, start long, context binary")
+    placed = of_ids(long, unsettled.select("id").distinct(), "left_semi", "id").join(spots, ["id", "key"]).dropDuplicates(["id", "key"])
+    contexts = placed.select("id", "key", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, key long, start long, context binary")
     any_large = not unsettled.where("large").isEmpty()
     contexts = written(contexts) if any_large else contexts
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []
+        held: list[tuple[bytes, int, int, int]] = []
         last = None
 
         def settle() -> pa.RecordBatch:
-            found = repeats([x[0] for x in held], np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64))
+            found = repeats([x[0] for x in held], *(np.array([x[k] for x in held], np.int64) for k in (1, 2, 3)))
             held.clear()
             return _spans(found)
 
         for batch in batches:
-            columns = (batch.column(x).to_pylist() for x in ("gram", "context", "id", "start"))
-            for gram, context, i, start in zip(*columns, strict=True):
+            columns = (batch.column(x).to_pylist() for x in ("gram", "context", "id", "key", "start"))
+            for gram, context, i, key, start in zip(*columns, strict=True):
                 if gram != last and len(held) >= CHUNK:
                     yield settle()
                 last = gram
-                held.append((context, i, start))
+                held.append((context, i, key, start))
         if held:
             yield settle()
 
-    few = contexts.where("NOT large").select("gram", "context", "id", "start").repartition("gram").sortWithinPartitions("gram")
-    marked = few.mapInArrow(sort, "id long, start long, end long").unionByName(whole_contexts)
+    few = contexts.where("NOT large").select("gram", "context", "id", "key", "start").repartition("gram").sortWithinPartitions("gram")
+    marked = few.mapInArrow(sort, "id long, key long, start long, end long").unionByName(whole_contexts)
     if any_large:
         marked = marked.unionByName(_string_by_string(contexts.where("large")))
-    whole_texts = copies.select("id", F.lit(0).cast("long").alias("start"), F.lit((1 << 62)).alias("end"))
-    marked = marked.unionByName(whole_texts)
-    spans = written(marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    marked = marked.unionByName(copies.select("id", "key", F.lit(0).cast("long").alias("start"), F.lit((1 << 62)).alias("end")))
+    return marked.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id and key are not among the ``gone``."""
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, ["id", "key"], "left_anti")
+
+
+def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """``doc_id, kept, removed, n_bytes`` for every row of ``docs``: the remaining bytes, and the maximal removed spans
+    (start, end) in bytes of the text.
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
+    A byte is removed if a string of LENGTH bytes that covers it also starts earlier: in a text of smaller
+    doc_id, or earlier in its own. Strings are judged on the input. A null text is empty; a null doc_id comes
+    before all others. Rows of one doc_id are no earlier than one another, and equal ones are one place, so they keep
+    each other. An empty table gives no rows; texts shorter than LENGTH keep all their bytes. Columns beside
+    ``doc_id, text`` play no part.
+    """
+    rows = placed_rows(docs)
+    spans = written(repeated_spans(rows, group))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tb.pieces(whole, size=PIECE):
                 data, at = tb.utf8(batch.column("text"))
                 spans_ = batch.column("spans")
                 fields, edge = spans_.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(spans_).to_numpy())])
                 start, end = (fields.field(x).to_numpy() for x in ("start", "end"))
-                out = []
-                for d, i in enumerate(batch.column("id").to_pylist()):
+                kept, removed = [], []
+                for d in range(len(batch)):
                     raw, own = data[at[d] : at[d + 1]], slice(edge[d], edge[d + 1])
                     # spans come by start: a new run begins where one starts behind all that ended before
                     low, high = start[own], np.minimum(np.maximum.accumulate(end[own]), len(raw))
                     first = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
                     low, high = low[first], high[np.append(first[1:], len(low)) - 1]
-                    digest, last = hashlib.sha256(), 0
+                    keep, last = [], 0
                     for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                        digest.update(raw[last:a])
+                        keep.append(raw[last:a].tobytes())
                         last = b
-                    digest.update(raw[last:])
-                    out.append((i, len(raw), int((high - low).sum()), len(low), digest.hexdigest()))
-                yield pa.RecordBatch.from_pydict({name: pa.array([x[j] for x in out], kind) for j, (name, kind) in enumerate(kinds)})
+                    kept.append(b"".join([*keep, raw[last:].tobytes()]))
+                    removed.append([{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                sizes = pa.array(np.diff(at).astype(np.int64))
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "kept": pa.array(kept, pa.binary()), "removed": pa.array(removed, kinds), "n_bytes": sizes})
 
-    ids = spans.select("id")
-    touched = of_ids(rows, ids, "left_semi", "id").join(spans, "id").select("id", "text", "spans").mapInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    none = F.lit(0).cast("long")
-    whole = of_ids(rows, ids, "left_anti", "id").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    result = touched.unionByName(whole)
-    return result.select(F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    schema = "id long, kept binary, removed array<struct<start:bigint,end:bigint>>, n_bytes long"
+    few = of_ids(rows, spans.select("id"), "left_semi", "id")
+    touched = few.join(spans, ["id", "key"]).select("id", "text", "spans").mapInArrow(cut_out, schema)
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    whole = without(rows, spans.select("id", "key")).select("id", F.encode("text", "UTF-8").alias("kept"), none.alias("removed"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return touched.unionByName(whole).select(F.when(F.col("id") != LOWEST, F.col("id")).alias("doc_id"), "kept", "removed", "n_bytes")
 
 
 def _string_by_string(contexts: DataFrame) -> DataFrame:
-    """``id, start, end`` of repeated strings of large groups: every string's first place by aggregation."""
+    """``id, key, start, end`` of repeated strings of large groups: every string's first place by aggregation."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, inverse = power_tables(2 * LENGTH)
         for batch in batches:
-            a, b, i, p = [], [], [], []
-            for context, doc, start in zip(*(batch.column(x).to_pylist() for x in ("context", "id", "start")), strict=True):
+            a, b, i, o, p = [], [], [], [], []
+            for context, doc, key, start in zip(*(batch.column(x).to_pylist() for x in ("context", "id", "key", "start")), strict=True):
                 data = np.frombuffer(context, np.uint8)
                 if len(data) < LENGTH:
                     continue
@@ -446,11 +439,14 @@ def _string_by_string(contexts: DataFrame) -> DataFrame:
                 sums = prefix_hashes(data[::-1] ^ np.uint8(0x5A), powers)
                 b.append(span_hashes(sums, inverse, len(data) - LENGTH - place, len(data) - place))
                 i.append(np.full(len(place), doc, np.int64))
+                o.append(np.full(len(place), key, np.int64))
                 p.append(place + start)
-            columns = [np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((a, np.uint64), (b, np.uint64), (i, np.int64), (p, np.int64))]
-            yield pa.RecordBatch.from_pydict({n: pa.array(c.view(np.int64)) for n, c in zip(("a", "b", "id", "start"), columns, strict=True)})
-
-    strings = written(contexts.select("context", "id", "start").mapInArrow(split, "a long, b long, id long, start long").distinct())
-    firsts = strings.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(firsts, ["a", "b"]).where(F.struct("id", "start") > F.col("first"))
-    return later.select("id", "start", (F.col("start") + LENGTH).alias("end"))
+            columns = [np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((a, np.uint64), (b, np.uint64), (i, np.int64), (o, np.int64), (p, np.int64))]
+            yield pa.RecordBatch.from_pydict({n: pa.array(c.view(np.int64)) for n, c in zip(("a", "b", "id", "key", "start"), columns, strict=True)})
+
+    schema = "a long, b long, id long, key long, start long"
+    strings = written(contexts.select("context", "id", "key", "start").mapInArrow(split, schema).distinct())
+    least = strings.groupBy("a", "b").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = strings.groupBy("a", "b", "id", "key").agg(F.min("start").alias("own"))
+    later = strings.join(least, ["a", "b"]).join(own, ["a", "b", "id", "key"]).where("id <> least OR start <> own")
+    return later.select("id", "key", "start", (F.col("start") + LENGTH).alias("end"))

@@ -6,23 +6,27 @@ import pytest
 
 from recordloom.llm import common
 from recordloom.llm import suffixdedup as sd
+from recordloom.llm.queries import removal_digests
 from tests.llm.fixtures import SCHEMA, odd_rows, plain_documents, with_clashes
 
 KIND = "doc_id long, text string"
 
 
 def brute(rows, length=100):
-    """Removed bytes by a dictionary of all strings."""
+    """Removed bytes by a dictionary of all strings: the least id of each, and its first place in each text."""
     texts = [(-(1 << 63) if r[0] is None else r[0], (r[1] or "").encode()) for r in rows]
-    first = {}
-    for i, raw in sorted(set(texts), key=lambda x: x[0]):
+    least, own = {}, {}
+    for i, raw in set(texts):
         for p in range(len(raw) - length + 1):
-            first.setdefault(raw[p : p + length], (i, p))
+            s = raw[p : p + length]
+            least[s] = min(least.get(s, i), i)
+            own.setdefault((s, i, raw), p)
     out = []
     for i, raw in texts:
         gone = np.zeros(len(raw) + 1, bool)
         for p in range(len(raw) - length + 1):
-            if first[raw[p : p + length]] < (i, p):
+            s = raw[p : p + length]
+            if least[s] < i or own[s, i, raw] < p:
                 gone[p : p + length] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[:-1], [False]]).astype(int)) == 1)
         kept = bytes(b for b, g in zip(raw, gone, strict=False) if not g)
@@ -32,7 +36,7 @@ def brute(rows, length=100):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame(rows, KIND).repartition(5)
-    return sorted(map(tuple, sd.deduplicate(df, **options).collect()), key=str)
+    return sorted(map(tuple, removal_digests(sd.deduplicate(df, **options)).collect()), key=str)
 
 
 def planted(seed=3):
@@ -84,7 +88,7 @@ def test_joins_in_place_of_broadcasts(spark, monkeypatch):
 def test_whole_small_table_and_odd_rows(spark, small):
     rows = plain_documents(small) + [r for r in odd_rows() if r[0] != 900005]
     df = with_clashes(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(map(tuple, sd.deduplicate(df).collect()), key=str) == brute([r[:2] for r in rows])
+    assert sorted(map(tuple, removal_digests(sd.deduplicate(df)).collect()), key=str) == brute([r[:2] for r in rows])
 
 
 def test_empty_table(spark):
@@ -96,3 +100,31 @@ def test_blocks_of_long_texts(spark, monkeypatch):
     rows.append((600, " ".join(r[1] for r in rows[:80])))
     monkeypatch.setattr(sd, "PIECE", 500)
     assert run(spark, rows) == brute(rows)
+
+
+def test_texts_that_share_an_id(spark):
+    """Two texts of one id are no earlier than one another, and spans of one are not applied to the other."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passage = prose(60)
+    rows = [(1, passage + " " + prose(30)), (5, prose(40) + " " + passage), (5, prose(90)), (6, prose(50)), (5, passage + "z" + prose(5)), (7, passage + "y")]
+    rows += [(0, prose(20) + passage[:150] + prose(9)), (0, passage[:150] + prose(20)), (None, prose(30)), (None, prose(20)), (5, rows[1][1])]
+    for group in (sd.GROUP, 1):
+        assert run(spark, rows, group=group) == brute(rows)
+
+
+def test_a_long_text_of_repeated_lines(spark):
+    row = next(r for r in odd_rows() if r[0] == 900005)[:2]
+    rows = [row, (3, row[1][:5000]), (900009, row[1][7:300])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_what_is_kept_and_removed(spark):
+    rows = planted(4)
+    for r in sd.deduplicate(spark.createDataFrame(rows, KIND)).collect():
+        raw = next(t for i, t in rows if i == r.doc_id).encode()
+        kept, last = b"", 0
+        for s in r.removed:
+            kept, last = kept + raw[last : s.start], s.end
+        assert bytes(r.kept) == kept + raw[last:]
