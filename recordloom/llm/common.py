@@ -38,6 +38,33 @@ def of_ids(rows: DataFrame, ids: DataFrame, how: str, name: str = "doc_id") -> D
     return rows.join(F.broadcast(told) if few else told, same, how)
 
 
+HOT = 256  # rows of a key that stay together; those of a hotter key are dealt to chunks
+HOT_KEYS = 500_000  # hottest keys that are dealt (8 MB travel to the tasks); all others have fewer rows than these
+
+
+def hot_keys(sizes: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """``_key, _chunks`` of the keys with more than ``most`` (HOT) rows, the HOT_KEYS hottest at most; ``sizes`` has columns
+    key, size."""
+    most = most or HOT
+    hot = sizes.where(F.col("size") > most).select(F.col(key).alias("_key"), "size").orderBy(F.col("size").desc(), "_key").limit(HOT_KEYS)
+    return F.broadcast(hot.select("_key", F.ceil(F.col("size") / most).alias("_chunks")))
+
+
+def dealt(rows: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with ``_chunk``: rows of a hot key are dealt by a hash of ``by``."""
+    told = rows.join(hot, F.col(key) == F.col("_key"), "left")
+    return told.withColumn("_chunk", F.pmod(F.xxhash64(by), F.coalesce("_chunks", F.lit(1)))).drop("_key", "_chunks")
+
+
+def join_dealt(many: DataFrame, few: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+    """``many`` joined with ``few``, which has a row for each ``key``; a hot key of ``many`` is no single task, since its row
+    of ``few`` is copied for every chunk."""
+    hot = hot_keys(sizes, key)
+    copies = few.join(hot, F.col(key) == F.col("_key"), "left")
+    copies = copies.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_chunks"), F.lit(1).cast("long")) - 1))).drop("_key", "_chunks")
+    return dealt(many, key, by, hot).join(copies, [key, "_chunk"]).drop("_chunk")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests on one
     machine, a temporary one."""
@@ -53,9 +80,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and go on from there.
-
-    """
+    """Write ``df`` once to the reliable checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
@@ -71,7 +96,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
 
     def minima(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
+
+    def with_minima(pairs: DataFrame, low: DataFrame) -> DataFrame:
+        return join_dealt(pairs, low.select("u", "m"), "u", "v", low)
 
     def state(pairs: DataFrame) -> tuple:
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -83,10 +111,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_minima(both, minima(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         low = minima(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        small = with_minima(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         now_state = state(now)
         if now_state == seen:

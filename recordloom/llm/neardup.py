@@ -6,8 +6,9 @@ agreement estimates the weighted Jaccard similarity; bands of four give candidat
 
 Scale. Texts alike word by word are joined first, so a bucket holds different texts only. A bucket is never
 expanded into all its pairs: its members are compared with its most central member; what this leaves
-unconnected is compared with the whole bucket in bounded blocks on the samples alone, and only pairs whose
-samples agree are verified. Only ids and samples pass the driver's side, never as a collected result.
+unconnected is compared with the whole bucket, blocks of both sides of bounded size, and only pairs whose samples
+agree are verified. Buckets and hubs with many members are dealt to chunks before they are joined. Nothing of the
+documents passes the driver but the fixed table of frequencies.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import connected_components, materialize
+from recordloom.llm.common import connected_components, dealt, hot_keys, join_dealt, materialize
 
 WIDTH = 5  # words in a shingle
 SIMILARITY = 0.8
@@ -29,10 +30,11 @@ BUCKETS = 1 << 16  # of the hashed document-frequency table: a fixed size, whate
 PRIOR = 1.0  # corpora added to every document frequency: weights go from 1 to 1.7, so copies of a text that is itself frequent stay copies
 POOL = 1 << 16  # entries of the shared table of random draws
 LEVELS = 64  # steps of the logarithm of a weight that sampling tells apart
-BLOCK = 2000  # members of a bucket compared with its unconnected ones in one task
+BLOCK = 1000  # members of a bucket compared with as many unconnected ones in one task
+BLOCK_WORDS = 2_000_000  # and their words
 HUB_CHUNK = 64  # texts verified against one copy of their hub's text
 BROADCAST_IDS = 1_000_000  # ids of involved documents up to which they travel to the tasks (8 MB)
-SLACK = 0.12  # below SIMILARITY, at which samples still call for verification: 2.4 standard errors
+SLACK = 0.22  # below SIMILARITY, at which samples still call for verification: less than 1e-4 of the pairs at SIMILARITY fall below
 SEED = 20240229
 
 
@@ -119,7 +121,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDTH) -> DataFrame:
-    """Per row with a text: ``doc_id, h1, h2`` (of the word sequence), ``bands`` and ``samples`` (one byte of each)."""
+    """Per row with a text: ``doc_id, h1, h2`` (of the word sequence), ``bands``, ``samples`` (one byte of each) and ``words``."""
     idf = weights_of(frequency, n)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +131,7 @@ def signatures(docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDT
             for batch in tb.pieces(whole):
                 hashes, words, found, runs = _shingle_runs(batch, width, table)
                 h1, h2, bands, samples = [], [], [], []
+                sizes = pa.array(np.diff(words).astype(np.int64))
                 for d in range(len(batch)):
                     own = hashes[words[d] : words[d + 1]]
                     if len(own) >= len(places):
@@ -154,10 +157,11 @@ def signatures(docs: DataFrame, frequency: np.ndarray, n: int, width: int = WIDT
                         "h2": pa.array(np.array(h2, np.uint64).view(np.int64)),
                         "bands": pa.array(bands, pa.list_(pa.int64())),
                         "samples": pa.array(samples, pa.binary()),
+                        "words": sizes,
                     }
                 )
 
-    schema = "doc_id long, h1 long, h2 long, bands array<long>, samples binary"
+    schema = "doc_id long, h1 long, h2 long, bands array<long>, samples binary, words long"
     return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
 
 
@@ -188,10 +192,10 @@ def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, wid
     A hub's text travels once for each chunk of its members, and each chunk is a bounded group.
     """
     idf = weights_of(frequency, n)
-    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_CHUNK).alias("chunks"))
-    dealt = pairs.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member")
-    wanted = dealt.select(F.col("member").alias("doc_id"), "hub", "chunk", F.lit(1).alias("role")).unionByName(
-        dealt.select(F.col("hub").alias("doc_id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
+    hot = hot_keys(pairs.groupBy("hub").agg(F.count("*").alias("size")), "hub", HUB_CHUNK)
+    chunked = dealt(pairs, "hub", "member", hot).select("hub", F.col("_chunk").alias("chunk"), "member")
+    wanted = chunked.select(F.col("member").alias("doc_id"), "hub", "chunk", F.lit(1).alias("role")).unionByName(
+        chunked.select(F.col("hub").alias("doc_id"), "hub", "chunk", F.lit(0).alias("role")).distinct()
     )
     wanted = materialize(wanted)
     placed = texts_of(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "doc_id")
@@ -227,20 +231,23 @@ def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, wid
 def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, width: int, similarity: float) -> DataFrame:
     """Links ``a, b`` across components inside one bucket, for the buckets that still hold several.
 
-    Members outside a bucket's main component (the one of its center) meet the whole bucket in blocks of
-    BLOCK members, with their texts. Pairs whose samples agree in a share of at least similarity - SLACK are
-    verified there; a task leaves out pairs whose components it has linked already, and only links leave it.
+    Members outside a bucket's main component (the one of its center) meet the whole bucket, blocks of both sides, with
+    their texts. Pairs whose samples agree in a share of at least similarity - SLACK are verified there; a task leaves
+    out pairs whose components it has linked already, and only links leave it.
     """
     idf = weights_of(frequency, n)
     stats = members.groupBy("band").agg(
-        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("central", "rep")).alias("main")
-    )
-    open_ = materialize(members.join(stats.where("low <> high"), "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK)))
-    whole = open_.select("band", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), "rep", "component")
-    odd = open_.where("component <> main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "rep", "component")
+        F.count("*").alias("size"), F.sum("words").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("central", "rep")).alias("main")
+    ).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_WORDS))
+    open_ = materialize(join_dealt(members, stats.select("band", "main", blocks.alias("blocks")), "band", "rep", stats).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    odd_blocks = open_.where("component <> main").groupBy("band", F.col("own").alias("i")).agg(F.lit(1))
+    whole = open_.withColumn("i", each).join(odd_blocks.select("band", "i"), ["band", "i"], "left_semi").select("band", (F.col("i") * F.col("blocks") + F.col("own")).alias("block"), F.lit(1).alias("role"), "rep", "component")
+    odd = open_.where("component <> main").withColumn("j", each).select("band", (F.col("own") * F.col("blocks") + F.col("j")).alias("block"), F.lit(0).alias("role"), "rep", "component")
     ids = open_.select(F.col("rep").alias("doc_id")).distinct()
     told = texts_of(docs, ids).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]).join(samples, "rep")
-    dealt = whole.unionByName(odd).join(told, "rep").repartition("band", "block").sortWithinPartitions("band", "block", "role", "rep")
+    met = whole.unionByName(odd).join(told, "rep").repartition("band", "block").sortWithinPartitions("band", "block", "role", "rep")
     least = similarity - SLACK
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +289,7 @@ def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFram
                                 out.append((other, reps[i]))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return dealt.select("band", "block", "role", "rep", "component", "samples", "text").mapInArrow(meet, "a long, b long").distinct()
+    return met.select("band", "block", "role", "rep", "component", "samples", "text").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -297,15 +304,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     frequency, n = document_frequencies(docs, width)
     signed = materialize(signatures(docs, frequency, n, width))
     texts = materialize(
-        signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+        signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.first("words").alias("words"))
     )
-    banded = texts.where(F.size("bands") > 0).select("rep", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(banded.join(sizes, "band"))
+    banded = texts.where(F.size("bands") > 0).select("rep", "words", F.explode("bands").alias("band"))
+    sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = materialize(join_dealt(banded, sizes, "band", "rep", sizes))
     central = shared.groupBy("rep").agg(F.sum("size").alias("central"))
-    members = materialize(shared.select("band", "rep").join(central, "rep"))
+    members = materialize(shared.select("band", "rep", "words").join(central, "rep"))
     centers = members.groupBy("band").agg(F.max_by("rep", F.struct("central", "rep")).alias("hub"))
-    star = members.join(centers, "band").where("rep <> hub")
+    star = join_dealt(members, centers, "band", "rep", sizes).where("rep <> hub")
     star = star.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     links = materialize(verify(star.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("member")), docs, frequency, n, width, similarity).select("a", "b"))
     joined = connected_components(links)

@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 
+from recordloom.llm import common
 from recordloom.llm import neardup as nd
 from recordloom.llm import textbatch as tb
 from tests.llm.fixtures import SCHEMA, odd_rows, plain_documents, with_clashes
@@ -92,6 +94,7 @@ def test_blocks_and_joins(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 7)
     monkeypatch.setattr(nd, "HUB_CHUNK", 3)
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "HOT", 4)
     rows = planted()
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, spark)
 
@@ -115,3 +118,44 @@ def test_samples_estimate_weighted_jaccard():
     order_a, order_b = np.argsort(a), np.argsort(b)
     true = nd.weighted_jaccard((a[order_a], na[order_a].astype(float)), (b[order_b], nb[order_b].astype(float)))
     assert abs((sampler(a, na) == sampler(b, nb)).mean() - true) < 0.05
+
+
+def test_samples_hardly_ever_hide_a_pair_at_the_threshold():
+    n = nd.BANDS * nd.ROWS
+    assert sum(comb(n, x) * nd.SIMILARITY**x * (1 - nd.SIMILARITY) ** (n - x) for x in range(n + 1) if x / n < nd.SIMILARITY - nd.SLACK) < 1e-4
+
+
+def template_texts(n=160):
+    """Texts that share 60 % of their words in one block, with pairs of near copies among them."""
+    rnd = random.Random(23)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(3000)]
+    template, rows = [rnd.choice(words) for _ in range(60)], []
+    for k in range(n):
+        own = [rnd.choice(words) for _ in range(22)]
+        rows.append((k, " ".join(template + own)))
+        if k % 4 == 0:
+            rows.append((1000 + k, " ".join(template + own[:-1] + ["zz"])))
+    return rows
+
+
+def test_a_bucket_of_templates_is_compared_in_blocks_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 9)
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = template_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(df) == brute(rows, spark)
+
+
+def test_dealt_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    many = spark.range(200).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 11 END AS k", "id AS v")
+    few = spark.range(9).selectExpr("id AS k", "id * 10 AS w")
+    sizes = many.groupBy("k").count().withColumnRenamed("count", "size")
+    assert sorted(common.join_dealt(many, few, "k", "v", sizes).collect()) == sorted(many.join(few, "k").collect())
+
+
+def test_components_of_a_large_star_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    edges = [(500, k) for k in range(100, 160)] + [(k, k + 1) for k in range(20)] + [(3, 3), (160, 100)]
+    found = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 100 for k in [*range(100, 161), 500]} | {k: 0 for k in range(21)}
