@@ -44,10 +44,10 @@ HOT_KEYS = 500_000  # hottest keys that are dealt (8 MB travel to the tasks); al
 
 def hot_keys(sizes: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """``_key, _chunks`` of the keys with more than ``most`` (HOT) rows, the HOT_KEYS hottest at most; ``sizes`` has columns
-    key, size."""
+    key, size. The result is written once, for any number of joins."""
     most = most or HOT
     hot = sizes.where(F.col("size") > most).select(F.col(key).alias("_key"), "size").orderBy(F.col("size").desc(), "_key").limit(HOT_KEYS)
-    return F.broadcast(hot.select("_key", F.ceil(F.col("size") / most).alias("_chunks")))
+    return F.broadcast(written(hot.select("_key", F.ceil(F.col("size") / most).alias("_chunks"))))
 
 
 def dealt(rows: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
@@ -56,10 +56,9 @@ def dealt(rows: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
     return told.withColumn("_chunk", F.pmod(F.xxhash64(by), F.coalesce("_chunks", F.lit(1)))).drop("_key", "_chunks")
 
 
-def join_dealt(many: DataFrame, few: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+def join_dealt(many: DataFrame, few: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
     """``many`` joined with ``few``, which has a row for each ``key``; a hot key of ``many`` is no single task, since its row
     of ``few`` is copied for every chunk."""
-    hot = hot_keys(sizes, key)
     copies = few.join(hot, F.col(key) == F.col("_key"), "left")
     copies = copies.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_chunks"), F.lit(1).cast("long")) - 1))).drop("_key", "_chunks")
     return dealt(many, key, by, hot).join(copies, [key, "_chunk"]).drop("_chunk")
@@ -92,14 +91,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two long columns ``a, b``; loops and repeated rows are allowed. Alternating star
     contraction (large-star, then small-star) needs a logarithmic number of rounds, keeps the number of
-    edges from growing and moves only pairs of ids. Nodes with no edge other than a loop are left out.
+    edges from growing and moves only pairs of ids. Nodes with no edge other than a loop are left out. The pairs of a node
+    with very many neighbours stream past its minimum in a sort-merge join, which adaptive execution splits where they
+    exceed its skew threshold.
     """
 
     def minima(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
-
-    def with_minima(pairs: DataFrame, low: DataFrame) -> DataFrame:
-        return join_dealt(pairs, low.select("u", "m"), "u", "v", low)
+        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
     def state(pairs: DataFrame) -> tuple:
         row = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -111,10 +109,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_minima(both, minima(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         low = minima(large)
-        small = with_minima(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         now_state = state(now)
         if now_state == seen:

@@ -228,8 +228,8 @@ def verify(pairs: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, wid
     return placed.select("hub", "chunk", "role", "doc_id", "text").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, width: int, similarity: float) -> DataFrame:
-    """Links ``a, b`` across components inside one bucket, for the buckets that still hold several.
+def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFrame, frequency: np.ndarray, n: int, width: int, similarity: float, hot: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of components that a link joins inside one bucket, for the buckets that still hold several.
 
     Members outside a bucket's main component (the one of its center) meet the whole bucket, blocks of both sides, with
     their texts. Pairs whose samples agree in a share of at least similarity - SLACK are verified there; a task leaves
@@ -240,7 +240,7 @@ def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFram
         F.count("*").alias("size"), F.sum("words").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("central", "rep")).alias("main")
     ).where("low <> high")
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_WORDS))
-    open_ = materialize(join_dealt(members, stats.select("band", "main", blocks.alias("blocks")), "band", "rep", stats).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    open_ = materialize(join_dealt(members, stats.select("band", "main", blocks.alias("blocks")), "band", "rep", hot).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     odd_blocks = open_.where("component <> main").groupBy("band", F.col("own").alias("i")).agg(F.lit(1))
     whole = open_.withColumn("i", each).join(odd_blocks.select("band", "i"), ["band", "i"], "left_semi").select("band", (F.col("i") * F.col("blocks") + F.col("own")).alias("block"), F.lit(1).alias("role"), "rep", "component")
@@ -283,10 +283,10 @@ def _links_of_unconnected(members: DataFrame, samples: DataFrame, docs: DataFram
                             packed = np.stack([x[2] for x in odd_rows])
                         share = (packed == own[None, :]).mean(axis=1)
                         for k in np.flatnonzero(share >= least):
-                            other, comp, _, its_bag = odd_rows[k]
+                            _, comp, _, its_bag = odd_rows[k]
                             if root(comp) != root(comps[i]) and weighted_jaccard(its_bag, bag) >= similarity:
                                 joined[root(comp)] = root(comps[i])
-                                out.append((other, reps[i]))
+                                out.append((comp, comps[i]))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return met.select("band", "block", "role", "rep", "component", "samples", "text").mapInArrow(meet, "a long, b long").distinct()
@@ -308,18 +308,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     )
     banded = texts.where(F.size("bands") > 0).select("rep", "words", F.explode("bands").alias("band"))
     sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = materialize(join_dealt(banded, sizes, "band", "rep", sizes))
+    hot = hot_keys(sizes, "band")
+    shared = materialize(join_dealt(banded, sizes, "band", "rep", hot))
     central = shared.groupBy("rep").agg(F.sum("size").alias("central"))
     members = materialize(shared.select("band", "rep", "words").join(central, "rep"))
     centers = members.groupBy("band").agg(F.max_by("rep", F.struct("central", "rep")).alias("hub"))
-    star = join_dealt(members, centers, "band", "rep", sizes).where("rep <> hub")
+    star = join_dealt(members, centers, "band", "rep", hot).where("rep <> hub")
     star = star.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(F.min("hub").alias("hub"))
     links = materialize(verify(star.select("hub", (F.col("a") + F.col("b") - F.col("hub")).alias("member")), docs, frequency, n, width, similarity).select("a", "b"))
     joined = connected_components(links)
     labelled = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = materialize(_links_of_unconnected(labelled, texts.select("rep", "samples"), docs, frequency, n, width, similarity))
+    more = materialize(_links_of_unconnected(labelled, texts.select("rep", "samples"), docs, frequency, n, width, similarity, hot))
     if not more.isEmpty():
-        joined = connected_components(links.unionByName(more))
+        # components that these links join get the smallest node of all; a component is named by its own smallest
+        again = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        ones = again.select(F.col("component").alias("node"), "component")
+        joined = joined.unionByName(ones).distinct().join(again, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     classes = texts.select("h1", "h2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id")

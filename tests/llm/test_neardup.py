@@ -151,11 +151,10 @@ def test_dealt_joins_equal_plain_ones(spark, monkeypatch):
     many = spark.range(200).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 11 END AS k", "id AS v")
     few = spark.range(9).selectExpr("id AS k", "id * 10 AS w")
     sizes = many.groupBy("k").count().withColumnRenamed("count", "size")
-    assert sorted(common.join_dealt(many, few, "k", "v", sizes).collect()) == sorted(many.join(few, "k").collect())
+    assert sorted(common.join_dealt(many, few, "k", "v", common.hot_keys(sizes, "k")).collect()) == sorted(many.join(few, "k").collect())
 
 
-def test_components_of_a_large_star_and_a_chain(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT", 4)
+def test_components_of_a_large_star_and_a_chain(spark):
     edges = [(500, k) for k in range(100, 160)] + [(k, k + 1) for k in range(20)] + [(3, 3), (160, 100)]
     found = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 100 for k in [*range(100, 161), 500]} | {k: 0 for k in range(21)}
