@@ -8,12 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from recordloom.functions.decimals import parse_amount_text
+
+# Fixed value: the record type of a request's digest.
+REQUEST = "be.idempotency.request"
 
 
 def canonical_decimal(amount: Column) -> Column:
-    """Shortest text of a decimal: no superfluous zeros, no sign of zero."""
-    text = amount.cast("decimal(38,18)").cast("string")
+    """Shortest text of a decimal: no superfluous zeros, no sign of zero. Wide integers keep all their digits."""
+    text = F.coalesce(amount.try_cast("decimal(38,18)").cast("string"), amount.cast("string"))
     return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
@@ -33,14 +38,15 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def canonical(column: Column, kind: str) -> Column:
-    """The canonical value, as text, of a column of a declared archive type."""
+    """The canonical value of a column of a declared archive type: text, but for booleans and lists of texts, which stay
+    JSON booleans and arrays. Integers are text, so no reader rounds them. A null stays null."""
     if kind in ("smallint", "int", "bigint", "uuid", "json"):
         text = column.cast("string")
         return F.lower(text) if kind == "uuid" else text
     if kind == "numeric":
         return canonical_decimal(column)
     if kind == "boolean":
-        return F.when(column, "true").otherwise("false")
+        return column.cast("boolean")
     if kind == "timestamp":
         return canonical_instant(column)
     if kind == "date":
@@ -49,9 +55,46 @@ def canonical(column: Column, kind: str) -> Column:
         return F.base64(column)
     if kind == "text":
         return nfc(column)
+    if kind == "text[]":
+        return nfc_all(column)
     raise ValueError(f"no archive type {kind}")
 
 
+def refused(text: Column, kind: str) -> Column:
+    """Whether a text is no canonical value of the type; null if it is null."""
+    if kind in ("smallint", "int", "bigint"):
+        return text.try_cast(kind).isNull() | ~text.rlike(r"^(0|-?[1-9][0-9]*)$")
+    if kind == "numeric":
+        return parse_amount_text(text).isNull()
+    if kind == "uuid":
+        return ~text.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    if kind == "timestamp":
+        return text.try_cast("timestamp").isNull() | ~text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z$")
+    if kind == "date":
+        return text.try_cast("date").isNull() | ~text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    if kind == "binary":
+        return ~text.rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    if kind in ("text", "json"):
+        return F.when(text.isNotNull(), F.lit(False))
+    raise ValueError(f"no text form of {kind}")
+
+
+def from_canonical(text: Column, kind: str) -> Column:
+    """The value of a canonical text: the inverse of ``canonical`` for types with a text form; null where it is refused."""
+    if kind == "numeric":
+        return parse_amount_text(text)
+    good = F.when(~refused(text, kind), text)
+    if kind == "binary":
+        return F.unbase64(good)
+    return good if kind in ("text", "json", "uuid") else good.try_cast(kind)
+
+
+@pandas_udf(ArrayType(StringType()))
+def nfc_all(texts: pd.Series) -> pd.Series:
+    """Unicode composition of every text of a list."""
+    return texts.map(lambda ts: ts if ts is None else [t if t is None else unicodedata.normalize("NFC", t) for t in ts])
+
+
 def canonical_object(fields: dict[str, Column]) -> Column:
     """JSON text of an object: keys in order, null members left out."""
     return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
@@ -70,6 +113,12 @@ def domain_digest(record_type: str, version: int, body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f"{record_type}.v{version}\n"), body), 256))
 
 
+def request_fingerprint(principal: Column, operation: Column, target: Column, body: Column) -> Column:
+    """Digest of a request: two requests under one idempotency key are the same if it is equal."""
+    fields = {"principal": nfc(principal), "operation": nfc(operation), "target": nfc(target), "body_sha256": F.sha2(body.cast("binary"), 256)}
+    return domain_digest(REQUEST, 1, canonical_object(fields))
+
+
 def row_digest(event_id: Column, payload: Column) -> Column:
     """SHA-256 of an event's id, a zero byte and its payload (binary or text)."""
     return F.sha2(F.concat(F.encode(event_id, "UTF-8"), F.lit(b"\0"), payload.cast("binary")), 256)

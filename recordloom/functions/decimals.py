@@ -11,14 +11,25 @@ DIGITS = 38
 WIDE = "decimal(38,0)"
 
 
+def accepted(text: Column) -> Column:
+    """Whether a text is an amount: the grammar, and DIGITS digits at most, wherever its point stands."""
+    return text.rlike(AMOUNT) & (F.char_length(F.regexp_replace(text, r"[-.]", "")) <= DIGITS)
+
+
 def parse_amount(text: Column, scale: int = 18) -> Column:
-    """The amount of a text, null where the grammar, DIGITS or ``scale`` (digits lost) refuse it."""
-    digits = F.char_length(F.regexp_replace(F.regexp_replace(text, r"[-.]", ""), "^0+", ""))
+    """The amount of a text as a decimal of ``scale`` places; null where it is not accepted, would lose digits, or has more
+    than DIGITS - ``scale`` digits before the point (``parse_amount_text`` keeps those, too)."""
     fraction = F.regexp_extract(text, r"\.([0-9]*?)0*$", 1)
-    good = text.rlike(AMOUNT) & (digits <= DIGITS) & (F.char_length(fraction) <= scale)
+    good = accepted(text) & (F.char_length(fraction) <= scale)
     return F.when(good, text.try_cast(f"decimal({DIGITS},{scale})"))
 
 
+def parse_amount_text(text: Column) -> Column:
+    """The amount of a text as its shortest text, all of up to DIGITS digits kept; null where it is not accepted."""
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(accepted(text), short)
+
+
 def round_amount(amount: Column, scale: int, mode: str = "half_away") -> Column:
     """Round to ``scale`` places: ties away from zero (``half_away``) or to the even digit (``half_even``)."""
     if mode not in ("half_away", "half_even"):
@@ -45,11 +56,12 @@ def allocate(rows: DataFrame, group: list[str], total: str, weight: str, order:
     """Split each group's ``total`` (whole minor units, the same in its rows) by ``weight`` into whole units.
 
     Every row gets the floor of its share of the magnitude; the units left go to the largest remainders, earlier rows
-    (``order``) first on ties; a negative total is split by its magnitude. Groups whose weights sum to zero get null.
-    Parts sum to the total exactly.
+    (``order``) first on ties; a negative total is split by its magnitude. Groups whose weights sum to zero get null; a negative
+    weight fails the job. Parts sum to the total exactly.
     """
     by = Window.partitionBy(*group)
     size, share = F.abs(F.col(total)).cast(WIDE), F.col(weight).cast(WIDE)
+    share = F.when(share < 0, F.raise_error(F.lit("a weight is negative")).cast(WIDE)).otherwise(share)
     rows = rows.withColumn("_sum", F.sum(share).over(by)).withColumn("_product", size * share)
     whole = ((F.col("_product") - F.col("_product") % F.col("_sum")) / F.col("_sum")).cast("long")
     rows = rows.withColumn("_base", F.when(F.col("_sum") > 0, whole)).withColumn("_rest", F.when(F.col("_sum") > 0, F.col("_product") % F.col("_sum")))

@@ -791,3 +791,4 @@ def dense_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
 from recordloom.plans import tables as _tables  # noqa: E402, F401  registers the decision tables
+from recordloom.plans import values as _values  # noqa: E402, F401  registers its queries

@@ -536,3 +536,26 @@ def test_alignment_rules():
     assert run(("rollback", 3), *confirmed, ("primary_response", 3)) == ("stalled", "refetch")
     assert run(("rollback", 3), *confirmed, ("primary_response", 4)) == ("aligning", "row_check_then_refetch")
     assert run(("foreign", 5), ("environment_copy", 5)) == ("aligning", "clear_and_refetch")
+
+
+def test_canonical_values_have_an_inverse_and_refusals(spark):
+    cases = [("bigint", "12"), ("bigint", "012"), ("smallint", "70000"), ("numeric", "1.50"), ("numeric", "9" * 38), ("numeric", "-0"), ("date", "2024-02-30"), ("date", "2024-02-29"),
+             ("uuid", "123e4567-e89b-12d3-a456-426614174000"), ("uuid", "x"), ("binary", "YWJj"), ("binary", "YWJ"), ("timestamp", "2024-01-01T00:00:00.000000Z"), ("timestamp", "2024-01-01"), ("text", "x")]
+    wanted = ["12", None, None, "1.5", "9" * 38, None, None, "2024-02-29", "123e4567-e89b-12d3-a456-426614174000", None, "abc", None, "2024-01-01 00:00:00", None, "x"]
+    got = []
+    for kind, text in cases:
+        value = canonical.from_canonical(F.col("t"), kind)
+        got.append(spark.createDataFrame([(text,)], "t string").select(value.cast("string").alias("v")).first().v)
+    assert got == wanted
+
+
+def test_canonical_booleans_and_lists_stay_json(spark):
+    df = spark.createDataFrame([(True, ["e\u0301", "x"]), (None, None)], "b boolean, t array<string>")
+    body = canonical.canonical_object({"b": canonical.canonical(F.col("b"), "boolean"), "t": canonical.canonical(F.col("t"), "text[]")})
+    assert [r.x for r in df.select(body.alias("x")).collect()] == ['{"b":true,"t":["\u00e9","x"]}', "{}"]
+
+
+def test_negative_weights_are_refused(spark):
+    df = spark.createDataFrame([(1, 10, 3), (1, 10, -1)], "g int, total long, w int")
+    with pytest.raises(Exception, match="a weight is negative"):
+        decimals.allocate(df, ["g"], "total", "w", ["w"]).collect()
