@@ -7,13 +7,16 @@ equal groups that follow one another become a repeated group, and differing text
 where the variable text of a host's pages lies; the page's own tokens of that place, without boilerplate groups and
 without texts that are the same on all pages and lie before or after all that varies, are its main text.
 
-Scale. Every page of every host is aligned. Wrappers are folded in the tasks that read the pages and merged
-per host in bounded groups, FAN_IN at a time, so a host with a third of all pages is no single task. Only a short
-rule for each host meets the pages again.
+Scale. Every page of every host is aligned. Pages of a host whose tokens nest alike (a skeleton) align item by item,
+which has one result in any order, so they are folded in the tasks that read them. What differs is aligned in a tree
+that depends on the wrappers alone, in groups of about FAN_IN: neither the order of the pages nor their partitions
+change a wrapper, and a host with a third of all pages is no single task. Only a short rule for each host meets the
+pages again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -23,15 +26,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import materialize
+from recordloom.llm.common import dealt, hot_keys, materialize
 
 FAN_IN = 32  # wrappers merged in one group
 WIDE = 64  # items of a level before it becomes one repeated group of optional items
-HOSTS_HELD = 500  # wrappers a task holds before it hands them on
+MANY_KEYS = 256  # different keys of such a group before they are told apart by their tags alone
+WRAPPERS_HELD = 500  # wrappers, or rules, a task holds before it hands them on, or forgets them
 DEEP = 60  # levels of nesting that a wrapper tells apart; pages are read to any depth
 BROADCAST_HOSTS = 20_000  # rules (under 1 KB each, on average) up to which they travel to the tasks; beyond, a join by host
 
@@ -77,7 +81,7 @@ def _open(tag: str, rest: str) -> Node:
         value, name = a or b or c, name.lower()
         if name in ("class", "id", "role"):
             found = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
-            words += found[:4]
+            words += found if len(found) <= 4 else [*found[:4], f"{zlib.crc32('.'.join(found).encode()):x}"]
             skip = skip or bool(BOILERPLATE.intersection(found))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             skip = True
@@ -167,7 +171,39 @@ def items_of(node: Node, linked: bool = False, depth: int = 0) -> list[list]:
                 out += own
         else:
             out.append([child.key, ONCE, 1, 0, 0, []])
-    return fold_repeats(out)
+    return _narrow(fold_repeats(out))
+
+
+def skeleton_of(items: list[list]) -> str:
+    """A digest of how keys nest, whatever the texts."""
+    left: list[list | None] = [*reversed(items)]
+    told = hashlib.blake2b(digest_size=12)
+    while left:
+        item = left.pop()
+        told.update(f"{item[0]}<".encode() if item else b">")
+        if item:
+            left += [None, *reversed(item[5])]
+    return told.hexdigest()
+
+
+def _narrow(items: list[list]) -> list[list]:
+    """A level of more than WIDE items as one repeated group with an item for each key; of more than MANY_KEYS keys, for each
+    tag (``tag.*`` stands for all keys of the tag), so a wrapper's size is bounded and no item is lost."""
+    if len(items) <= WIDE:
+        return items
+    general = len({x[0] for x in items}) > MANY_KEYS
+    by_key: dict[str, list] = {}
+    for item in items:
+        key = item[0]
+        if general and key != "#":
+            tag = key.split(".")[0]
+            key = f"{tag}.*" if tag in BLOCKS else ".*"
+        item[0], item[1] = key, REPEATED
+        if key in by_key:
+            merge_into(by_key[key], item)
+        else:
+            by_key[key] = item
+    return list(by_key.values())
 
 
 def _text_item(text: str, linked: bool) -> list:
@@ -199,12 +235,18 @@ def _texts_as_one(items: list[list]) -> list[list]:
 
 
 def fold_repeats(items: list[list]) -> list[list]:
-    """Items with every run of equal groups as one repeated group; groups of up to four items are looked for."""
+    """Items with every run of equal groups as one repeated group; groups of up to half of WIDE items are looked for."""
     items = _texts_as_one(items)
-    for width in (1, 2, 3, 4):
+    for width in range(1, WIDE // 2 + 1):
+        if 2 * width > len(items):
+            break
         out: list[list] = []
         k = 0
         while k < len(items):
+            if k + width >= len(items) or items[k][0] != items[k + width][0]:
+                out.append(items[k])
+                k += 1
+                continue
             group = items[k : k + width]
             times = 1
             while len(group) == width and [x[0] for x in items[k + times * width : k + (times + 1) * width]] == [x[0] for x in group]:
@@ -257,17 +299,7 @@ def align(a: list[list], b: list[list]) -> list[list]:
             b[j][1] = max(b[j][1], OPTIONAL)
             out.append(b[j])
             j += 1
-    out = fold_repeats(out)
-    if len(out) > WIDE:
-        by_key: dict[str, list] = {}
-        for item in out:
-            item[1] = REPEATED
-            if item[0] in by_key:
-                merge_into(by_key[item[0]], item)
-            elif len(by_key) < 4 * WIDE:
-                by_key[item[0]] = item
-        out = list(by_key.values())
-    return out
+    return _narrow(fold_repeats(out))
 
 
 def rule_of(wrapper: list[list]) -> dict:
@@ -318,17 +350,21 @@ def _fixed_texts(item: list) -> list[int]:
     return [item[3]] if item[0] == "#" and item[3] else [c for x in item[5] for c in _fixed_texts(x)]
 
 
+def _children(places: list[Node], keys: list[str]) -> list[Node]:
+    return [c for p in places for c in p.children if isinstance(c, Node) and not c.skip and (c.key in keys or f"{c.tag}.*" in keys)]
+
+
 def extract(page: str, rule: dict | None) -> str:
     """The page's main text by its host's rule, or by its own tokens if the rule's place is not there."""
     root = parse(page)
     places = [root]
     for keys in (rule or {}).get("path", []):
-        places = [c for p in places for c in p.children if isinstance(c, Node) and c.key in keys]
+        places = _children(places, keys)
     if not places or (places == [root]):
         own = rule_of(items_of(root))["path"]
         places = [root]
         for keys in own:
-            places = [c for p in places for c in p.children if isinstance(c, Node) and c.key in keys]
+            places = _children(places, keys)
     constant = set((rule or {}).get("constant", ()))
     blocks: list[str] = []
     for place in places:
@@ -384,47 +420,51 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper, pages``: one wrapper for each host, aligned with all its pages."""
+    """``host, wrapper``: one wrapper for each host, aligned with all its pages, whatever their order and partitions."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple[str, str], list] = {}
 
         def hand_on() -> pa.RecordBatch:
-            rows = [(h, json.dumps(w), n) for h, (w, n) in held.items()]
+            rows = [(host, skeleton, json.dumps(w)) for (host, skeleton), w in held.items()]
             held.clear()
-            return pa.RecordBatch.from_pydict(
-                {"host": pa.array([r[0] for r in rows], pa.string()), "wrapper": pa.array([r[1] for r in rows], pa.string()), "pages": pa.array([r[2] for r in rows], pa.int64())}
-            )
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["host", "skeleton", "wrapper"])
 
         for whole in batches:
             for batch in tb.pieces(whole, "html"):
                 for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                     items = items_of(parse(page or ""))
-                    if host in held:
-                        old, n = held[host]
-                        held[host] = [align(old, items), n + 1]
-                    else:
-                        if len(held) >= HOSTS_HELD:
-                            yield hand_on()
-                        held[host] = [items, 1]
+                    key = host, skeleton_of(items)
+                    if key not in held and len(held) >= WRAPPERS_HELD:
+                        yield hand_on()
+                    held[key] = align(held[key], items) if key in held else items
         yield hand_on()
 
+    found = materialize(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(fold, "host string, skeleton string, wrapper string"))
+    # Wrappers of one skeleton may be merged in any order, so equal ones are dealt by their rows.
+    alike = _merged(found, "skeleton", F.xxhash64("wrapper", F.monotonically_increasing_id()))
+    return _merged(alike.select("host", F.lit("").alias("skeleton"), "wrapper"), "skeleton", F.xxhash64("wrapper")).select("host", "wrapper")
+
+
+def _merged(found: DataFrame, within: str, place: Column) -> DataFrame:
+    """One wrapper for each host and value of ``within``, merged in rounds of groups of about FAN_IN, dealt by ``place``."""
+
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = None
+        whole = None
         for text in sorted(pdf["wrapper"]):
             items = json.loads(text)
-            found = items if found is None else align(found, items)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(found)], "pages": [pdf["pages"].sum()]})
+            whole = items if whole is None else align(whole, items)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], within: [pdf[within].iloc[0]], "wrapper": [json.dumps(whole)]})
 
-    schema = "host string, wrapper string, pages long"
-    found = materialize(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(fold, schema))
     while True:
-        most = found.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-        if most <= 1:
+        sizes = found.groupBy("host", within).agg(F.count("*").alias("size"))
+        if sizes.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0] <= 1:
             return found
-        parts = -(-most // FAN_IN)
-        dealt = found.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(parts)) if parts > 1 else F.lit(0))
-        found = materialize(dealt.groupBy("host", "part").applyInPandas(combine, schema))
+        # Keys of a hot table are numbers, so its bound on rows is one on bytes; two groups of one number are only dealt alike.
+        hot = hot_keys(sizes.groupBy(F.xxhash64("host", within).alias("_group")).agg(F.max("size").alias("size")), "_group", FAN_IN)
+        told = found.withColumn("_group", F.xxhash64("host", within)).withColumn("_place", place)
+        parts = dealt(told, "_group", "_place", hot).groupBy("host", within, "_chunk")
+        found = materialize(parts.applyInPandas(combine, f"host string, {within} string, wrapper string"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -451,7 +491,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 out = []
                 for page, rule in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), strict=True):
                     if rule not in known:
-                        if len(known) > HOSTS_HELD:
+                        if len(known) > WRAPPERS_HELD:
                             known = {None: None}
                         known[rule] = json.loads(rule)
                     out.append(extract(page or "", known[rule]))

@@ -122,3 +122,68 @@ def test_what_follows_or_is_boilerplate_below_deep_nesting(spark):
 
 def test_empty_table(spark):
     assert htmlwrap.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def hosts_of_mixed_styles():
+    """Pages of two hosts with all styles, notices on some pages, a shared lead, repeated pages, and levels of many keys."""
+    rnd, rows = random.Random(7), []
+    for k in range(160):
+        page, text = site(k, ["article", "main", "divs", "table"][k % 4])
+        if k % 3 == 0:
+            page = page.replace("</h1>", "</h1>\n<p>A lead that many pages share.</p>", 1)
+            text = text.replace("\n\n", "\n\nA lead that many pages share.\n\n", 1)
+        if k % 10 == 9:
+            page = page.replace("<body>", f"<body><div class='notice'>{k}</div>" + "".join(f"<div class='{rnd.choice('abcdefgh') * rnd.randint(1, 9)}'></div>" for _ in range(80)), 1)
+        rows += [(k, f"https://{'one' if k % 5 else 'two'}.example/{k}", page, text)] * (3 if k % 40 == 1 else 1)
+    return rows
+
+
+def test_neither_order_nor_partitions_change_a_wrapper(spark):
+    rows = [r[:3] for r in hosts_of_mixed_styles()]
+    seen = []
+    for seed, parts in ((1, 1), (2, 3), (3, 7)):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).repartition(parts, "page_id")
+        seen.append((sorted(htmlwrap.wrappers(df).collect()), sorted(htmlwrap.main_text(df).collect())))
+    assert seen[0] == seen[1] == seen[2]
+    assert [w.host for w in seen[0][0]] == ["one.example", "two.example"] and len(seen[0][1]) == len(rows)
+
+
+def test_wrappers_of_small_hosts_equal_a_plain_fold(spark):
+    """Hosts of up to FAN_IN skeletons: pages of one skeleton first, then the rest in the order of their wrappers."""
+    pages = [(k, f"https://{style}.example/{k}", site(k, style)[0]) for style in ("article", "main", "divs", "table") for k in range(3)]
+    expected = []
+    for host in ("article", "divs", "main", "table"):
+        kept = {}
+        for _, url, page in pages:
+            if url.startswith(f"https://{host}."):
+                items = htmlwrap.items_of(htmlwrap.parse(page))
+                keys = htmlwrap.skeleton_of(items)
+                kept[keys] = htmlwrap.align(kept[keys], items) if keys in kept else items
+        whole = None
+        for items in sorted(kept.values(), key=htmlwrap.json.dumps):
+            whole = items if whole is None else htmlwrap.align(whole, items)
+        expected.append((f"{host}.example", htmlwrap.json.dumps(whole)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    assert sorted(map(tuple, htmlwrap.wrappers(df).collect())) == expected
+
+
+def test_levels_of_thousands_of_siblings_and_keys_lose_nothing(spark):
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    def page(k, named):
+        blocks = "".join(f"<div class='{named(k, i)}'><p>block {k} {i}</p></div><section>part {k} {i}</section>" for i in range(1500))
+        return f"<body><div class='nav'>menu {k}</div><div class='page'><h1>Title {k}</h1>{blocks}</div></body>"
+
+    text = ["\n\n".join([f"Title {k}", *(f"block {k} {i}\n\npart {k} {i}" for i in range(1500))]) for k in range(4)]
+    for named in (lambda k, i: "same", lambda k, i: "x" + letters(i), lambda k, i: f"one two three four five {letters(k * 1500 + i)}"):
+        assert texts_of(spark, [page(k, named) for k in range(4)]) == text
+    tops = [f"<body><div class='nav'>menu {k}</div>" + "".join(f"<div class='y{letters(k * 1500 + i)}'>block {k} {i}</div>" for i in range(1500)) + "</body>" for k in range(4)]
+    assert texts_of(spark, tops) == ["\n\n".join(f"block {k} {i}" for i in range(1500)) for k in range(4)]
+
+
+def test_long_groups_repeat_and_hidden_groups_stay_out(spark):
+    group = lambda k, i: "".join(f"<{t}>{t} {k} {i}</{t}>" for t in ("h3", "p", "ul", "p", "table", "blockquote", "pre"))
+    items = htmlwrap.items_of(htmlwrap.parse("".join(group(0, i) for i in range(9))))
+    assert [x[0] for x in items] == ["h3", "p", "ul", "p", "table", "blockquote", "pre"] and all(x[1] == htmlwrap.REPEATED for x in items)
+    pages = [f"<body><div class='post' hidden>old {k}</div><div class='post'><h1>Title {k}</h1><p>text {k}</p></div></body>" for k in range(3)]
+    assert texts_of(spark, pages) == [f"Title {k}\n\ntext {k}" for k in range(3)]
