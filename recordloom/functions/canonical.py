@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType
 
 from recordloom.functions.decimals import parse_amount_text
@@ -133,11 +138,41 @@ def length_prefixed(text: Column) -> Column:
 def table_hash(rows: DataFrame, group: list[str], key: str, row: str) -> DataFrame:
     """``group, rows, sha256``: hash of each group's rows in the order of their key's bytes, as given in any order.
 
-    A group is an archive unit, whose members are bounded by the sealing rule; it is hashed in one task.
+    A group's rows are sorted on Spark, where they may spill, and stream through one hash; no group is held as a whole.
     """
-    parts = F.array_sort(F.collect_list(F.struct(F.encode(key, "UTF-8").alias("k"), length_prefixed(F.col(row)).alias("r"))))
-    whole = F.array_join(F.transform(parts, lambda p: F.hex(p["r"])), "")
-    return rows.groupBy(*group).agg(F.count("*").alias("rows"), F.sha2(F.unhex(whole), 256).alias("sha256"))
+    names = [f"_g{k}" for k in range(len(group))]
+    told = rows.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.encode(key, "UTF-8").alias("_k"), length_prefixed(F.col(row)).alias("_r"))
+    kept = ", ".join(f"`{g}` {told.schema[n].dataType.simpleString()}" for g, n in zip(group, names, strict=True))
+    target = told.select(*[F.col(n).alias(g) for g, n in zip(group, names, strict=True)], F.lit(0).cast("long").alias("rows"), F.lit("").alias("sha256")).schema
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(target)
+        current, count, running = None, 0, hashlib.sha256()
+        done: list[tuple] = []
+
+        def leave() -> pa.RecordBatch:
+            columns = [pa.array([d[k] for d in done], field.type) for k, field in enumerate(schema)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            groups = zip(*[batch.column(k).to_pylist() for k in range(len(names))], strict=True)
+            for mine, run in itertools.groupby(zip(groups, batch.column(len(names) + 1).to_pylist(), strict=True), key=lambda x: x[0]):
+                if mine != current:
+                    if current is not None:
+                        done.append((*current, count, running.hexdigest()))
+                    current, count, running = mine, 0, hashlib.sha256()
+                for _, raw in run:
+                    count += 1
+                    running.update(raw or b"")
+            if len(done) >= 10_000:
+                yield leave()
+        if current is not None:
+            done.append((*current, count, running.hexdigest()))
+        if done:
+            yield leave()
+
+    return told.repartition(*names).sortWithinPartitions(*names, "_k", "_r").mapInArrow(hashed, f"{kept}, rows long, sha256 string")
 
 
 def unit_digest(sums: DataFrame, group: list[str], record_class: str, schema_version: str) -> DataFrame:

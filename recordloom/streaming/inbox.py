@@ -41,21 +41,20 @@ def receive(stream: DataFrame, inbox_path: str, checkpoint: str, subscription: s
 
     A micro-batch takes the events that the inbox, a Parquet table partitioned by batch, does not hold; a batch that is
     run again after a failure replaces its own partition and hands the same events to ``handle`` with the same number.
+    Files are sorted by event, and only the range of the batch's events is looked up, so the scan skips older files where
+    ids rise with time; ids in no order make each batch read the ids of the whole inbox.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         schema = "event_id string, subscription string"
-        try:
-            seen = spark.read.schema(f"{schema}, batch long").option("basePath", inbox_path).parquet(inbox_path).where(F.col("batch") < number)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            seen = spark.createDataFrame([], f"{schema}, batch long")
-        fresh = admitted(once(rows, seen, subscription)).persist()
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{inbox_path}/batch=-1")  # so there is a table to read
+        seen = spark.read.schema(f"{schema}, batch long").option("basePath", inbox_path).parquet(inbox_path).where(F.col("batch") < number)
+        first, last = rows.agg(F.min(F.col("event_id").cast("string")), F.max(F.col("event_id").cast("string"))).first()
+        fresh = admitted(once(rows, seen.where(F.col("event_id").between(first, last)), subscription)).persist()
         handle(fresh, number)
         told = fresh.select(F.col("event_id").cast("string").alias("event_id"), F.lit(subscription).alias("subscription"))
-        told.write.mode("overwrite").parquet(f"{inbox_path}/batch={number}")
+        told.sort("event_id").write.mode("overwrite").parquet(f"{inbox_path}/batch={number}")
         fresh.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -45,13 +45,13 @@ def numbered_stream(rows: DataFrame, schema: str) -> DataFrame:
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, last = state.get if state.exists else (None, 0)
-        whole = pd.concat(list(batches)).sort_values("ord", kind="stable")
-        out = []
-        for row in whole.to_dict("records"):
-            epoch, last = (epoch, last + 1) if row["epoch"] == epoch else (row["epoch"], 1)
-            out.append(row | {"seq": last})
-        state.update((epoch, last))
-        yield pd.DataFrame(out)[names]
+        whole = pd.concat(list(batches)).sort_values("ord", kind="stable").reset_index(drop=True)
+        run = whole["epoch"].ne(whole["epoch"].shift()).cumsum()
+        seq = whole.groupby(run).cumcount() + 1
+        if whole["epoch"].iloc[0] == epoch:  # the first run goes on where the last batch ended
+            seq += (run == 1) * last
+        state.update((whole["epoch"].iloc[-1], int(seq.iloc[-1])))
+        yield whole.assign(seq=seq.astype("int64"))[names]
 
     return rows.groupBy("partition").applyInPandasWithState(number, schema, "epoch string, last long", "append", GroupStateTimeout.NoTimeout)
 

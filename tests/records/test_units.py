@@ -83,6 +83,40 @@ def test_digests_do_not_depend_on_order_or_partitions(spark):
     assert expected[0].sha256 == h.hexdigest()
 
 
+def test_hashes_of_many_units_stream_by_their_rows(spark):
+    import hashlib
+
+    rows = [(None if u == 0 else u, str(u % 3), f"k{i * 7 % 11}", f"{u}-{i}") for u in range(40) for i in range(u % 5 + 1)]
+    df = spark.createDataFrame(rows, "unit long, part string, pk string, row string").repartition(5)
+    want = {}
+    for u, part, _, row in sorted(rows, key=lambda r: (r[2].encode(), r[3])):
+        n, h = want.setdefault((u, part), [0, hashlib.sha256()])
+        h.update(len(row).to_bytes(8, "big") + row.encode())
+        want[u, part][0] = n + 1
+    got = {(r.unit, r.part): (r.rows, r.sha256) for r in canonical.table_hash(df, ["unit", "part"], "pk", "row").collect()}
+    assert got == {k: (n, h.hexdigest()) for k, (n, h) in want.items()}
+    assert canonical.table_hash(df.where("false"), ["unit"], "pk", "row").collect() == []
+
+
+def test_streamed_numbers_go_on_within_an_epoch(spark, tmp_path):
+    from recordloom.streaming import outbox
+
+    schema = "partition int, epoch string, ord long"
+    batches = [[(p, "e1", k) for p in (0, 1) for k in range(3)], [(0, "e1", 3), (0, "e2", 4), (0, "e2", 5), (1, "e2", 3)], [(0, "e2", 6), (0, "e1", 7), (0, "e2", 8)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        out = outbox.numbered_stream(stream, f"{schema}, seq long").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        out.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.partition, r.ord): (r.epoch, r.seq) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want, counters = {}, {}
+    for p, epoch, ord_ in (r for rows in batches for r in rows):
+        last = counters.get(p, (None, 0))
+        counters[p] = (epoch, last[1] + 1 if last[0] == epoch else 1)
+        want[p, ord_] = counters[p]
+    assert got == want
+
+
 def fnv(text, n):
     h = 14695981039346656037
     for b in text.lower().encode():
