@@ -12,6 +12,8 @@ from recordloom.llm.common import table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; nulls, empty and repeated texts as in ``langid.identify``. A null doc_id
+    counts as an empty id, which is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
     found = langid.identify(docs, model)
@@ -19,12 +21,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``, learned from its labelled rows; odd texts as in ``toxicity.score``. A null doc_id
+    has no label and is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted", "matches")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; a text without a span has zero counts, the digest of an empty text and an
+    empty ``spans``. Odd texts as in ``secrets.scan``."""
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
 
     def count(kind: int):
@@ -41,18 +47,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; odd rows as in ``neardup.near_duplicates``."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a row of ``documents`` and an item of ``benchmark``; odd rows as in ``decontam.contained_items``."""
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of ``documents``; ties and odd rows as in ``mixing.mix``."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; odd rows as in ``suffixdedup.deduplicate``."""
     return removal_digests(suffixdedup.deduplicate(table(spark, sf_dir, "documents")))
 
 
@@ -63,15 +73,20 @@ def removal_digests(found: DataFrame) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``pages``; odd pages as in ``htmlwrap.main_text``."""
     return htmlwrap.main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five rows for each query of ``embeddings``; ties and odd vectors as in ``topk.top_k``. A row of a null vec_id
+    is no query."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; odd rows as in ``brown.score``. A null doc_id counts as an empty id, which
+    is held out."""
     docs = table(spark, sf_dir, "documents")
     model, words = brown.fit(brown.training_rows(docs))
     scored = brown.score(docs, model, words)
