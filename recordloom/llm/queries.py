@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import brown, decontam, htmlwrap, langid, mixing, neardup, secrets, suffixdedup, topk, toxicity
+from recordloom.llm import brown, decontam, divergence, htmlwrap, langid, mixing, neardup, secrets, sharding, suffixdedup, topk, toxicity, treaps
 from recordloom.llm.common import table
 
 
@@ -93,6 +93,21 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten rows of ``documents`` for each item of ``benchmark``; ties and odd rows as in ``treaps.ranked``."""
+    return treaps.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources and terms of each source of ``documents``; ties and odd rows as in ``divergence.audit``."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of ``documents``; repeated and odd rows as in ``sharding.shards_of``."""
+    return sharding.shards_of(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -105,9 +120,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": op8_main_text,
         "op9_top_k": op9_top_k,
         "op10_class_lm": op10_class_lm,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_sharding": op13_sharding,
     }
 
 
 #: DuckDB SQL, where SQL can express the result.
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secrets.oracle_sql(), "op5_decontamination": decontam.ORACLE_SQL, "op6_mixing": mixing.oracle_sql(), "op9_top_k": topk.ORACLE_SQL}
+    return {
+        "op3_secret_scan": secrets.oracle_sql(),
+        "op5_decontamination": decontam.ORACLE_SQL,
+        "op6_mixing": mixing.oracle_sql(),
+        "op9_top_k": topk.ORACLE_SQL,
+        "op11_ranked_search": treaps.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_sharding": sharding.oracle_sql(),
+    }
