@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from recordloom.llm import textbatch as tb
 from recordloom.llm.common import written
 
-CHUNK = 16 << 20  # bytes of text whose terms are counted together, one document at least
+CHUNK = 6 << 20  # bytes of text whose terms are counted together, one document at least
 LIST_BLOCK = 512  # of a posting list that a task pairs with the whole list
-PAIRS = 1 << 20  # pairs that are evaluated as one array, one term at least
+SPELLED = 1 << 16  # words that are written out at once
+PAIRS = 1 << 19  # pairs that are evaluated as one array, one term at least
 NEAR = 500_000  # rows of a table that travel to the tasks (about 30 MB)
 GROWTH = 16
 # How often a kept term is found, the scale of probabilities and the ranks of a source's terms.
@@ -59,7 +60,7 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, amount = [], 0
         for whole in batches:
-            for piece in tb.pieces(whole, size=CHUNK // 4):
+            for piece in tb.pieces(whole, size=max(1, CHUNK // 4)):
                 held.append(piece)
                 amount += int(tb.utf8(piece.column("text"))[1][-1])
                 if amount >= CHUNK:
@@ -80,24 +81,32 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(differs)
 
 
+def _spelled(text: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The words that begin at ``first`` as an Arrow array."""
+    ends = np.append(0, np.cumsum(length, dtype=np.int64))
+    letters = text[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes()))
+
+
 def _counts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held)
     codes = [rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source")]
     pair = np.asarray(codes[0].indices).astype(np.int64) * len(codes[1].dictionary) + np.asarray(codes[1].indices)
     order = np.argsort(pair, kind="stable")
     rows, pair = rows.take(pa.array(order)).combine_chunks(), pair[order]
-    table, folded, first, last, owner, hashes, done, size = letters(), [], [], [], [], [], 0, 0
+    table, folded, first, length, owner, hashes, done, size = letters(), [], [], [], [], [], 0, 0
     for batch in rows.to_batches():
         for piece in tb.pieces(batch):
             data, at = tb.utf8(piece.column("text"))
             bytes_, starts, ends, doc = tb.word_spans(data, at, table)
             folded.append(bytes_)
-            first.append(starts + size)
-            last.append(ends + size)
+            first.append((starts + size).astype(np.int64 if size > 1 << 30 else np.int32))
+            length.append((ends - starts).astype(np.int32))
             hashes.append(tb.word_hashes(bytes_, starts, ends))
             owner.append((doc + done).astype(np.int32))
             done, size = done + len(piece), size + len(bytes_)
-    text, first, last, owner, term = (np.concatenate(x) for x in (folded, first, last, owner, hashes))
+    text, first, length, owner, term = (np.concatenate(x) for x in (folded, first, length, owner, hashes))
+    del folded, hashes
     order = np.argsort(term, kind="stable")  # then by document, and so by group
     head = _heads(term[order], owner[order])
     times = np.diff(np.append(head, len(order)))
@@ -107,12 +116,9 @@ def _counts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     n = np.add.reduceat(times, head) if len(head) else times
     docs = np.diff(np.append(head, len(term)))
     where, group = where[head], group[head]
-    lengths = (last - first)[where]
-    ends = np.append(0, np.cumsum(lengths))
-    spelled = text[np.repeat(first[where] - ends[:-1], lengths) + np.arange(ends[-1])]
-    words = pa.LargeStringArray.from_buffers(len(where), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(spelled.tobytes()))
+    words = pa.chunked_array([_spelled(text, first[w], length[w]) for w in np.array_split(where, max(1, len(where) // SPELLED))]).combine_chunks()
     langs, sources = (c.dictionary.take(pa.array(i)) for c, i in zip(codes, np.divmod(group, max(1, len(codes[1].dictionary))), strict=True))
-    columns = {"lang": langs.cast(pa.string()), "source": sources.cast(pa.string()), "term": words.cast(pa.string()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())}
+    columns = {"lang": langs.cast(pa.string()), "source": sources.cast(pa.string()), "term": words, "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())}
     return pa.RecordBatch.from_pydict(columns)
 
 

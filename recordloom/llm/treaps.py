@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from recordloom.llm import textbatch as tb
 from recordloom.llm.common import received, sent_to_tasks, written
 
-CHUNK = 8 << 20  # bytes of text indexed together, one document at least
+CHUNK = 4 << 20  # bytes of text indexed together, one document at least
 BLOCK_TERMS = 1 << 18  # terms of the items that are searched together
 WALKED = 1 << 20  # postings below the treaps that are walked together, one item at least
 FAN_IN = 32
