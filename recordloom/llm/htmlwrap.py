@@ -50,52 +50,133 @@ SKIPPED = frozenset("nav footer aside form button select option input label menu
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body table ul ol dl article section main div".split())
-# Words of class, id and role that name what is not the article.
-BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense promo promotion promoted sponsor sponsored banner cookie cookies consent gdpr notice "
-    "notices notification alert menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments respond reply "
-    "replies discussion disqus related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay "
-    "copyright disclaimer pagination pager toolbar complementary contentinfo search searchform".split()
+# Words of class, id and role that name what is not the article. The first are plain; the others may also stand
+# for a topic, so they count only in names made of such words and of the third group's.
+PLAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar footer masthead comment comments respond disqus newsletter pagination pager complementary contentinfo searchform".split()
 )
+AMBIGUOUS = frozenset(
+    "promo promotion promoted banner notice notices notification alert menu widget widgets reply replies discussion related recommended recommendations share "
+    "sharing social subscribe subscription signup login popup modal overlay copyright disclaimer toolbar search".split()
+)
+GENERIC = frozenset(
+    "site page main global primary secondary top bottom left right section box block container wrapper wrap area list links link posts post articles article items "
+    "item bar panel inner outer content module group form field button buttons icon icons stories story news reading row col column message text body the and in of a".split()
+)
+# Words that make a name tell a state or a layout, such as no-sidebar or comments-open.
+STATES = frozenset("no not has with without is open closed show enabled disabled layout template theme".split())
+HOLDERS = frozenset({"html", "body", "main", "article"})
+CONTROLS = frozenset({"form", "textarea", "input", "button", "select"})
 TITLES = frozenset({"h1", "h2", "h3"})
 HEADINGS = TITLES | {"h4", "h5", "h6"}
 ENDS = HEADINGS | {"p", "li", "pre", "blockquote", "td", "tr"}  # groups that a path does not enter
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# A tag ends at its >, or unfinished at the next < outside quotes, so no part of a page is looked at for many tags.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>?", re.S)
+_UNFINISHED = re.compile(r"<!--.*|<[!?].*|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)()()()", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    """An element of a page: its key, its tag, and its children (nodes and strings)."""
+    """An element of a page: its key, its tag, what marks it as no part of the article (NONE to ALWAYS), whether that holds
+    (``skip``), and its children (nodes and strings)."""
+
+    __slots__ = ("key", "tag", "mark", "skip", "children")
+
+    def __init__(self, key: str, tag: str, mark: int):
+        self.key, self.tag, self.mark, self.skip, self.children = key, tag, mark, False, []
+
 
-    __slots__ = ("key", "tag", "skip", "children")
+NONE, WEAK, STRONG, ALWAYS = 0, 1, 2, 3
 
-    def __init__(self, key: str, tag: str, skip: bool):
-        self.key, self.tag, self.skip, self.children = key, tag, skip, []
+
+def _marked(name: str, words: list[str]) -> int:
+    """What one name of a class, id or role says: whether it marks its element as no part of the article."""
+    found = set(words)
+    if found & STATES or not found & (PLAIN | AMBIGUOUS):
+        return NONE
+    whole = found <= PLAIN | AMBIGUOUS | GENERIC
+    if found & PLAIN:
+        return STRONG if whole or name != "id" else NONE
+    return WEAK if whole else NONE
 
 
 def _open(tag: str, rest: str) -> Node:
     words: list[str] = []
-    skip = tag in SKIPPED
+    mark = ALWAYS if tag in SKIPPED and tag != "form" else STRONG if tag == "form" else NONE
     for name, a, b, c in _ATTRIBUTE.findall(rest) if "=" in rest or "hidden" in rest else ():
         value, name = a or b or c, name.lower()
         if name in ("class", "id", "role"):
-            found = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
+            names = [[w for w in re.split(r"[^a-z]+", x.lower()) if w] for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).split()]
+            found = [w for x in names for w in x]
             words += found if len(found) <= 4 else [*found[:4], f"{zlib.crc32('.'.join(found).encode()):x}"]
-            skip = skip or bool(BOILERPLATE.intersection(found))
+            mark = max([mark, *(_marked(name, x) for x in names)])
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            skip = True
-    return Node(".".join([tag, *words]), tag, skip)
+            mark = ALWAYS
+    return Node(".".join([tag, *words]), tag, NONE if tag in HOLDERS else mark)
+
+
+class _Held:
+    """What a subtree holds: characters of text, those of them in links, and whether an article or main, a title, and a control."""
+
+    __slots__ = ("chars", "linked", "article", "title", "control")
+
+    def __init__(self) -> None:
+        self.chars, self.linked, self.article, self.title, self.control = 0, 0, False, False, False
+
+
+def settle(root: Node) -> Node:
+    """Decide which marked elements are skipped.
+
+    Names alone never skip an element around an article, a main or the page's title, nor a form around more than half of the
+    page's text. Within an article or main, a name that may be a topic skips only what holds links or controls for the most part.
+    """
+    held: dict[int, _Held] = {}
+    left: list[tuple[Node, bool]] = [(root, False)]
+    while left:
+        node, done = left.pop()
+        if not done:
+            left.append((node, True))
+            left += [(c, False) for c in node.children if isinstance(c, Node) and c.mark != ALWAYS]
+            continue
+        own = held[id(node)] = _Held()
+        for c in node.children:
+            if isinstance(c, str):
+                own.chars += len(c) - c.count(" ") if not c.isspace() else 0
+            elif c.mark == ALWAYS:
+                own.control = own.control or c.tag in CONTROLS
+            else:
+                x = held[id(c)]
+                own.chars, own.linked = own.chars + x.chars, own.linked + x.linked
+                own.article, own.title, own.control = own.article or x.article, own.title or x.title, own.control or x.control
+        if node.tag == "a":
+            own.linked = own.chars
+        own.article, own.title, own.control = own.article or node.tag in ("article", "main"), own.title or node.tag == "h1", own.control or node.tag in CONTROLS
+    whole = held[id(root)]
+    walk: list[tuple[Node, bool]] = [(root, False)]
+    while walk:
+        node, inside = walk.pop()
+        if node.mark == ALWAYS:
+            node.skip = True
+        elif node.mark:
+            x = held[id(node)]
+            around = x.article or (x.title and not inside) or (node.tag == "form" and 2 * x.chars > whole.chars)
+            node.skip = not around and (node.mark == STRONG or not inside or 2 * x.linked > x.chars or x.control)
+        if not node.skip:
+            inside = inside or node.tag in ("article", "main")
+            walk += [(c, inside) for c in node.children if isinstance(c, Node)]
+    return root
 
 
 def parse(page: str) -> Node:
     """The page's tokens, nested by their tags; unclosed and stray tags are mended as browsers do."""
-    root = Node("", "", False)
+    root = Node("", "", NONE)
     stack = [root]
     opened: Counter[str] = Counter()  # elements of the stack by tag, so a tag that is not open costs no walk
-    at = 0
+    at, last = 0, page.rfind(">")
     while True:
-        m = _TOKEN.search(page, at)
+        m = (_TOKEN if at <= last else _UNFINISHED).search(page, at)
         if m is None:
             break
         if m.start() > at:
@@ -121,14 +202,14 @@ def parse(page: str) -> Node:
         node = _open(tag, m[3] or m[6] or "")
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^<>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             stack.append(node)
             opened[tag] += 1
     if at < len(page):
         stack[-1].children.append(page[at:])
-    return root
+    return settle(root)
 
 
 def _pop(stack: list[Node], first: int, opened: Counter[str]) -> None:

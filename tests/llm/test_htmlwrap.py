@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -187,3 +188,54 @@ def test_long_groups_repeat_and_hidden_groups_stay_out(spark):
     assert [x[0] for x in items] == ["h3", "p", "ul", "p", "table", "blockquote", "pre"] and all(x[1] == htmlwrap.REPEATED for x in items)
     pages = [f"<body><div class='post' hidden>old {k}</div><div class='post'><h1>Title {k}</h1><p>text {k}</p></div></body>" for k in range(3)]
     assert texts_of(spark, pages) == [f"Title {k}\n\ntext {k}" for k in range(3)]
+
+
+NAMES = [
+    ("<body class='no-sidebar'>{m}<article><h1>{t}</h1>{b}</article></body>", ()),
+    ("<body>{m}<article class='post comments-open'><h1>{t}</h1>{b}</article></body>", ()),
+    ("<body>{m}<main class='layout-with-sidebar'><h1>{t}</h1>{b}</main></body>", ()),
+    ("<body>{m}<article><h1>{t}</h1>{b}<p id='related-work'>earlier {k}</p></article></body>", ("earlier {k}",)),
+    ("<body>{m}<article><h1>{t}</h1>{b}<section id='discussion'><h2>Discussion</h2><p>we discuss {k}</p></section></article></body>", ("Discussion", "we discuss {k}")),
+    ("<body>{m}<article><h1>{t}</h1>{b}<section id='search-engines'><p>they search {k}</p></section></article></body>", ("they search {k}",)),
+    ("<body><form id='aspnetForm' method='post'>{m}<article><h1>{t}</h1>{b}</article><input type='hidden' value='x'></form></body>", ()),
+    ("<body><form id='form1'>{m}<div class='page'><h1>{t}</h1>{b}</div></form></body>", ()),
+    ("<body class='home has-nav menu-open'><div class='sidebar-right columns'>{m}<div class='entry'><h1>{t}</h1>{b}</div><div class='sidebar'><p>side {k}</p></div></div></body>", ()),
+    ("<body class='single-post'>{m}<article><h1>{t}</h1>{b}<div class='cookie-banner'>eat {k}</div><div class='share-buttons'><a href='x'>share {k}</a></div></article></body>", ()),
+    ("<body>{m}<article><h1>{t}</h1>{b}<h2 id='cookie-recipes'>Cookies</h2><p>bake {k}</p></article></body>", ("Cookies", "bake {k}")),
+    ("<body>{m}<article><h1>{t}</h1>{b}<ul class='related-posts'><li><a href='y'>other {k}</a></li></ul></article><div id='comments'><p>I say {k}</p></div></body>", ()),
+    ("<body>{m}<div class='wrap widget-free'><article itemprop='x'><h1>{t}</h1>{b}</article></div><div class='site-footer'>foot {k}</div></body>", ()),
+    ("<html class='no-js menu'><body role='menu' style='display: none'>{m}<main><h1>{t}</h1>{b}</main></body></html>", ()),
+]
+
+
+def named(k, style):
+    rnd = random.Random(f"{k}/{style}")
+    words = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet elitr sed diam nonumy eirmod tempor".split()) for _ in range(n))
+    title, paragraphs = words(4) + f" {k}", [words(rnd.randint(12, 50)) for _ in range(rnd.randint(2, 5))]
+    page, more = NAMES[style]
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>{words(1)}</a></li>" for i in range(4)) + "</ul></nav>"
+    made = page.format(m=menu, t=title, b="".join(f"<p>{p}</p>" for p in paragraphs), k=k)
+    return made, "\n\n".join([title, *paragraphs, *(x.format(k=k) for x in more)])
+
+
+def test_ordinary_names_do_not_remove_articles(spark):
+    made = {(k, s): named(k, s) for s in range(len(NAMES)) for k in range(6)}
+    rows = [(s * 100 + k, f"https://s{s}.example/{k}", page) for (k, s), (page, _) in made.items()]
+    found = {r.page_id: r.text for r in htmlwrap.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {(k, s): found[s * 100 + k] for k, s in made} == {x: text for x, (_, text) in made.items()}
+    alone = {(k, s): htmlwrap.extract(page, None) for (k, s), (page, _) in made.items() if k == 0}
+    assert alone == {x: made[x][1] for x in alone}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='\"", "<!-", "</script", "<script><p ", "<p class=\"a ", "<b>'<i \"", "</", "<div x=\"'<a y='\""])
+def test_broken_pages_take_time_in_proportion(piece):
+    start = time.monotonic()
+    text = htmlwrap.extract("<article><p>before</p></article>" + piece * (1_000_000 // len(piece)), None)
+    assert time.monotonic() - start < 15 and text.startswith("before")
+    start = time.monotonic()
+    htmlwrap.extract("<p>x</p>" + piece * (1_000_000 // len(piece)) + "'\">", None)
+    assert time.monotonic() - start < 15
+
+
+def test_unfinished_tags_end_at_the_next_one():
+    assert htmlwrap.extract("<article><p>one <b two</p><p title=\"it's\">three</p><p class='a>b'>four</p></article>", None) == "one\n\nthree\n\nfour"
