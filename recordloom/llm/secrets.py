@@ -177,7 +177,7 @@ def entropy_spans(text: Column) -> Column:
         return digits & letters & ~word.rlike(ALLOWED) & high_entropy(word, F.when(is_hex, HEX_BITS).otherwise(MIXED_BITS))
 
     kept = F.filter(F.arrays_zip(all_spans.alias("span"), found.alias("word")), lambda p: random_looking(p["word"]))
-    return F.when(text.rlike(r"(?=[A-Za-z+/_=-]*[0-9])" + CANDIDATE), F.transform(kept, lambda p: p["span"])).otherwise(_none())
+    return F.when(text.rlike(CANDIDATE), F.transform(kept, lambda p: p["span"])).otherwise(_none())
 
 
 def _ordered(spans: Column) -> Column:

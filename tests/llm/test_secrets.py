@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import secrets
@@ -148,6 +149,13 @@ def test_a_million_characters_and_many_matches_take_time_in_proportion(spark):
     assert found[2].h == hashlib.md5(" ".join(["[SECRET]"] * 20_000).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["abcdefghij" * 100_000, "=-" * 500_000, "z" * 999_999 + "7", "+/" * 499_999 + " a1"])
+def test_runs_without_a_digit_take_time_in_proportion(spark, text):
+    start = time.monotonic()
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("secret_spans").first()
+    assert time.monotonic() - start < 40 and found.secret_spans == []  # the digit at the end takes a walk through all windows
+
+
 def test_redaction_across_block_edges(spark):
     rng = random.Random(6)
     texts = []
