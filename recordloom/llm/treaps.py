@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from recordloom.llm import textbatch as tb
 from recordloom.llm.common import received, sent_to_tasks, written
 
-CHUNK = 4 << 20  # bytes of text indexed together, one document at least
+CHUNK = 2 << 20  # bytes of text indexed together, one document at least
 BLOCK_TERMS = 1 << 18  # terms of the items that are searched together
-WALKED = 1 << 20  # postings below the treaps that are walked together, one item at least
+WALKED = 1 << 18  # postings below the treaps that are walked together, one item at least
 FAN_IN = 32
 # The weights of the ranking.
 LENGTH_SHARE, LENGTH_SCALE, TERM_SCALE, IMPACT_SCALE, WEIGHT_SCALE = 90, 100, 1000, 1_000_000_000, 1000
@@ -160,7 +160,9 @@ def index(docs: DataFrame, lengths: tuple[int, int] | None = None) -> DataFrame:
             }
             out = {name: pa.array([values.tobytes()], pa.binary()) for name, values in columns.items()}
             out["n_ids"] = pa.array([len(ids)], pa.int32())
+            del rows, hashes, owners, term, owner, order, keys, columns
             yield pa.RecordBatch.from_pydict({name: out[name] for name in (x.split()[0] for x in INDEX_SCHEMA.split(", "))})
+            pa.default_memory_pool().release_unused()
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(texts.mapInArrow(build, INDEX_SCHEMA))
