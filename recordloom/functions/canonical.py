@@ -100,14 +100,34 @@ def nfc_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda ts: ts if ts is None else [t if t is None else unicodedata.normalize("NFC", t) for t in ts])
 
 
+def small_escapes(json: Column) -> Column:
+    """JSON text with escaped control characters in small letters, as the canonical encoding has them; Spark writes capitals."""
+    out = json
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # the others have no letter, or an escape of their own
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(json.contains("\\u00"), out).otherwise(json)
+
+
 def canonical_object(fields: dict[str, Column]) -> Column:
     """JSON text of an object: keys in order, null members left out."""
-    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
+    return small_escapes(F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)])))
+
+
+def canonical_text(text: Column) -> Column:
+    """JSON text of one string."""
+    whole = small_escapes(F.to_json(F.array(text)))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def canonical_set(texts: Column) -> Column:
+    """JSON array of a set of strings: without repeats, in the order of their encoded bytes. Nulls are left out."""
+    encoded = F.transform(F.array_distinct(F.array_compact(texts)), canonical_text)
+    return F.concat(F.lit("["), F.array_join(F.array_sort(encoded), ","), F.lit("]"))
 
 
 def canonical_key(parts: list[Column]) -> Column:
     """JSON array of a primary key's canonical values; null if any part is null."""
-    whole = F.to_json(F.array(*parts))
+    whole = small_escapes(F.to_json(F.array(*parts)))
     for part in parts:
         whole = F.when(part.isNotNull(), whole)
     return whole

@@ -697,7 +697,7 @@ def archive_history(spark: SparkSession, sf: str) -> DataFrame:
 @registered(
     """WITH m AS (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM m) THEN NULL ELSE l_returnflag END AS l_returnflag, CAST(l_quantity AS INT) AS quantity FROM lineitem"""
 )
-def archive_erase(spark: SparkSession, sf: str) -> DataFrame:
+def erased_columns(spark: SparkSession, sf: str) -> DataFrame:
     ids = read(spark, sf, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("root_id"))
     rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("int").alias("quantity"))
     return archive.erased(rows, "l_orderkey", ids, ("l_returnflag",))
@@ -744,7 +744,7 @@ UNION ALL SELECT 'other_size', c.path, found || '/' || size FROM c JOIN l USING
 UNION ALL SELECT 'stray_object', path, '' FROM l WHERE path NOT IN (SELECT path FROM c WHERE route = 'object')
 UNION ALL SELECT 'warm_rows', unit, coalesce(found, 0) || '/' || rows FROM c LEFT JOIN w USING (unit) WHERE route = 'warm' AND coalesce(found, 0) <> rows"""
 )
-def archive_check(spark: SparkSession, sf: str) -> DataFrame:
+def catalog_differences(spark: SparkSession, sf: str) -> DataFrame:
     from recordloom.sources.archive import differences
 
     units, _ = sealed(spark, sf)
@@ -789,7 +789,9 @@ def dense_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return folds.dense_numbers(requests, ["series"], ["c_custkey"], used)
 
 
+from recordloom.plans import cold as _cold  # noqa: E402, F401  registers its queries
 from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
 from recordloom.plans import recovery as _recovery  # noqa: E402, F401  registers its queries
+from recordloom.plans import sealed as _sealed  # noqa: E402, F401  registers its queries
 from recordloom.plans import tables as _tables  # noqa: E402, F401  registers the decision tables
 from recordloom.plans import values as _values  # noqa: E402, F401  registers its queries

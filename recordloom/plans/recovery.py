@@ -182,7 +182,7 @@ def exports_expired(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT o_orderkey AS root_id, CASE WHEN o_orderkey % 6 = 0 THEN 'not_here' WHEN o_custkey % 10 = 1 THEN 'destroyed' WHEN o_custkey % 10 = 2 THEN 'not_here' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'found' ELSE 'unavailable' END AS outcome,
  CASE WHEN o_orderkey % 6 <> 0 THEN 'u' || o_custkey END AS unit FROM orders"""
 )
-def archive_get(spark: SparkSession, sf: str) -> DataFrame:
+def archive_located(spark: SparkSession, sf: str) -> DataFrame:
     """Where each order is answered: destroyed, not in the archive, found in its unit's copy, or unavailable."""
     orders, c = read(spark, sf, "orders"), F.col("c_custkey")
     asked = orders.select(F.col("o_orderkey").alias("root_id"))
