@@ -60,9 +60,9 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, amount = [], 0
         for whole in batches:
-            for piece in tb.pieces(whole, size=max(1, CHUNK // 4)):
+            for piece, own in tb.slices(whole, size=max(1, CHUNK // 4)):
                 held.append(piece)
-                amount += int(tb.utf8(piece.column("text"))[1][-1])
+                amount += own
                 if amount >= CHUNK:
                     yield _counts(held)
                     held, amount = [], 0
@@ -96,7 +96,7 @@ def _counts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows, pair = rows.take(pa.array(order)).combine_chunks(), pair[order]
     table, folded, first, length, owner, hashes, done, size = letters(), [], [], [], [], [], 0, 0
     for batch in rows.to_batches():
-        for piece in tb.pieces(batch):
+        for piece, _ in tb.slices(batch):
             data, at = tb.utf8(piece.column("text"))
             bytes_, starts, ends, doc = tb.word_spans(data, at, table)
             folded.append(bytes_)

@@ -54,7 +54,7 @@ def collection_lengths(docs: DataFrame) -> tuple[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, total = 0, 0
         for whole in batches:
-            for batch in tb.pieces(whole):
+            for batch, _ in tb.slices(whole):
                 data, at = tb.utf8(batch.column("text"))
                 _, starts, _, doc = tb.word_spans(data, at, tb.plain_words())
                 some, total = some + len(np.unique(doc)), total + len(starts)
@@ -114,9 +114,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
         return rows.take(order).combine_chunks()
 
     for batch in batches:
-        for piece in tb.pieces(batch, size=max(1, size // 4)):
+        for piece, own in tb.slices(batch, size=max(1, size // 4)):
             held.append(piece)
-            amount += int(tb.utf8(piece.column("text"))[1][-1])
+            amount += own
             if amount >= size:
                 yield whole()
                 held, amount = [], 0
@@ -135,7 +135,7 @@ def index(docs: DataFrame, lengths: tuple[int, int] | None = None) -> DataFrame:
         for rows in _chunks(batches, CHUNK):
             hashes, owners, done = [], [], 0
             for batch in rows.to_batches():
-                for piece in tb.pieces(batch):
+                for piece, _ in tb.slices(batch):
                     found, doc = _terms_of(piece)
                     hashes.append(found)
                     owners.append((doc + done).astype(np.int32))
