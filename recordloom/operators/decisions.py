@@ -6,7 +6,7 @@ within code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.keys import epoch_of
@@ -315,44 +315,46 @@ def work_failure(kind: Column, attempts: Column, most: Column, effect: Column, o
     )
 
 
-def alignment_step(now: dict, event: dict) -> tuple[dict, str]:
-    """State of a source and the action after one event of its log, in order: a helper of a per-source fold.
+ALIGNMENT = "struct<state:string,action:string,confirmed:boolean,rollback:boolean,stalled_gen:bigint,prior:string>"
 
-    ``now``: state, confirmed, rollback, stalled_gen, blocked_gen, prior; ``event``: kind, gen, matches, row_check.
+
+def alignment(now: Column, event: Column) -> Column:
+    """struct ALIGNMENT of a source after one event: its state and the action.
+
+    ``event``: kind, gen, matches, row_check. A generation counts only if it is above the one the source was stalled at.
     """
-    kind, gen, state = event["kind"], event["gen"], now["state"]
-    larger = now["stalled_gen"] is None or gen > now["stalled_gen"]
-    if kind == "environment_copy":
-        return now | {"state": "aligning", "rollback": False, "confirmed": False}, "clear_and_refetch"
-    if kind == "foreign":
-        if state == "blocked":
-            return now, "alert"
-        return now | {"state": "blocked", "prior": state, "blocked_gen": gen}, "alert_and_hold"
-    if state == "blocked":
-        return _while_blocked(now, event, larger)
-    if kind == "rollback":
-        return now | {"state": "stalled", "rollback": True, "stalled_gen": gen}, "refetch"
-    if state == "stalled":
-        return (now | {"state": "aligning"}, "refetch") if kind == "adopt_epoch" and larger else (now, "keep_refetching")
-    if kind in ("adopt_epoch", "first_contact", "beyond_retention"):
-        return now | {"state": "aligning"}, "refetch"
-    if state == "aligning" and kind == "alignment_done":
-        if now["rollback"] and not larger:
-            return now | {"state": "stalled"}, "alert"
-        return now | {"state": "aligned", "rollback": False}, "watermark_from_echoes"
-    return now, "alert"
-
-
-def _while_blocked(now: dict, event: dict, larger: bool) -> tuple[dict, str]:
-    if event["kind"] == "operator_confirms":
-        return now | {"confirmed": True}, "record_confirmation"
-    if event["kind"] != "primary_response" or not now["confirmed"]:
-        return now, "hold"
-    opened = now | {"confirmed": False}
-    if not event["matches"]:
-        return opened, "alert"
-    if now["prior"] == "stalled" and not larger:
-        return opened | {"state": "stalled"}, "refetch"
-    if event["row_check"] == "failed":
-        return opened | {"state": "stalled", "rollback": True, "stalled_gen": event["gen"]}, "refetch"
-    return opened | {"state": "aligning"}, "row_check_then_refetch"
+    kind, gen, state = event["kind"], event["gen"].cast("long"), now["state"]
+    larger = now["stalled_gen"].isNull() | (gen > now["stalled_gen"])
+    blocked, yes, no = state == "blocked", F.lit(True), F.lit(False)
+
+    def to(action: str, **changed: Column | str) -> Column:
+        new = {k: F.lit(v) if isinstance(v, str) else v for k, v in changed.items()} | {"action": F.lit(action)}
+        return F.struct(*[new.get(f, now[f]).alias(f) for f in ("state", "action", "confirmed", "rollback", "stalled_gen", "prior")]).cast(ALIGNMENT)
+
+    return first_of(
+        (kind == "environment_copy", to("clear_and_refetch", state="aligning", rollback=no, confirmed=no)),
+        ((kind == "foreign") & blocked, to("alert")),
+        (kind == "foreign", to("alert_and_hold", state="blocked", prior=state)),
+        (blocked & (kind == "operator_confirms"), to("record_confirmation", confirmed=yes)),
+        (blocked & ((kind != "primary_response") | ~now["confirmed"]), to("hold")),
+        (blocked & ~event["matches"], to("alert", confirmed=no)),
+        (blocked & (now["prior"] == "stalled") & ~larger, to("refetch", confirmed=no, state="stalled")),
+        (blocked & (event["row_check"] == "failed"), to("refetch", confirmed=no, state="stalled", rollback=yes, stalled_gen=gen)),
+        (blocked, to("row_check_then_refetch", confirmed=no, state="aligning")),
+        (kind == "rollback", to("refetch", state="stalled", rollback=yes, stalled_gen=gen)),
+        ((state == "stalled") & (kind == "adopt_epoch") & larger, to("refetch", state="aligning")),
+        (state == "stalled", to("keep_refetching")),
+        (kind.isin("adopt_epoch", "first_contact", "beyond_retention"), to("refetch", state="aligning")),
+        ((state == "aligning") & (kind == "alignment_done") & now["rollback"] & ~larger, to("alert", state="stalled")),
+        ((state == "aligning") & (kind == "alignment_done"), to("watermark_from_echoes", state="aligned", rollback=no)),
+        otherwise=to("alert"),
+    )
+
+
+def alignment_states(log: DataFrame, order: list[str], state: str = "aligning") -> DataFrame:
+    """``source`` and the fields of ALIGNMENT after each source's log (source, kind, gen, matches, row_check) in order, folded in one
+    aggregation; one source's log is a bounded group."""
+    fields = ["kind", "gen", "matches", "row_check"]
+    events = F.array_sort(F.collect_list(F.struct(*order, *[c for c in fields if c not in order])))
+    start = F.struct(F.lit(state).alias("state"), F.lit("none").alias("action"), F.lit(False).alias("confirmed"), F.lit(False).alias("rollback"), F.lit(None).cast("long").alias("stalled_gen"), F.lit(None).cast("string").alias("prior")).cast(ALIGNMENT)
+    return log.groupBy("source").agg(F.aggregate(events, start, alignment).alias("o")).select("source", "o.*")

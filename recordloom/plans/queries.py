@@ -793,5 +793,6 @@ from recordloom.plans import cold as _cold  # noqa: E402, F401  registers its qu
 from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
 from recordloom.plans import recovery as _recovery  # noqa: E402, F401  registers its queries
 from recordloom.plans import sealed as _sealed  # noqa: E402, F401  registers its queries
+from recordloom.plans import streams as _streams  # noqa: E402, F401  registers its queries
 from recordloom.plans import tables as _tables  # noqa: E402, F401  registers the decision tables
 from recordloom.plans import values as _values  # noqa: E402, F401  registers its queries

@@ -1,4 +1,4 @@
-"""Decision tables as queries: every combination of their inputs, decided in one pass."""
+"""Decision tables as queries: every event is a situation, decided in one pass."""
 
 from __future__ import annotations
 
@@ -7,23 +7,43 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import decisions as d
 from recordloom.plans.queries import registered
+from recordloom.sources.tables import read
 
 
-def grid(spark: SparkSession, **values: list) -> DataFrame:
-    """All combinations of literal values, one column each."""
-    df = spark.range(1).drop("id")
+MOST_DEALT = 4_000  # combinations that events are dealt over; further columns take all their values for each event
+
+
+def dealt(values: dict[str, list]) -> tuple[list[tuple[str, list, int]], list[tuple[str, list]]]:
+    """(columns whose value follows from the event's number, with the stride of each; columns that take every value)."""
+    own, rest, stride = [], [], 1
     for name, options in values.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
-    return df
+        if not rest and stride * len(options) <= MOST_DEALT:
+            own.append((name, options, stride))
+            stride *= len(options)
+        else:
+            rest.append((name, options))
+    return own, rest
+
+
+def grid(spark: SparkSession, sf: str, **values: list) -> DataFrame:
+    """Every event as one situation of a decision table: consecutive events go through all combinations."""
+    own, rest = dealt(values)
+    rows = read(spark, sf, "events").select(*[F.element_at(F.array(*[F.lit(o) for o in options]), (F.expr(f"event_id div {stride}") % len(options) + 1).cast("int")).alias(name) for name, options, stride in own])
+    for name, options in rest:
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
+    return rows
+
+
+def literal(value: object) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value).upper() if isinstance(value, bool) else str(value)
 
 
 def cross(**values: list) -> str:
-    """The same grid in SQL."""
-    parts = []
-    for name, options in values.items():
-        rows = ", ".join("(" + ("NULL" if o is None else f"'{o}'" if isinstance(o, str) else str(o).upper() if isinstance(o, bool) else str(o)) + ")" for o in options)
-        parts.append(f"(VALUES {rows}) AS t_{name}({name})")
-    return " CROSS JOIN ".join(parts)
+    """The same rows in SQL."""
+    own, rest = dealt(values)
+    columns = ", ".join(f"[{', '.join(map(literal, options))}][(event_id // {stride}) % {len(options)} + 1] AS {name}" for name, options, stride in own)
+    more = [f"(VALUES {', '.join(f'({literal(o)})' for o in options)}) AS t_{name}({name})" for name, options in rest]
+    return " CROSS JOIN ".join([f"(SELECT {columns} FROM events) AS t_events", *more])
 
 
 STATES = ["absent", "held", "committed", "consumed", "released", "expired", "rejected", "cancelled"]
@@ -41,7 +61,7 @@ SELECT s, past, c, coalesce(split_part(move, '/', 1), s) AS state, c = 'consume-
  coalesce(split_part(move, '/', 2), 'none') AS resource, move IS NOT NULL AS changed FROM m"""
 )
 def table_reservation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = grid(spark, **RESERVE)
+    rows = grid(spark, sf, **RESERVE)
     return rows.select("*", d.reservation(F.col("s"), F.col("past"), F.col("c")).alias("o")).select("s", "past", "c", "o.*")
 
 
@@ -57,8 +77,7 @@ a AS (SELECT *, CASE WHEN kind = 'purged' THEN 'write' WHEN state IS NULL THEN C
 SELECT state AS before, old, kind, CAST(v AS BIGINT) AS v, CASE WHEN action = 'ignore' THEN state ELSE target END AS after, CAST(CASE WHEN kind = 'purged' THEN 0 WHEN action = 'ignore' THEN version ELSE v END AS BIGINT) AS version, action FROM a"""
 )
 def table_projection_row(spark: SparkSession, sf: str) -> DataFrame:
-    rows = grid(spark, version=[3], old=[True, False], kind=ROWS["kind"], v=[2, 3, 4]).withColumn("state", F.explode(F.array(F.lit(None).cast("string"), *[F.lit(x) for x in ROWS["state"][1:]])))
-    rows = rows.where("NOT (state IS NULL AND old)").withColumn("version", F.when(F.col("state").isNotNull(), F.col("version").cast("long"))).withColumn("v", F.col("v").cast("long"))
+    rows = grid(spark, sf, **ROWS).where("NOT (state IS NULL AND old)").withColumn("version", F.when(F.col("state").isNotNull(), F.col("version").cast("long"))).withColumn("v", F.col("v").cast("long"))
     need = F.when(F.col("state") == "incomplete", F.col("version"))
     out = d.projection_row(F.col("state"), F.col("version"), need, F.col("old"), F.col("kind"), F.col("v"))
     return rows.withColumn("o", out).select(F.col("state").alias("before"), "old", "kind", "v", F.col("o.state").alias("after"), F.col("o.version").alias("version"), F.col("o.action").alias("action"))
@@ -75,7 +94,7 @@ IDENTITY = {"dep": ["d1", "d2"], "own": ["", "i1"], "impl": ["i1", "i2"], "sys":
 def table_source_identity(spark: SparkSession, sf: str) -> DataFrame:
     adopted = F.struct(F.lit("d1").alias("deployment"), F.col("own").alias("impl"), F.lit("s1").alias("system"), F.lit("2.3").alias("epoch"))
     told = F.struct(F.col("dep").alias("deployment"), "impl", F.col("sys").alias("system"), "epoch", F.col("prim").alias("primary"), "purpose")
-    return grid(spark, **IDENTITY).withColumn("decision", d.source_identity(adopted, told))
+    return grid(spark, sf, **IDENTITY).withColumn("decision", d.source_identity(adopted, told))
 
 
 PULLS = {"requested": [0, 5], "unreachable": [True, False], "need": ["", "beyond_retention", "rollback_detected"], "echo": [4, 5, 6]}
@@ -85,7 +104,7 @@ PULLS = {"requested": [0, 5], "unreachable": [True, False], "need": ["", "beyond
     f"""SELECT requested, unreachable, need, echo, CASE WHEN unreachable THEN 'hold' WHEN need = 'beyond_retention' THEN 'realign' WHEN need <> '' OR (requested > 0 AND echo < requested) THEN 'stall' ELSE 'apply_to_echo' END AS outcome FROM {cross(**PULLS)}"""
 )
 def table_pull_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    return grid(spark, **PULLS).withColumn("outcome", d.pull_outcome(*[F.col(c) for c in PULLS]))
+    return grid(spark, sf, **PULLS).withColumn("outcome", d.pull_outcome(*[F.col(c) for c in PULLS]))
 
 
 CHECKS = {"asked": [False, True], "impl": ["i1", "i2"], "epoch": ["1.0", "2.0"], "seq": [7, 9], "there": ["none", "same", "other"]}
@@ -100,7 +119,7 @@ def table_pull_check(spark: SparkSession, sf: str) -> DataFrame:
 
     asked = F.when(F.col("asked"), F.struct("impl", "epoch", "seq"))
     found = F.when(F.col("there") == "same", row("a")).when(F.col("there") == "other", row("b"))
-    return grid(spark, **CHECKS).withColumn("outcome", d.pull_check(F.lit("i1"), F.lit("2.0"), F.lit(8), asked, row("a"), found))
+    return grid(spark, sf, **CHECKS).withColumn("outcome", d.pull_check(F.lit("i1"), F.lit("2.0"), F.lit(8), asked, row("a"), found))
 
 
 EVENTS = "claim before_send lease_lost send_result query_found query_not_found query_unavailable finality_passed registered".split()
@@ -131,7 +150,7 @@ def table_external_command(spark: SparkSession, sf: str) -> DataFrame:
         "abandon": F.when(F.col("abandon") == "later", now + 10).when(F.col("abandon") == "over", now - 10),
     }
     offers = {"dedupe_s": F.lit(0.0), "last_use": F.lit(True), "query": F.col("q"), "processing_s": F.when(F.col("lands"), 90_000.0).otherwise(40_000.0)}
-    rows = grid(spark, **COMMAND)
+    rows = grid(spark, sf, **COMMAND)
     return rows.withColumn("state", d.external_command(facts, F.col("e"), F.col("r"), offers, F.lit(now))["state"])
 
 
@@ -150,7 +169,7 @@ SELECT task, instance, ver, own, cand, op, qual, rev, replay, choice, others, la
 def table_approval(spark: SparkSession, sf: str) -> DataFrame:
     names = {"task": "task", "instance": "instance", "version_matches": "ver", "self": "own", "candidate": "cand", "operation": "op", "qualification": "qual", "revision_matches": "rev", "replay": "replay"}
     out = d.approval({k: F.col(v) for k, v in names.items()}, F.col("choice"), F.col("others"), F.col("last"), F.lit("returned"))
-    return grid(spark, **APPROVAL).withColumn("o", out).select(*APPROVAL, "o.refused", F.col("o.task").alias("task_after"), F.col("o.instance").alias("instance_after"), "o.next_step")
+    return grid(spark, sf, **APPROVAL).withColumn("o", out).select(*APPROVAL, "o.refused", F.col("o.task").alias("task_after"), F.col("o.instance").alias("instance_after"), "o.next_step")
 
 
 ARRIVAL = {
@@ -168,7 +187,7 @@ SELECT shape_ok, audience_is_self, stream_is_source, grant_exists, principal_mat
 )
 def table_arriving_action(spark: SparkSession, sf: str) -> DataFrame:
     out = d.arriving_action({name: F.col(name) for name in ARRIVAL})
-    return grid(spark, **ARRIVAL).withColumn("o", out).select(*ARRIVAL, "o.answer", "o.reason", "o.audit", "o.record")
+    return grid(spark, sf, **ARRIVAL).withColumn("o", out).select(*ARRIVAL, "o.answer", "o.reason", "o.audit", "o.record")
 
 
 WORK = {"kind": ["wait", "permanent", "not_effective", "transient"], "attempts": [1, 3, 5], "effect": ["idempotent", "non_idempotent_external"], "unsure": [True, False], "waited": [0.0, 40.0, 4000.0], "most_wait": [0.0, 1000.0]}
@@ -181,28 +200,32 @@ WORK = {"kind": ["wait", "permanent", "not_effective", "transient"], "attempts":
 )
 def table_work_failure(spark: SparkSession, sf: str) -> DataFrame:
     out = d.work_failure(F.col("kind"), F.col("attempts"), F.lit(5), F.col("effect"), F.col("unsure"), F.col("waited"), F.col("most_wait"))
-    return grid(spark, **WORK).withColumn("o", out).select(*WORK, "o.state", "o.wait_s")
+    return grid(spark, sf, **WORK).withColumn("o", out).select(*WORK, "o.state", "o.wait_s")
+
+
+KINDS = ["first_contact", "alignment_done", "adopt_epoch", "rollback", "foreign", "operator_confirms", "primary_response", "beyond_retention", "environment_copy"]
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE e AS (SELECT user_id AS source, ['"""
+    + "', '".join(KINDS)
+    + """'][event_id * 7919 % 1009 % 9 + 1] AS kind, event_id // 500 AS gen, event_id % 4 <> 0 AS matches, event_id % 3 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT source, CAST(0 AS BIGINT) AS n, 'aligning' AS state, 'none' AS action, false AS confirmed, false AS rollback, CAST(NULL AS BIGINT) AS stalled_gen, CAST(NULL AS VARCHAR) AS prior FROM (SELECT DISTINCT source FROM e)
+  UNION ALL SELECT source, n,
+    CASE b WHEN 'copy' THEN 'aligning' WHEN 'block' THEN 'blocked' WHEN 'still_behind' THEN 'stalled' WHEN 'row_failed' THEN 'stalled' WHEN 'opened' THEN 'aligning' WHEN 'rollback' THEN 'stalled' WHEN 'adopt_stalled' THEN 'aligning' WHEN 'refetch' THEN 'aligning' WHEN 'behind' THEN 'stalled' WHEN 'done' THEN 'aligned' ELSE state END,
+    CASE b WHEN 'copy' THEN 'clear_and_refetch' WHEN 'block' THEN 'alert_and_hold' WHEN 'confirm' THEN 'record_confirmation' WHEN 'hold' THEN 'hold' WHEN 'still_behind' THEN 'refetch' WHEN 'row_failed' THEN 'refetch' WHEN 'opened' THEN 'row_check_then_refetch' WHEN 'rollback' THEN 'refetch'
+      WHEN 'adopt_stalled' THEN 'refetch' WHEN 'keep' THEN 'keep_refetching' WHEN 'refetch' THEN 'refetch' WHEN 'done' THEN 'watermark_from_echoes' ELSE 'alert' END,
+    CASE WHEN b = 'confirm' THEN true WHEN b IN ('copy', 'mismatch', 'still_behind', 'row_failed', 'opened') THEN false ELSE confirmed END,
+    CASE WHEN b IN ('row_failed', 'rollback') THEN true WHEN b IN ('copy', 'done') THEN false ELSE rollback END, CASE WHEN b IN ('row_failed', 'rollback') THEN gen ELSE stalled_gen END, CASE WHEN b = 'block' THEN state ELSE prior END
+  FROM (SELECT e.source, e.n, e.gen, r.state, confirmed, rollback, stalled_gen, prior, CASE WHEN kind = 'environment_copy' THEN 'copy' WHEN kind = 'foreign' THEN CASE WHEN r.state = 'blocked' THEN 'alert' ELSE 'block' END
+    WHEN r.state = 'blocked' THEN CASE WHEN kind = 'operator_confirms' THEN 'confirm' WHEN kind <> 'primary_response' OR NOT confirmed THEN 'hold' WHEN NOT matches THEN 'mismatch' WHEN prior = 'stalled' AND gen <= coalesce(stalled_gen, -1) THEN 'still_behind' WHEN failed THEN 'row_failed' ELSE 'opened' END
+    WHEN kind = 'rollback' THEN 'rollback' WHEN r.state = 'stalled' THEN CASE WHEN kind = 'adopt_epoch' AND gen > coalesce(stalled_gen, -1) THEN 'adopt_stalled' ELSE 'keep' END WHEN kind IN ('adopt_epoch', 'first_contact', 'beyond_retention') THEN 'refetch'
+    WHEN r.state = 'aligning' AND kind = 'alignment_done' THEN CASE WHEN rollback AND gen <= coalesce(stalled_gen, -1) THEN 'behind' ELSE 'done' END ELSE 'alert' END AS b FROM r JOIN e ON e.source = r.source AND e.n = r.n + 1))
+SELECT source, state, action, rollback FROM (SELECT *, max(n) OVER (PARTITION BY source) AS m FROM r) WHERE n = m"""
+)
 def table_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """State of every source after its log of events, folded in order; one source's log is a bounded group."""
-    import pandas as pd
-
-    from recordloom.sources.tables import read
-
-    kinds = ["first_contact", "alignment_done", "adopt_epoch", "rollback", "foreign", "operator_confirms", "primary_response", "beyond_retention", "environment_copy"]
-    e = read(spark, sf, "events")
-    log = e.select(
-        F.col("user_id").alias("source"), F.col("event_id").alias("seq"), F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod(F.xxhash64("event_id"), F.lit(len(kinds))) + 1).cast("int")).alias("kind"),
-        (F.col("event_id") / 500).cast("long").alias("gen"), (F.col("event_id") % 4 != 0).alias("matches"), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("passed").alias("row_check"),
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        now = {"state": "aligning", "confirmed": False, "rollback": False, "stalled_gen": None, "blocked_gen": None, "prior": None}
-        action = "none"
-        for event in pdf.sort_values("seq").to_dict("records"):
-            now, action = d.alignment_step(now, event)
-        return pd.DataFrame([{"source": pdf["source"].iloc[0], "state": now["state"], "action": action, "rollback": now["rollback"]}])
-
-    return log.groupBy("source").applyInPandas(fold, "source long, state string, action string, rollback boolean")
+    """State of every source after its log of events, folded in order."""
+    e, n = read(spark, sf, "events"), F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (n * 7919 % 1009 % len(KINDS) + 1).cast("int"))
+    log = e.select(F.col("user_id").alias("source"), n.alias("seq"), kind.alias("kind"), F.expr("event_id div 500").alias("gen"), (n % 4 != 0).alias("matches"), F.when(n % 3 == 0, "failed").otherwise("passed").alias("row_check"))
+    return d.alignment_states(log, ["seq"]).select("source", "state", "action", "rollback")

@@ -123,6 +123,41 @@ def tripped(inputs: DataFrame, rows: DataFrame) -> DataFrame:
     return inputs.join(known, ["record_id", "version"]).where("digest <> known_digest")
 
 
+def tripwires(pulled: DataFrame, rows: DataFrame, asked: DataFrame, counters: DataFrame, outbox: DataFrame) -> DataFrame:
+    """``trip, stream_partition, id``: everything that shows a rollback of a source, in one pass over each table.
+
+    ``content``: an input (pulled: impl, epoch, partition, record_id, version, digest) of a complete row (rows: impl, epoch,
+    record_id, version, state, digest) of the same instance, epoch and version with another content. ``position``: a
+    consumer's position (asked: partition, impl, epoch, seq, record_id, version, digest) above the partition's counter
+    (counters: partition, impl, epoch, seq). ``identity``: at the position stands another row (outbox: partition, impl, epoch, seq,
+    record_id, version, digest). A position of another instance or epoch, or of a row that retention removed, shows nothing.
+    """
+    complete = rows.where("state = 'complete'").select("impl", "epoch", "record_id", "version", F.col("digest").alias("known"))
+    content = pulled.join(complete, ["impl", "epoch", "record_id", "version"]).where("digest <> known").select(F.lit("content").alias("trip"), F.col("partition").alias("stream_partition"), F.col("record_id").alias("id"))
+    named = asked.join(counters.select("partition", "impl", "epoch", F.col("seq").alias("counter")), ["partition", "impl", "epoch"])
+    beyond = named.where("seq > counter").select(F.lit("position").alias("trip"), F.col("partition").alias("stream_partition"), F.col("record_id").alias("id"))
+    there = outbox.select("partition", "impl", "epoch", "seq", F.struct("record_id", "version", "digest").alias("found"))
+    other = named.where("seq <= counter").join(there, ["partition", "impl", "epoch", "seq"]).where(~F.struct("record_id", "version", "digest").eqNullSafe(F.col("found")))
+    return content.unionByName(beyond).unionByName(other.select(F.lit("identity").alias("trip"), F.col("partition").alias("stream_partition"), F.col("record_id").alias("id"))).distinct()
+
+
+def align_watermark(local: DataFrame, snapshot: DataFrame, answers: DataFrame, generation: int, echoes: DataFrame, quarantine: DataFrame, adopted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, positions, quarantine) of a projection after its source was fetched again; the three move together.
+
+    ``echoes`` (partition, p0) come from a pull before the snapshot: they are the positions (partition, seq) of the new
+    state. Rows follow ``aligned``, but a purged record's tombstone has the version of its partition's P0 (``local`` and
+    ``answers`` have ``partition``). Quarantined subjects (projection, subject, impl, epoch, partition, seq) stay only if they come
+    from the adopted instance and epoch (``adopted``: projection, impl, epoch) after P0: the snapshot brought the others.
+    """
+    purged = answers.join(echoes, "partition", "left").withColumn("version", F.when(F.col("state") == "purged", F.col("p0")).otherwise(F.col("version")))
+    told = purged.withColumn("state", F.when(F.col("state") == "purged", "tombstone").otherwise(F.col("state"))).select("record_id", "state", "version")
+    rows = aligned(local.drop("partition"), snapshot, told, generation)
+    positions = echoes.select("partition", F.col("p0").alias("seq"))
+    after = quarantine.join(adopted, ["projection", "impl", "epoch"], "left_semi").join(echoes, "partition", "left")
+    kept = after.where(F.col("p0").isNull() | (F.col("seq") > F.col("p0"))).select(*quarantine.columns)
+    return rows, positions, kept
+
+
 def pull_page(outbox: DataFrame, positions: DataFrame, echoes: DataFrame, size: int = 500) -> DataFrame:
     """Rows of each partition after the consumer's position and up to its echo, ``size`` at most; ``last`` marks a
     partition's last page, which carries the echo. ``positions``: partition, after; ``echoes``: partition, echo."""

@@ -539,37 +539,35 @@ def test_approval_instances(spark):
     assert got == {"a": ("approved", 2), "r": ("returned", 2), "w": ("running", 2), "n": ("running", 1)}
 
 
-def test_alignment_rules():
+def test_alignment_rules(spark):
     """One log per rule: what a source's state becomes, and the action."""
-    start = {"state": "aligned", "confirmed": False, "rollback": False, "stalled_gen": None, "blocked_gen": None, "prior": None}
-
-    def run(*events, **first):
-        now, action = start | first, None
-        for kind, gen, *rest in events:
-            now, action = decisions.alignment_step(now, {"kind": kind, "gen": gen, "matches": rest[0] if rest else True, "row_check": rest[1] if len(rest) > 1 else "passed"})
-        return now["state"], action
-
-    assert run(("adopt_epoch", 2)) == ("aligning", "refetch")
-    assert run(("adopt_epoch", 2), ("alignment_done", 2)) == ("aligned", "watermark_from_echoes")
-    assert run(("alignment_done", 2)) == ("aligned", "alert")
-    assert run(("rollback", 3)) == ("stalled", "refetch")
-    assert run(("rollback", 3), ("first_contact", 9)) == ("stalled", "keep_refetching")
-    assert run(("rollback", 3), ("adopt_epoch", 3)) == ("stalled", "keep_refetching")
-    assert run(("rollback", 3), ("adopt_epoch", 4)) == ("aligning", "refetch")
-    assert run(("rollback", 3), ("adopt_epoch", 4), ("alignment_done", 3)) == ("stalled", "alert")
-    assert run(("rollback", 3), ("adopt_epoch", 4), ("alignment_done", 4)) == ("aligned", "watermark_from_echoes")
-    assert run(("foreign", 5)) == ("blocked", "alert_and_hold")
-    assert run(("foreign", 5), ("foreign", 5)) == ("blocked", "alert")
-    assert run(("foreign", 5), ("primary_response", 5)) == ("blocked", "hold")
     confirmed = (("foreign", 5), ("operator_confirms", 5))
-    assert run(*confirmed) == ("blocked", "record_confirmation")
-    assert run(*confirmed, ("primary_response", 5, False)) == ("blocked", "alert")
-    assert run(*confirmed, ("primary_response", 5, False), ("primary_response", 5)) == ("blocked", "hold")
-    assert run(*confirmed, ("primary_response", 5)) == ("aligning", "row_check_then_refetch")
-    assert run(*confirmed, ("primary_response", 5, True, "failed")) == ("stalled", "refetch")
-    assert run(("rollback", 3), *confirmed, ("primary_response", 3)) == ("stalled", "refetch")
-    assert run(("rollback", 3), *confirmed, ("primary_response", 4)) == ("aligning", "row_check_then_refetch")
-    assert run(("foreign", 5), ("environment_copy", 5)) == ("aligning", "clear_and_refetch")
+    cases = [
+        ([("adopt_epoch", 2)], ("aligning", "refetch")),
+        ([("adopt_epoch", 2), ("alignment_done", 2)], ("aligned", "watermark_from_echoes")),
+        ([("alignment_done", 2)], ("aligned", "alert")),
+        ([("rollback", 3)], ("stalled", "refetch")),
+        ([("rollback", 3), ("first_contact", 9)], ("stalled", "keep_refetching")),
+        ([("rollback", 3), ("adopt_epoch", 3)], ("stalled", "keep_refetching")),
+        ([("rollback", 3), ("adopt_epoch", 4)], ("aligning", "refetch")),
+        ([("rollback", 3), ("adopt_epoch", 4), ("alignment_done", 3)], ("stalled", "alert")),
+        ([("rollback", 3), ("adopt_epoch", 4), ("alignment_done", 4)], ("aligned", "watermark_from_echoes")),
+        ([("foreign", 5)], ("blocked", "alert_and_hold")),
+        ([("foreign", 5), ("foreign", 5)], ("blocked", "alert")),
+        ([("foreign", 5), ("primary_response", 5)], ("blocked", "hold")),
+        ([*confirmed], ("blocked", "record_confirmation")),
+        ([*confirmed, ("primary_response", 5, False)], ("blocked", "alert")),
+        ([*confirmed, ("primary_response", 5, False), ("primary_response", 5)], ("blocked", "hold")),
+        ([*confirmed, ("primary_response", 5)], ("aligning", "row_check_then_refetch")),
+        ([*confirmed, ("primary_response", 5, True, "failed")], ("stalled", "refetch")),
+        ([("rollback", 3), *confirmed, ("primary_response", 3)], ("stalled", "refetch")),
+        ([("rollback", 3), *confirmed, ("primary_response", 4)], ("aligning", "row_check_then_refetch")),
+        ([("foreign", 5), ("environment_copy", 5)], ("aligning", "clear_and_refetch")),
+    ]
+    rows = [(c, n, kind, gen, rest[0] if rest else True, rest[1] if len(rest) > 1 else "passed") for c, (log, _) in enumerate(cases) for n, (kind, gen, *rest) in enumerate(log)]
+    log = spark.createDataFrame(rows, "source int, n int, kind string, gen long, matches boolean, row_check string")
+    got = {r.source: (r.state, r.action) for r in decisions.alignment_states(log, ["n"], "aligned").collect()}
+    assert [got[c] for c in range(len(cases))] == [want for _, want in cases]
 
 
 def test_canonical_values_have_an_inverse_and_refusals(spark):
