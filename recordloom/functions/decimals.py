@@ -56,13 +56,12 @@ def allocate(rows: DataFrame, group: list[str], total: str, weight: str, order:
     """Split each group's ``total`` (whole minor units, the same in its rows) by ``weight`` into whole units.
 
     Every row gets the floor of its share of the magnitude; the units left go to the largest remainders, earlier rows
-    (``order``) first on ties; a negative total is split by its magnitude. Groups whose weights sum to zero get null; a negative
-    weight fails the job. Parts sum to the total exactly.
+    (``order``) first on ties; a negative total is split by its magnitude. Groups whose weights sum to zero, or
+    that hold a negative weight, can't be split and get null. Parts sum to the total exactly.
     """
     by = Window.partitionBy(*group)
     size, share = F.abs(F.col(total)).cast(WIDE), F.col(weight).cast(WIDE)
-    share = F.when(share < 0, F.raise_error(F.lit("a weight is negative")).cast(WIDE)).otherwise(share)
-    rows = rows.withColumn("_sum", F.sum(share).over(by)).withColumn("_product", size * share)
+    rows = rows.withColumn("_sum", F.when(F.min(share).over(by) >= 0, F.sum(share).over(by))).withColumn("_product", size * share)
     whole = ((F.col("_product") - F.col("_product") % F.col("_sum")) / F.col("_sum")).cast("long")
     rows = rows.withColumn("_base", F.when(F.col("_sum") > 0, whole)).withColumn("_rest", F.when(F.col("_sum") > 0, F.col("_product") % F.col("_sum")))
     left = F.abs(F.col(total)) - F.sum("_base").over(by)

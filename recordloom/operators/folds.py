@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, partition: list[str], order: list[str], counters: DataFrame | None = None) -> DataFrame:
+def numbered(rows: DataFrame, partition: list[str], order: list[str], counters: DataFrame | None = None, ranges: int = 0) -> DataFrame:
     """``rows`` with a gap-free ``seq`` in each partition, from the counter's ``last_seq`` on (0 without one).
 
-    A new epoch is a new partition value, so it starts at 1. The window is one sort within partitions of a stream.
+    A new epoch is a new partition value, so it starts at 1. Without ``ranges`` the window is one sort within partitions of a
+    stream, for bounded ones. With it, rows are dealt by that many ranges of partition and order, and each range starts where the
+    ones before it end, so a few large partitions are as many tasks; the dealt rows are kept, since ranges come from a sample.
     """
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")
+    if ranges:
+        from recordloom.sources.tables import checkpointed
+
+        dealt = checkpointed(rows.repartitionByRange(ranges, *partition, *order).withColumn("_part", F.spark_partition_id()))
+        sizes = dealt.groupBy(*partition, "_part").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(*[F.col(c).alias(f"_{c}_of") for c in partition], F.col("_part").alias("_part_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+        same = F.col("_part") == F.col("_part_of")
+        for c in partition:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}_of"))
+        place = (F.row_number().over(Window.partitionBy(*partition, "_part").orderBy(*order)) + F.col("_first")).cast("long")
+        rows = dealt.join(starts, same).withColumn("_place", place).drop("_part", "_part_of", "_first", *[f"_{c}_of" for c in partition])
+    else:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long"))
     if counters is None:
-        return rows.withColumn("seq", place)
+        return rows.withColumnRenamed("_place", "seq")
     joined = rows.join(counters.select(*partition, "last_seq"), partition, "left")
-    return joined.withColumn("seq", place + F.coalesce("last_seq", F.lit(0))).drop("last_seq")
+    return joined.withColumn("seq", F.col("_place") + F.coalesce("last_seq", F.lit(0))).drop("last_seq", "_place")
 
 
 def numbered_in_ranges(rows: DataFrame, order: list[str], start: int = 0, parts: int = 200) -> DataFrame:
@@ -54,6 +69,13 @@ def watermark(marks: DataFrame, keys: list[str], mark: str, alias: str = "waterm
     return marks.groupBy(*keys).agg(F.when(whole, F.min(mark)).alias(alias))
 
 
+def fresh_within(marks: DataFrame, mark: str, days: list[int]) -> DataFrame:
+    """``days, fresh``: whether every partition's mark is at most so many days older than the newest; one aggregation for all."""
+    ends = marks.agg(F.min(mark).alias("_low"), F.max(mark).alias("_high"), F.count_if(F.col(mark).isNull()).alias("_none"))
+    asked = ends.select("*", F.explode(F.array(*[F.lit(d) for d in days])).alias("days"))
+    return asked.select("days", F.coalesce((F.col("_none") == 0) & (F.col("_low") >= F.col("_high") - F.make_dt_interval(F.col("days"))), F.lit(False)).alias("fresh"))
+
+
 def no_older_than(marks: DataFrame, mark: str, at: Column) -> DataFrame:
     """One row ``fresh``: whether every partition's mark reaches ``at``; false without partitions."""
     return marks.agg(F.coalesce(F.bool_and(F.coalesce(F.col(mark) >= at, F.lit(False))), F.lit(False)).alias("fresh"))

@@ -351,7 +351,7 @@ OUTBOX = f"outbox AS (SELECT event_id, CAST(user_id AS VARCHAR) AS record_id, ev
 
 @registered(f"WITH {OUTBOX} SELECT event_id, partition, generation, row_number() OVER (PARTITION BY partition, generation ORDER BY event_id) AS seq FROM outbox")
 def win_epoch_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.numbered(outbox(spark, sf), ["partition", "generation"], ["event_id"]).select("event_id", "partition", "generation", "seq")
+    return folds.numbered(outbox(spark, sf), ["partition", "generation"], ["event_id"], ranges=64).select("event_id", "partition", "generation", "seq")
 
 
 @registered("SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
@@ -790,6 +790,7 @@ def dense_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 from recordloom.plans import cold as _cold  # noqa: E402, F401  registers its queries
+from recordloom.plans import kept as _kept  # noqa: E402, F401  registers its queries
 from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
 from recordloom.plans import recovery as _recovery  # noqa: E402, F401  registers its queries
 from recordloom.plans import sealed as _sealed  # noqa: E402, F401  registers its queries

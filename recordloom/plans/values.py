@@ -100,9 +100,4 @@ def backoff_waits(spark: SparkSession, sf: str) -> DataFrame:
 def marks_fresh(spark: SparkSession, sf: str) -> DataFrame:
     """Whether every user's last event is at most so many days older than the last of all."""
     marks = read(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("mark"))
-    last = marks.agg(F.max("mark")).first()[0]
-    found = None
-    for days in (0, 1, 7, 400):
-        one = folds.no_older_than(marks, "mark", F.lit(last) - F.make_dt_interval(F.lit(days))).select(F.lit(days).alias("days"), "fresh")
-        found = one if found is None else found.unionByName(one)
-    return found
+    return folds.fresh_within(marks, "mark", [0, 1, 7, 400])

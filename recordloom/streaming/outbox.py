@@ -14,6 +14,7 @@ from recordloom.functions.keys import partition_of, subject
 from recordloom.streaming.inbox import MOST_HOPS
 
 PAGE = 500
+# The form of an event's type, and the kinds of events.
 TYPE = r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$"
 KINDS = ("full", "partial", "delete")
 
@@ -62,15 +63,19 @@ def snapshot_page(records: DataFrame, after: str | None, size: int = PAGE) -> Da
     return rows.orderBy("record_id").limit(size + 1)
 
 
+def after_positions(outbox: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """Rows (partition, seq) of each asked partition (partition, after) after a position, ``limit`` at most, with ``after``
+    and ``first``, the partition's first row after it. Numbers have no gap but for what retention took from the start, so the
+    page is a range of them and no rows beyond it are sorted."""
+    kept = outbox.groupBy("partition").agg(F.min("seq").alias("_least"), F.max("seq").alias("_most")).join(asked, "partition").where("_most > after")
+    pages = kept.select("partition", "after", F.greatest(F.col("after") + 1, F.col("_least")).alias("first"))
+    return outbox.join(pages, "partition").where((F.col("seq") >= F.col("first")) & (F.col("seq") < F.col("first") + limit))
+
+
 def read_after(outbox: DataFrame, asked: DataFrame, limit: int = PAGE) -> DataFrame:
     """Rows of each asked partition after a position, ``limit`` at most; ``reset`` where the next row is gone though
     later ones are there. ``asked``: partition, after."""
-    from pyspark.sql import Window
-
-    rows = outbox.join(asked, "partition").where("seq > after")
-    first = F.min("seq").over(Window.partitionBy("partition"))
-    place = F.row_number().over(Window.partitionBy("partition").orderBy("seq"))
-    return rows.withColumn("reset", first > F.col("after") + 1).withColumn("place", place).where(F.col("place") <= limit).drop("place", "after")
+    return after_positions(outbox, asked, limit).withColumn("reset", F.col("first") > F.col("after") + 1).drop("first", "after")
 
 
 def unpublished(outbox: DataFrame) -> DataFrame:

@@ -161,11 +161,10 @@ def align_watermark(local: DataFrame, snapshot: DataFrame, answers: DataFrame, g
 def pull_page(outbox: DataFrame, positions: DataFrame, echoes: DataFrame, size: int = 500) -> DataFrame:
     """Rows of each partition after the consumer's position and up to its echo, ``size`` at most; ``last`` marks a
     partition's last page, which carries the echo. ``positions``: partition, after; ``echoes``: partition, echo."""
-    from pyspark.sql import Window
+    from recordloom.streaming.outbox import after_positions
 
-    rows = outbox.join(positions, "partition").join(echoes, "partition").where("seq > after AND seq <= echo")
-    place = F.row_number().over(Window.partitionBy("partition").orderBy("seq"))
-    return rows.withColumn("place", place).where(F.col("place") <= size).withColumn("last", F.col("seq") == F.col("echo")).drop("place", "after", "echo")
+    rows = after_positions(outbox, positions, size).join(echoes, "partition").where("seq <= echo")
+    return rows.withColumn("last", F.col("seq") == F.col("echo")).drop("first", "after", "echo")
 
 
 def resent(outbox: DataFrame, starts: DataFrame) -> DataFrame:

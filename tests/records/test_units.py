@@ -588,6 +588,34 @@ def test_canonical_booleans_and_lists_stay_json(spark):
 
 
 def test_negative_weights_are_refused(spark):
-    df = spark.createDataFrame([(1, 10, 3), (1, 10, -1)], "g int, total long, w int")
-    with pytest.raises(Exception, match="a weight is negative"):
-        decimals.allocate(df, ["g"], "total", "w", ["w"]).collect()
+    df = spark.createDataFrame([(1, 10, 3), (1, 10, -1), (2, 10, 1), (2, 10, 2)], "g int, total long, w int")
+    got = sorted(((r.g, r.w, r.part) for r in decimals.allocate(df, ["g"], "total", "w", ["w"]).collect()), key=str)
+    assert got == [(1, -1, None), (1, 3, None), (2, 1, 3), (2, 2, 7)]
+
+
+def test_numbers_do_not_depend_on_ranges(spark):
+    rows = spark.range(500).select((F.col("id") % 3).cast("int").alias("p"), F.when(F.col("id") % 5 > 0, F.col("id") * 7 % 499).alias("o"), "id")
+    counters = spark.createDataFrame([(0, 1000), (1, 5)], "p int, last_seq long")
+    plain = sorted((r.id, r.seq) for r in folds.numbered(rows, ["p"], ["o", "id"], counters).collect())
+    for ranges in (1, 7, 40):
+        assert sorted((r.id, r.seq) for r in folds.numbered(rows, ["p"], ["o", "id"], counters, ranges).collect()) == plain
+
+
+def test_pages_are_ranges_of_numbers(spark):
+    from recordloom.streaming import outbox
+
+    rows = spark.createDataFrame([(p, s) for p, low, high in ((0, 5, 20), (1, 1, 3), (2, 1, 2)) for s in range(low, high + 1)], "partition int, seq long")
+    asked = spark.createDataFrame([(0, 2), (1, 1), (2, 2), (3, 0)], "partition int, after long")
+    got = sorted((r.partition, r.seq, r.reset) for r in outbox.read_after(rows, asked, 3).collect())
+    assert got == [(0, 5, True), (0, 6, True), (0, 7, True), (1, 2, False), (1, 3, False)]
+    echoes = spark.createDataFrame([(0, 6), (1, 3), (2, 2)], "partition int, echo long")
+    pulled = sorted((r.partition, r.seq, r["last"]) for r in projection.pull_page(rows, asked, echoes, 3).collect())
+    assert pulled == [(0, 5, False), (0, 6, True), (1, 2, False), (1, 3, True)]
+
+
+def test_fresh_marks_need_every_partition(spark):
+    t = datetime.datetime(2024, 1, 10)
+    marks = spark.createDataFrame([("a", t), ("b", t - datetime.timedelta(days=3))], "p string, mark timestamp")
+    assert {r.days: r.fresh for r in folds.fresh_within(marks, "mark", [0, 3]).collect()} == {0: False, 3: True}
+    assert [r.fresh for r in folds.fresh_within(marks.unionByName(spark.createDataFrame([("c", None)], "p string, mark timestamp")), "mark", [99]).collect()] == [False]
+    assert [r.fresh for r in folds.fresh_within(marks.limit(0), "mark", [1]).collect()] == [False]
