@@ -66,6 +66,21 @@ def headers(event: dict[str, Column]) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 
 
+def received(sent: Column) -> Column:
+    """struct of an event's fields from its ``ce-`` headers: the inverse of ``headers``, with ``problem`` where it has none.
+
+    ``problem``: 'no_id_or_type', or the header that is no integer; numbers without a header are 0.
+    """
+    def text(name: str) -> Column:
+        return F.coalesce(sent[f"ce-{name}"], F.lit(""))
+
+    numbers = {"version": "bigint", "seq": "bigint", "partition": "int", "hops": "int"}
+    bad = [F.when(sent[f"ce-{n}"].isNotNull() & (~sent[f"ce-{n}"].rlike("^[+-]?[0-9]+$") | sent[f"ce-{n}"].try_cast("bigint").isNull()), f"ce-{n}") for n in numbers]
+    problem = F.coalesce(F.when((text("id") == "") | (text("type") == ""), "no_id_or_type"), *bad)
+    texts = [text(n).alias(n) for n in ("id", "type", "source", "subject", "projection", "stream", "epoch", "impl")]
+    return F.struct(*texts, *[F.coalesce(sent[f"ce-{n}"].try_cast("bigint"), F.lit(0).cast("bigint")).try_cast(kind).alias(n) for n, kind in numbers.items()], problem.alias("problem"))
+
+
 def group_key(values: dict[str, Column], at: Column) -> Column:
     """Canonical key of an archive grouping: its declared columns and the UTC month of the anchor."""
     fields = {f"g:{name}": column.cast("string") for name, column in values.items()} | {"period": period(at)}

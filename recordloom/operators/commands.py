@@ -137,3 +137,38 @@ def collapsed(intents: DataFrame, now: Column) -> DataFrame:
     rest = [c for c in intents.columns if c != "collapse_key"]
     top = keyed.groupBy("collapse_key").agg(F.max_by(F.struct(*rest), F.struct("sequence", "id")).alias("t")).select("collapse_key", "t.*")
     return top.select(*intents.columns).unionByName(live.where("collapse_key IS NULL"))
+
+
+def operated(items: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Work items after an operator's commands (id, command: requeue, resolve or hold; verified; reason), with ``refused``.
+
+    ``items``: id, state, pause_reason, attempts, outcome_unknown, result, run_at, finished_at. A dead item without an unknown
+    outcome and one paused for its backlog or for business go back; one paused on an unknown outcome only if the operator
+    verified that it had no effect. Dead and paused items can be resolved, pending and waiting ones held.
+    """
+    told = items.join(asked.select("id", "command", "verified", "reason"), "id", "left")
+    state, why, command = F.col("state"), F.col("pause_reason"), F.col("command")
+    freed = ((state == "dead") & ~F.col("outcome_unknown")) | ((state == "paused") & why.isin("backlog_exceeded", "business_hold")) | ((state == "paused") & (why == "outcome_unknown") & F.col("verified"))
+    new = F.when((command == "requeue") & freed, "pending").when((command == "resolve") & state.isin("dead", "paused"), "resolved").when((command == "hold") & state.isin("pending", "retry_wait"), "paused")
+    told = told.withColumn("_new", new)
+    requeued, resolved, held = F.col("_new") == "pending", F.col("_new") == "resolved", F.col("_new") == "paused"
+    return told.select(
+        "id", F.coalesce("_new", state).alias("state"), F.when(held, "business_hold").when(F.col("_new").isNull(), why).alias("pause_reason"), F.when(requeued, 0).otherwise(F.col("attempts")).alias("attempts"),
+        (F.col("outcome_unknown") & ~F.coalesce(requeued, F.lit(False))).alias("outcome_unknown"), F.when(resolved, F.col("reason")).otherwise(F.col("result")).alias("result"), F.when(requeued, now).otherwise(F.col("run_at")).alias("run_at"),
+        F.when(resolved, now).otherwise(F.col("finished_at")).alias("finished_at"), (command.isNotNull() & F.col("_new").isNull()).alias("refused"),
+    )
+
+
+def run_progress(log: DataFrame) -> DataFrame:
+    """``run, segment, progress, calls, outcome_unknown`` after each run's log (run, at, kind: before_call, call or checkpoint; name, value).
+
+    A checkpoint commits its progress and starts a new segment, whose call results begin empty; of a call the latest
+    result counts; a call that may have been sent leaves the outcome unknown until a result other than 'unknown' comes.
+    """
+    last = log.where("kind = 'checkpoint'").groupBy("run").agg(F.count("*").alias("segment"), F.max_by("value", "at").alias("progress"), F.max("at").alias("_since"))
+    own = log.join(last.select("run", "_since"), "run", "left").where("kind = 'call' AND (_since IS NULL OR at > _since)")
+    newest = own.groupBy("run", "name").agg(F.max_by("value", "at").alias("value")).groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("calls"))
+    sent = log.where("kind = 'before_call' OR (kind = 'call' AND value <> 'unknown')").groupBy("run").agg((F.max_by("kind", "at") == "before_call").alias("outcome_unknown"))
+    every = log.select("run").distinct().join(last.drop("_since"), "run", "left").join(newest, "run", "left").join(sent, "run", "left")
+    none = F.create_map().cast("map<string,string>")
+    return every.select("run", F.coalesce("segment", F.lit(0).cast("long")).alias("segment"), "progress", F.coalesce("calls", none).alias("calls"), F.coalesce("outcome_unknown", F.lit(False)).alias("outcome_unknown"))

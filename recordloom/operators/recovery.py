@@ -19,6 +19,16 @@ def went_back(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(last, "consumer", "left").select("consumer", "generation", "timeline", F.coalesce(F.col("_last") != now, F.lit(False)).alias("back"))
 
 
+
+def settled(recorded: DataFrame, current: DataFrame, answered: DataFrame) -> DataFrame:
+    """``consumer, generation, timeline`` recorded after a redelivery: the current epoch of consumers whose every producer answered
+    (consumer, producer, answered) and of those that start for the first time; others keep what was recorded."""
+    waiting = answered.groupBy("consumer").agg(F.bool_and("answered").alias("_all"))
+    old = recorded.select("consumer", F.struct("generation", "timeline").alias("_old"))
+    told = current.select("consumer", F.struct("generation", "timeline").alias("_now")).join(old, "consumer", "left").join(waiting, "consumer", "left")
+    kept = F.when(F.col("_old").isNull() | F.coalesce("_all", F.lit(True)), F.col("_now")).otherwise(F.col("_old"))
+    return told.select("consumer", kept["generation"].alias("generation"), kept["timeline"].alias("timeline"))
+
 def resend_gaps(answers: DataFrame, subscriptions: DataFrame, progress: DataFrame) -> DataFrame:
     """Partitions that a redelivery could not cover, once for every subscription that reads the stream.
 

@@ -792,6 +792,7 @@ def dense_numbers(spark: SparkSession, sf: str) -> DataFrame:
 from recordloom.plans import cold as _cold  # noqa: E402, F401  registers its queries
 from recordloom.plans import kept as _kept  # noqa: E402, F401  registers its queries
 from recordloom.plans import more as _more  # noqa: E402, F401  registers its queries
+from recordloom.plans import operated as _operated  # noqa: E402, F401  registers its queries
 from recordloom.plans import recovery as _recovery  # noqa: E402, F401  registers its queries
 from recordloom.plans import sealed as _sealed  # noqa: E402, F401  registers its queries
 from recordloom.plans import streams as _streams  # noqa: E402, F401  registers its queries

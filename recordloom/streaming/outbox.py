@@ -63,6 +63,34 @@ def snapshot_page(records: DataFrame, after: str | None, size: int = PAGE) -> Da
     return rows.orderBy("record_id").limit(size + 1)
 
 
+TOKEN = "stream string, after string, impl string, epoch string"
+
+
+def snapshot_token(stream: Column, after: Column, impl: Column, epoch: Column) -> Column:
+    """The token of a snapshot's next page: its place, bound to the source's instance and epoch."""
+    body = F.to_json(F.struct(stream.alias("stream"), after.alias("after"), impl.alias("impl"), epoch.alias("epoch")))
+    plain = F.regexp_replace(F.base64(F.encode(body, "UTF-8")), "[\r\n=]", "")
+    return F.translate(plain, "+/", "-_")
+
+
+def snapshot_asked(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """``asked`` (request, stream, token) with ``after`` and ``problem``: null, 'token' (unreadable), 'other_stream', 'no_stream' (none
+    is declared) or 'changed' (the source's instance or epoch is another, so the snapshot starts again). ``sources``: stream,
+    impl, epoch."""
+    text = F.translate("token", "-_", "+/")
+    good = F.col("token").rlike("^[A-Za-z0-9_-]+$") & (F.length("token") % 4 != 1)
+    whole = F.when(good, F.rpad(text, (F.ceil(F.length("token") / 4) * 4).cast("int"), "="))
+    told = asked.withColumn("_t", F.from_json(F.decode(F.unbase64(whole), "UTF-8"), TOKEN)).withColumn("_has", F.coalesce(F.col("token") != "", F.lit(False)))
+    told = told.withColumn("_bad", F.col("_has") & F.coalesce(F.col("_t.stream") == "", F.lit(True)))
+    told = told.withColumn("_stream", F.when(F.col("_has"), F.col("_t.stream")).otherwise(F.col("stream")))
+    known = told.join(sources.select(F.col("stream").alias("_stream"), F.col("impl").alias("_impl"), F.col("epoch").alias("_epoch")), "_stream", "left")
+    problem = (
+        F.when(F.col("_bad"), "token").when(F.col("_has") & (F.coalesce("stream", F.lit("")) != "") & (F.col("stream") != F.col("_stream")), "other_stream").when(F.col("_impl").isNull(), "no_stream")
+        .when(F.col("_has") & ~(F.col("_t.impl").eqNullSafe(F.col("_impl")) & F.col("_t.epoch").eqNullSafe(F.col("_epoch"))), "changed")
+    )
+    return known.select("request", "stream", "token", F.when(problem.isNull() & F.col("_has"), F.col("_t.after")).alias("after"), problem.alias("problem"))
+
+
 def after_positions(outbox: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     """Rows (partition, seq) of each asked partition (partition, after) after a position, ``limit`` at most, with ``after``
     and ``first``, the partition's first row after it. Numbers have no gap but for what retention took from the start, so the
