@@ -65,9 +65,12 @@ def join_dealt(many: DataFrame, few: DataFrame, key: str, by: str, hot: DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, as in tests on one
-    machine, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where Spark runs on one machine and
+    names none, as in tests."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return (named or tempfile.mkdtemp(prefix="recordloom-")).rstrip("/")
 
 
