@@ -93,18 +93,33 @@ def reservation_fold(spark: SparkSession, sf: str) -> DataFrame:
     return commands.reservation_states(log, ["event_id"])
 
 
-@registered()
+SENT = "claim before_send send_result query_found query_not_found query_unavailable lease_lost finality_passed".split()
+RESULTS = "not_reached maybe_reached accepted succeeded processing".split()
+
+
+@registered(
+    f"""WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS k, event_id AS t, {SENT}[event_id * 7919 % 1009 % 8 + 1] AS e, {RESULTS}[event_id * 104729 % 1013 % 5 + 1] AS r, user_id % 2 = 0 AS q, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+c AS (SELECT k, CAST(0 AS BIGINT) AS n, 'prepared' AS s, '' AS why, CAST(NULL AS BIGINT) AS first_, CAST(NULL AS BIGINT) AS last_, CAST(NULL AS BIGINT) AS us, CAST(NULL AS BIGINT) AS sa FROM (SELECT DISTINCT k FROM e)
+  UNION ALL SELECT k, n, split_part(o, '/', 1), split_part(o, '/', 2), CASE WHEN reached THEN coalesce(first_, t) ELSE first_ END, CASE WHEN reached THEN t ELSE last_ END,
+    CASE WHEN o LIKE 'unknown/%' THEN CASE WHEN s = 'unknown' THEN us ELSE t END END, CASE WHEN o LIKE 'accepted/%' THEN CASE WHEN s = 'accepted' THEN sa ELSE t END END
+  FROM (SELECT *, s = 'sending' AND (e = 'lease_lost' OR (e = 'send_result' AND r <> 'not_reached')) AS reached, CASE WHEN s IN ('succeeded', 'failed', 'rejected') THEN s || '/final' WHEN e = 'claim' AND s IN ('prepared', 'retry_wait') THEN CASE WHEN past THEN 'unknown/past_deadline' ELSE 'sending/claimed' END
+      WHEN e = 'before_send' AND s = 'sending' THEN CASE WHEN past THEN 'unknown/past_deadline' ELSE 'sending/sent' END WHEN e = 'lease_lost' AND s = 'sending' THEN 'unknown/claimant_gone'
+      WHEN e = 'send_result' AND s = 'sending' THEN CASE r WHEN 'not_reached' THEN 'retry_wait/not_processed' WHEN 'maybe_reached' THEN 'unknown/maybe_processed' WHEN 'accepted' THEN 'accepted/accepted' WHEN 'succeeded' THEN 'succeeded/result' ELSE s || '/no_rule' END
+      WHEN e = 'query_found' AND s IN ('unknown', 'accepted') THEN CASE WHEN r IN ('accepted', 'succeeded') THEN r || '/external_record' ELSE s || '/external_not_final' END WHEN e = 'query_unavailable' AND s IN ('unknown', 'accepted') THEN CASE WHEN long_ago THEN 'manual/manual_limit' ELSE s || '/backoff' END
+      WHEN e = 'query_not_found' AND s = 'unknown' THEN CASE WHEN again THEN 'sending/resendable' ELSE 'manual/may_still_land' END WHEN e = 'finality_passed' AND s = 'accepted' THEN CASE WHEN q THEN 'accepted/query' WHEN long_ago THEN 'manual/manual_limit' ELSE 'accepted/waits' END ELSE s || '/no_rule' END AS o
+    FROM (SELECT e.k, e.n, e.t, e.e, e.r, e.q, s, first_, last_, us, sa, coalesce(e.t > coalesce(last_, first_) + 16400, false) AS past, coalesce(e.t <= coalesce(last_, first_) + 16400, false) OR coalesce(e.t - last_ > 100, false) AS again,
+      coalesce(e.t - CASE WHEN s = 'accepted' THEN sa ELSE us END > 86400, false) AS long_ago FROM c JOIN e ON e.k = c.k AND e.n = c.n + 1)))
+SELECT k AS command, s AS state, why, n::INT AS steps FROM (SELECT *, max(n) OVER (PARTITION BY k) AS m FROM c) WHERE n = m"""
+)
 def command_fold(spark: SparkSession, sf: str) -> DataFrame:
     """External commands after their logs: one command for each user and type of event."""
-    names = "claim before_send send_result query_found query_not_found query_unavailable lease_lost finality_passed".split()
-    results = "not_reached maybe_reached accepted succeeded processing".split()
-    e = read(spark, sf, "events")
+    n = F.col("event_id")
 
-    def one(options: list[str], salt: int) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(F.xxhash64("event_id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+    def one(options: list[str], factor: int, prime: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), (n * factor % prime % len(options) + 1).cast("int"))
 
-    log = e.select(
-        F.concat_ws("/", "user_id", "event_type").alias("command"), F.col("event_id").alias("at"), one(names, 1).alias("event"), one(results, 2).alias("result"), F.lit(20_000.0).alias("dedupe_s"),
+    log = read(spark, sf, "events").select(
+        F.concat_ws("/", "user_id", "event_type").alias("command"), n.alias("at"), one(SENT, 7919, 1009).alias("event"), one(RESULTS, 104_729, 1013).alias("result"), F.lit(20_000.0).alias("dedupe_s"),
         F.lit(True).alias("last_use"), (F.col("user_id") % 2 == 0).alias("query"), F.lit(100.0).alias("processing_s"), F.lit(None).cast("double").alias("abandon"),
     )
     return commands.command_states(log, ["at"])
