@@ -54,16 +54,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``size`` bytes of text, one row at least: bounds working memory."""
-    _, at = utf8(batch.column(text))
-    first = 0
-    while first < len(batch):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
-        yield batch.slice(first, last - first)
-        first = last
+    for piece, _ in slices(batch, text, size):
+        yield piece
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Like ``pieces``, with the bytes of text of each slice; tells them by lengths alone, without a copy of the texts."""
+    """``pieces`` with the bytes of text of each; they are told by lengths alone, without a copy of the texts."""
     at = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)))
     first = 0
     while first < len(batch):
