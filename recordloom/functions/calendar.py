@@ -73,27 +73,32 @@ def wall_instant(wall: Column, zone: str) -> Column:
     return F.when(exists, F.coalesce(earlier, naive)).otherwise(after)
 
 
-def slots(spark: SparkSession, expression: str, zone: str, after: str, until: str) -> DataFrame:
-    """``slot, at``: the time table's slots whose instant is in (after, until], both UTC texts."""
+def slots_between(spans: DataFrame, keys: list[str], expression: str, zone: str) -> DataFrame:
+    """``keys, slot, at``: the time table's slots whose instant is in (after, until] of each span (keys, after, until; instants)."""
     t = parse_time_table(expression)
-    span = spark.sql("SELECT 1 AS one").select(F.to_timestamp(F.lit(after)).alias("after"), F.to_timestamp(F.lit(until)).alias("until"))
     days = F.sequence(F.to_date(F.from_utc_timestamp("after", zone)) - F.expr("INTERVAL 1 DAY"), F.to_date(F.from_utc_timestamp("until", zone)) + F.expr("INTERVAL 1 DAY"), F.expr("INTERVAL 1 DAY"))
-    rows = span.select("after", "until", F.explode(days).alias("day")).withColumn("day", F.to_date("day"))
+    rows = spans.select(*keys, "after", "until", F.explode(days).alias("day")).withColumn("day", F.to_date("day"))
     of_month, of_week = F.dayofmonth("day").isin(list(t.days)), (F.dayofweek("day") - 1).isin(list(t.weekdays))
     rows = rows.where(F.month("day").isin(list(t.months)) & ((of_month | of_week) if t.either_day else (of_month & of_week)))
     rows = rows.withColumn("hour", F.explode(F.array(*[F.lit(h) for h in t.hours]))).withColumn("minute", F.explode(F.array(*[F.lit(m) for m in t.minutes])))
     wall = F.make_timestamp(F.year("day"), F.month("day"), F.dayofmonth("day"), F.col("hour"), F.col("minute"), F.lit(0).cast("decimal(8,6)"))
     rows = rows.withColumn("at", wall_instant(wall, zone)).where("at > after AND at <= until")
-    return rows.select(F.format_string("%sT%02d:%02d", F.date_format("day", "yyyy-MM-dd"), "hour", "minute").alias("slot"), "at")
+    return rows.select(*keys, F.format_string("%sT%02d:%02d", F.date_format("day", "yyyy-MM-dd"), "hour", "minute").alias("slot"), "at")
+
+
+def slots(spark: SparkSession, expression: str, zone: str, after: str, until: str) -> DataFrame:
+    """``slot, at``: the slots of one span, both ends UTC texts."""
+    span = spark.sql("SELECT 1 AS one").select(F.to_timestamp(F.lit(after)).alias("after"), F.to_timestamp(F.lit(until)).alias("until"))
+    return slots_between(span, [], expression, zone)
 
 
-def backfill(due: DataFrame, policy: str, now: str, most: int = MOST_BACKLOG) -> DataFrame:
-    """``slot, at, state``: due slots by policy: ``latest`` keeps the last, ``all`` pauses those beyond ``most``,
-    ``none`` keeps those at most a minute old. A time table's due slots are few, so one window orders them."""
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at", "slot"))
+def backfill(due: DataFrame, policy: str, now: str, most: int = MOST_BACKLOG, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, slot, at, state``: due slots of each time table (``by``) by policy: ``latest`` keeps the last, ``all`` pauses those
+    beyond ``most``, ``none`` keeps those at most a minute old. A time table's due slots are few, so one window orders them."""
+    own = Window.partitionBy(*(by or [F.lit(1)]))
     if policy == "all":
-        return due.withColumn("state", F.when(place <= most, "pending").otherwise("paused"))
+        return due.withColumn("state", F.when(F.row_number().over(own.orderBy("at", "slot")) <= most, "pending").otherwise("paused"))
     if policy == "none":
         return due.where(F.to_timestamp(F.lit(now)) - F.col("at") <= F.expr("INTERVAL 1 MINUTE")).withColumn("state", F.lit("pending"))
-    last = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("at").desc(), F.col("slot").desc()))
-    return due.withColumn("place", last).where("place = 1").select("slot", "at", F.lit("pending").alias("state"))
+    last = F.row_number().over(own.orderBy(F.col("at").desc(), F.col("slot").desc()))
+    return due.withColumn("place", last).where("place = 1").select(*by, "slot", "at", F.lit("pending").alias("state"))

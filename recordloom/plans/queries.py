@@ -578,14 +578,19 @@ def date_business(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    """WITH d AS (SELECT DATE '2024-01-01' + CAST(i AS INT) AS day FROM range(-1, 33) r(i)), s AS (SELECT day, h, m, day + to_hours(h) + to_minutes(m) AS wall FROM d, (VALUES (6), (18)) a(h), (VALUES (0), (15), (30), (45)) b(m)
- WHERE dayofmonth(day) IN (1, 11, 21, 31) OR dayofweek(day) = 0)
-SELECT strftime(wall, '%Y-%m-%dT%H:%M') AS slot, strftime(wall - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS at, CASE WHEN row_number() OVER (ORDER BY wall) <= 24 THEN 'pending' ELSE 'paused' END AS state
-FROM s WHERE wall - INTERVAL 9 HOUR > TIMESTAMP '2024-01-01 00:00:00' AND wall - INTERVAL 9 HOUR <= TIMESTAMP '2024-01-31 12:00:00'"""
+    """WITH d AS (SELECT DATE '2024-01-01' + CAST(i AS INT) AS day FROM range(-1, 45) r(i)), s AS (SELECT day, h, m, day + to_hours(h) + to_minutes(m) AS wall FROM d, (VALUES (6), (18)) a(h), (VALUES (0), (15), (30), (45)) b(m)
+ WHERE dayofmonth(day) IN (1, 11, 21, 31) OR dayofweek(day) = 0), j AS (SELECT s_suppkey AS job, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 10 AS INT)) AS after, TIMESTAMP '2024-01-25 12:00:00' + to_hours(s_suppkey % 50) AS until FROM supplier)
+SELECT job, strftime(wall, '%Y-%m-%dT%H:%M') AS slot, strftime(wall - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS at, CASE WHEN row_number() OVER (PARTITION BY job ORDER BY wall) <= 24 THEN 'pending' ELSE 'paused' END AS state
+FROM s JOIN j ON wall - INTERVAL 9 HOUR > after AND wall - INTERVAL 9 HOUR <= until"""
 )
 def cron_slots(spark: SparkSession, sf: str) -> DataFrame:
-    due = calendar.slots(spark, "*/15 6,18 1,11,21,31 * 7", "Asia/Tokyo", "2024-01-01 00:00:00", "2024-01-31 12:00:00")
-    return calendar.backfill(due, "all", "2024-01-31 12:00:00").select("slot", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "state")
+    """Due slots of a job for each supplier, each with its own span since its last run."""
+    k = F.col("s_suppkey")
+    after = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval((k % 10).cast("int"))
+    until = F.to_timestamp(F.lit("2024-01-25 12:00:00")) + F.make_dt_interval(F.lit(0), (k % 50).cast("int"))
+    spans = read(spark, sf, "supplier").select(k.alias("job"), after.alias("after"), until.alias("until"))
+    due = calendar.slots_between(spans, ["job"], "*/15 6,18 1,11,21,31 * 7", "Asia/Tokyo")
+    return calendar.backfill(due, "all", "2024-01-31 12:00:00", by=("job",)).select("job", "slot", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "state")
 
 
 # --- projections ------------------------------------------------------------------------------------------------
