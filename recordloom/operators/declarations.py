@@ -15,11 +15,12 @@ KEY = r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$"
 DIMENSIONS = ("value_set", "org_tree", "principal", "amount")
 PUSHDOWNS = ("local_column", "local_projection", "not_pushdownable")
 CLASSES = ("ordinary", "restricted", "secret")
-QUERY_USES = ("filter", "sort", "group", "search")
+QUERY_USES = ("filter", "sort", "group", "aggregate")
 RISKS = ("low", "high")
-SIDE_EFFECTS = ("external_call", "message", "payment", "security_change")
+SIDE_EFFECTS = ("business_write", "external_command", "job_or_subscription", "file_capability", "security_change", "notification")
 STRICT_PURPOSES = ("read", "special_read", "export")
-PURPOSES = ("create", "export", "manage", "read", "special_read", "update")
+PURPOSES = ("read", "special_read", "export", "action", "create", "manage")
+PATHS = ("default", "strict_acceptance", "strict_barrier")
 
 
 def _rows(rows: DataFrame, subject: Column, rules: dict[str, Column]) -> DataFrame:
@@ -36,25 +37,26 @@ def problems(resources: DataFrame, dimensions: DataFrame, fields: DataFrame, ope
     """``subject, problem``: everything wrong with declarations, once each.
 
     ``resources``: type, view_operation; ``dimensions``: type, name, kind, column, currency_column, pushdown, watermark;
-    ``fields``: type, name, class, read_key, queryable (array); ``operations``: key, resource_type, purpose, risk_class,
-    side_effects (array), strict_audit, impersonation, tightening_only. Nulls are empty.
+    ``fields``: type, name, class, read_key, queryable (array); ``operations``: key, resource_type, purpose, minimum_path,
+    risk_class, side_effects (array), strict_audit, impersonation, tightening_only. Nulls are empty.
     """
     kind, effects = F.col("kind"), F.coalesce(F.col("side_effects"), F.array().cast("array<string>"))
     place = F.concat_ws(".", "type", "name")
     action = F.when(F.col("key").startswith(F.concat(F.col("resource_type"), F.lit("."))), F.substring("key", F.length("resource_type") + 2, F.length("key")))
+    dimension = (  # a dimension's first problem only
+        F.when(~F.coalesce(kind.isin(*DIMENSIONS), F.lit(False)), "dimension_kind").when(_missing("column"), "no_column").when((kind == "amount") & _missing("currency_column"), "no_currency")
+        .when(~_missing("pushdown") & ~F.col("pushdown").isin(*PUSHDOWNS), "pushdown").when((F.col("pushdown") == "local_projection") & _missing("watermark"), "no_watermark")
+    )
     found = [
         _rows(resources, F.col("type"), {"not_a_key": ~F.coalesce(F.col("type").rlike(KEY), F.lit(False))}),
-        _rows(dimensions, place, {
-            "dimension_kind": ~F.coalesce(kind.isin(*DIMENSIONS), F.lit(False)), "no_column": kind.isin(*DIMENSIONS) & _missing("column"), "no_currency": (kind == "amount") & ~_missing("column") & _missing("currency_column"),
-            "pushdown": ~_missing("pushdown") & ~F.col("pushdown").isin(*PUSHDOWNS), "no_watermark": (F.col("pushdown") == "local_projection") & _missing("watermark"),
-        }),
+        _rows(dimensions.withColumn("_why", dimension), place, {name: F.col("_why") == name for name in ("dimension_kind", "no_column", "no_currency", "pushdown", "no_watermark")}),
         _rows(fields, place, {
             "field_class": ~F.coalesce(F.col("class").isin(*CLASSES), F.lit(False)), "no_read_key": (F.col("class") == "restricted") & _missing("read_key"),
             "query_use": F.exists(F.coalesce(F.col("queryable"), F.array().cast("array<string>")), lambda q: ~q.isin(*QUERY_USES)),
         }),
         _rows(operations, F.col("key"), {
             "not_a_key": ~F.coalesce(F.col("key").rlike(KEY), F.lit(False)), "not_one_action": action.isNull() | (action == "") | action.contains("."), "risk_class": ~F.coalesce(F.col("risk_class").isin(*RISKS), F.lit(False)),
-            "purpose": ~F.coalesce(F.col("purpose").isin(*PURPOSES), F.lit(False)), "side_effect": F.exists(effects, lambda e: ~e.isin(*SIDE_EFFECTS)), "strict_audit": F.col("strict_audit") & ~F.col("purpose").isin(*STRICT_PURPOSES),
+            "purpose": ~F.coalesce(F.col("purpose").isin(*PURPOSES), F.lit(False)), "minimum_path": ~_missing("minimum_path") & ~F.col("minimum_path").isin(*PATHS), "side_effect": F.exists(effects, lambda e: ~e.isin(*SIDE_EFFECTS)), "strict_audit": F.col("strict_audit") & ~F.col("purpose").isin(*STRICT_PURPOSES),
             "impersonation": F.col("impersonation") & (F.size(effects) > 0), "tightening": F.col("tightening_only") & ~((F.col("purpose") == "manage") & (effects == F.array(F.lit("security_change")))),
         }),
         operations.join(resources.select(F.col("type").alias("resource_type")), "resource_type", "left_anti").select(F.col("key").alias("subject"), F.lit("resource_not_declared").alias("problem")),

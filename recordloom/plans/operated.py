@@ -120,9 +120,9 @@ def snapshot_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @registered(
     """WITH r AS (SELECT 'part' || p_partkey AS t, p_partkey AS k FROM part),
 o AS (SELECT CASE WHEN k % 10 = 4 THEN 'Bad' || k ELSE t || '.view' END AS key, t, k FROM r WHERE k % 6 <> 5 UNION ALL SELECT t || '.view', t, k FROM r WHERE k % 15 = 7 AND k % 6 <> 5 AND k % 10 <> 4)
-SELECT t || '.owner' AS subject, 'dimension_kind' AS problem FROM r WHERE k % 3 = 0 UNION ALL SELECT t || '.price', 'no_currency' FROM r WHERE k % 4 = 0 UNION ALL SELECT t || '.price', 'no_watermark' FROM r WHERE k % 5 = 0
+SELECT t || '.owner' AS subject, 'dimension_kind' AS problem FROM r WHERE k % 3 = 0 UNION ALL SELECT t || '.price', 'no_currency' FROM r WHERE k % 4 = 0 UNION ALL SELECT t || '.price', 'no_watermark' FROM r WHERE k % 5 = 0 AND k % 4 <> 0
 UNION ALL SELECT t || '.cost', 'no_read_key' FROM r WHERE k % 7 = 0 UNION ALL SELECT t || '.cost', 'query_use' FROM r WHERE k % 8 = 0 UNION ALL SELECT t, 'view_operation' FROM r WHERE k % 6 = 5 OR k % 10 = 4
-UNION ALL SELECT DISTINCT key, 'risk_class' FROM o WHERE k % 9 = 0 UNION ALL SELECT DISTINCT key, 'strict_audit' FROM o WHERE k % 11 = 0 UNION ALL SELECT DISTINCT key, 'impersonation' FROM o WHERE k % 13 = 0
+UNION ALL SELECT DISTINCT key, 'risk_class' FROM o WHERE k % 9 = 0 UNION ALL SELECT DISTINCT key, 'minimum_path' FROM o WHERE k % 17 = 0 UNION ALL SELECT DISTINCT key, 'strict_audit' FROM o WHERE k % 11 = 0 UNION ALL SELECT DISTINCT key, 'impersonation' FROM o WHERE k % 13 = 0
 UNION ALL SELECT key, p FROM o, (VALUES ('not_a_key'), ('not_one_action')) v(p) WHERE key LIKE 'Bad%' UNION ALL SELECT key, 'declared_twice' FROM o GROUP BY key HAVING count(*) > 1"""
 )
 def declaration_problems(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +136,7 @@ def declaration_problems(spark: SparkSession, sf: str) -> DataFrame:
     fields = part.select("type", F.lit("cost").alias("name"), F.lit("restricted").alias("class"), F.when(k % 7 != 0, "key").alias("read_key"), F.array(F.when(k % 8 == 0, "guess").otherwise("filter")).alias("queryable"))
     key = F.when(k % 10 == 4, F.concat(F.lit("Bad"), k.cast("string"))).otherwise(F.concat("type", F.lit(".view")))
     one = part.where("p_partkey % 6 <> 5").select(
-        key.alias("key"), F.col("type").alias("resource_type"), F.when(k % 11 == 0, "update").otherwise("read").alias("purpose"), F.when(k % 9 != 0, "low").alias("risk_class"), F.when(k % 13 == 0, F.array(F.lit("message"))).alias("side_effects"),
+        key.alias("key"), F.col("type").alias("resource_type"), F.when(k % 11 == 0, "create").otherwise("read").alias("purpose"), F.when(k % 17 == 0, "short").otherwise("strict_barrier").alias("minimum_path"), F.when(k % 9 != 0, "low").alias("risk_class"), F.when(k % 13 == 0, F.array(F.lit("notification"))).alias("side_effects"),
         (k % 11 == 0).alias("strict_audit"), (k % 13 == 0).alias("impersonation"), F.lit(False).alias("tightening_only"), k,
     )
     operations = one.unionByName(one.where("p_partkey % 15 = 7 AND p_partkey % 10 <> 4")).drop("p_partkey")

@@ -55,7 +55,7 @@ def candidate_digests(spark: SparkSession, sf: str) -> DataFrame:
 DEFINITIONS_SQL = """d AS (SELECT 'shop/' || lower(replace(p_brand, '#', '-')) AS component, 'part-' || p_partkey AS key, * FROM part),
 r AS (SELECT component, key, sha256('be.security.definition' || chr(10) || component || chr(10) || 'resource' || chr(10) || key) AS h,
   replace(replace(component, '/', '.'), '-', '_') || '.definition' AS domain,
-  '{"owner":{"column":"owner_id","kind":"principal","pushdown":"local"}' || CASE WHEN p_size > 20 THEN ',"size":{"column":"size","kind":"number","pushdown":"local"}' ELSE '' END || '}' AS dims,
+  '{"owner":{"column":"owner_id","kind":"principal","pushdown":"local_column"}' || CASE WHEN p_size > 20 THEN ',"size":{"column":"size","kind":"value_set","pushdown":"local_column"}' ELSE '' END || '}' AS dims,
   '{"name":{"class":"ordinary","queryable":["' || array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '","') || '"]},"price":{"class":"restricted"}}' AS fields, p_type FROM d),
 i AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-7' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM r),
 w AS (SELECT component, key, '{"authority":"' || component || '","deployment":"test","dimensions":' || dims || ',"fields":' || fields || ',"id":"' || id || '","record_type":"be.security.resource_definition","revision":{"domain":"' || domain || '","value":"1.2.3"},"schema":"1.0","type":"' || key || '","view_operation":"' || lower(p_type) || '.view"}' AS raw FROM i),
@@ -68,9 +68,9 @@ def definitions(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part").withColumn("component", F.concat(F.lit("shop/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))).withColumn("key", F.concat(F.lit("part-"), F.col("p_partkey").cast("string")))
 
     def dimension(column: str, kind: str):
-        return records.raw_object({"column": t(F.lit(column)), "kind": t(F.lit(kind)), "pushdown": t(F.lit("local"))})
+        return records.raw_object({"column": t(F.lit(column)), "kind": t(F.lit(kind)), "pushdown": t(F.lit("local_column"))})
 
-    dims = records.raw_object({"owner": dimension("owner_id", "principal"), "size": F.when(F.col("p_size") > 20, dimension("size", "number"))})
+    dims = records.raw_object({"owner": dimension("owner_id", "principal"), "size": F.when(F.col("p_size") > 20, dimension("size", "value_set"))})
     name = records.raw_object({"class": t(F.lit("ordinary")), "queryable": canonical_set(F.split("p_name", " "))})
     fields = records.raw_object({"name": name, "price": records.raw_object({"class": t(F.lit("restricted"))})})
     members = {"dimensions": dims, "fields": fields, "type": t(F.col("key")), "view_operation": t(F.concat(F.lower("p_type"), F.lit(".view")))}
