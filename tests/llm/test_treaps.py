@@ -42,7 +42,7 @@ def found(df):
     return sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("k", [1, 3, 10])
+@pytest.mark.parametrize("k", [1, 10])
 def test_against_brute_force_in_many_chunks(spark, small, monkeypatch, k):
     monkeypatch.setattr(treaps, "CHUNK", 6000)
     monkeypatch.setattr(treaps, "BLOCK_TERMS", 60)
