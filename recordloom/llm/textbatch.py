@@ -66,6 +66,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 19) -> It
         last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield batch.slice(first, last - first), int(at[last] - at[first])
         first = last
+    pa.default_memory_pool().release_unused()  # what a worker that waits for its next task need not hold
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
