@@ -10,13 +10,14 @@ are marked.
 
 Scale. About one row for 28 bytes leaves a task as five numbers, and equal contexts of one batch leave as one
 candidate; texts are shuffled only to cut contexts of different bytes and to take out what is marked, and only
-those concerned. Suffix arrays are built for chunks of bounded size; an anchor with more than GROUP different contexts
-is settled string by string in an aggregation instead, which no single task holds.
+those concerned. Suffix arrays are built for chunks of bounded size; the contexts of an anchor with more than GROUP
+of them are first cut into cells, by the place of the anchor in their strings (WIDTHS), until they form smaller groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import BROADCAST_IDS, of_ids, written
+from recordloom.llm.common import BROADCAST_IDS, hot_keys, join_dealt, of_ids, written
 
 LENGTH = 100  # bytes of a string that counts
 GRAM = 40  # bytes of an anchor
@@ -33,6 +34,7 @@ WINDOW = LENGTH - GRAM + 1  # grams of a string
 PIECE = 1 << 18  # bytes looked into at once; working arrays take about a hundred times as much
 CHUNK = 2000  # contexts suffix-sorted together
 GROUP = 1000  # contexts of one anchor up to which they are sorted in one chunk
+WIDTHS = (16, 4, 1)  # places of the anchor in the strings of one cell, round by round
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -281,8 +283,13 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.select("id", "key", "text").mapInArrow(find, "gram long, context long, id long, key long, place long, again boolean")
 
 
+def lead() -> Column:
+    """The bytes of a context before its anchor."""
+    return F.shiftright("place", 6).bitwiseAND(F.lit(63))
+
+
 def first_string() -> Column:
-    return F.shiftright("place", 12) - F.shiftright("place", 6).bitwiseAND(F.lit(63))
+    return F.shiftright("place", 12) - lead()
 
 
 def behind() -> Column:
@@ -322,7 +329,7 @@ def repeated_spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
     seen = written(seen.select("id", "key", "place", "again", F.when(~F.col("again"), F.col("gram")).alias("gram"), (~F.col("again") & (F.col("size") > group)).alias("large")))
     whole_contexts = seen.where("again").select("id", "key", first_string().alias("start"), behind().alias("end"))
     unsettled = seen.where("NOT again")
-    spots = unsettled.groupBy("id", "key").agg(F.collect_list(F.struct("gram", "large", first_string().alias("start"), behind().alias("end"))).alias("spots"))
+    spots = unsettled.groupBy("id", "key").agg(F.collect_list(F.struct("gram", "large", lead().alias("lead"), first_string().alias("start"), behind().alias("end"))).alias("spots"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -330,17 +337,17 @@ def repeated_spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
                 data, at = tb.utf8(batch.column("text"))
                 raw, spots_ = data.tobytes(), batch.column("spots")
                 each, fields = pc.list_value_length(spots_).to_numpy(), spots_.flatten()
-                gram, large, low, high = (fields.field(x) for x in ("gram", "large", "start", "end"))
+                gram, large, before, low, high = (fields.field(x) for x in ("gram", "large", "lead", "start", "end"))
                 doc = np.repeat(np.arange(len(batch)), each)
                 start, end = (at[doc] + x.to_numpy() for x in (low, high))
                 for k in range(0, len(doc), 4096):
                     some = slice(k, k + 4096)
                     context = pa.array([raw[i:j] for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)], pa.binary())
                     ids, keys = (batch.column(x).take(pa.array(doc[some])) for x in ("id", "key"))
-                    yield pa.RecordBatch.from_pydict({"gram": gram[some], "large": large[some], "id": ids, "key": keys, "start": low[some], "context": context})
+                    yield pa.RecordBatch.from_pydict({"gram": gram[some], "large": large[some], "id": ids, "key": keys, "start": low[some], "lead": before[some], "context": context})
 
     placed = of_ids(long, unsettled.select("id").distinct(), "left_semi", "id").join(spots, ["id", "key"]).dropDuplicates(["id", "key"])
-    contexts = placed.select("id", "key", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, key long, start long, context binary")
+    contexts = placed.select("id", "key", "text", "spots").mapInArrow(cut, "gram long, large boolean, id long, key long, start long, lead long, context binary")
     any_large = not unsettled.where("large").isEmpty()
     contexts = written(contexts) if any_large else contexts
 
@@ -363,10 +370,13 @@ def repeated_spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
         if held:
             yield settle()
 
-    few = contexts.where("NOT large").select("gram", "context", "id", "key", "start").repartition("gram").sortWithinPartitions("gram")
-    marked = few.mapInArrow(sort, "id long, key long, start long, end long").unionByName(whole_contexts)
+    columns = ("gram", "context", "id", "key", "start")
+    few = contexts.where("NOT large").select(*columns)
     if any_large:
-        marked = marked.unionByName(_string_by_string(contexts.where("large")))
+        cells, whole_cells = _cells(contexts.where("large").drop("large"), group)
+        few, whole_contexts = few.unionByName(cells.select(*columns)), whole_contexts.unionByName(whole_cells)
+    marked = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "id long, key long, start long, end long")
+    marked = marked.unionByName(whole_contexts)
     marked = marked.unionByName(copies.select("id", "key", F.lit(0).cast("long").alias("start"), F.lit((1 << 62)).alias("end")))
     return marked.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
@@ -422,31 +432,52 @@ def deduplicate(docs: DataFrame, group: int = GROUP) -> DataFrame:
     return touched.unionByName(whole).select(F.when(F.col("id") != LOWEST, F.col("id")).alias("doc_id"), "kept", "removed", "n_bytes")
 
 
-def _string_by_string(contexts: DataFrame) -> DataFrame:
-    """``id, key, start, end`` of repeated strings of large groups: every string's first place by aggregation."""
+def _cells(contexts: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Of the contexts of large groups: parts that are still to be sorted, in groups of up to ``group`` by ``gram``, and
+    ``id, key, start, end`` of parts that repeat as a whole.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, inverse = power_tables(2 * LENGTH)
-        for batch in batches:
-            a, b, i, o, p = [], [], [], [], []
-            for context, doc, key, start in zip(*(batch.column(x).to_pylist() for x in ("context", "id", "key", "start")), strict=True):
-                data = np.frombuffer(context, np.uint8)
-                if len(data) < LENGTH:
-                    continue
-                place = np.arange(len(data) - LENGTH + 1)
-                sums = prefix_hashes(data, powers)
-                a.append(span_hashes(sums, inverse, place, place + LENGTH))
-                sums = prefix_hashes(data[::-1] ^ np.uint8(0x5A), powers)
-                b.append(span_hashes(sums, inverse, len(data) - LENGTH - place, len(data) - place))
-                i.append(np.full(len(place), doc, np.int64))
-                o.append(np.full(len(place), key, np.int64))
-                p.append(place + start)
-            columns = [np.concatenate(x).astype(kind) if x else np.zeros(0, kind) for x, kind in ((a, np.uint64), (b, np.uint64), (i, np.int64), (o, np.int64), (p, np.int64))]
-            yield pa.RecordBatch.from_pydict({n: pa.array(c.view(np.int64)) for n, c in zip(("a", "b", "id", "key", "start"), columns, strict=True)})
-
-    schema = "a long, b long, id long, key long, start long"
-    strings = written(contexts.select("context", "id", "key", "start").mapInArrow(split, schema).distinct())
-    least = strings.groupBy("a", "b").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = strings.groupBy("a", "b", "id", "key").agg(F.min("start").alias("own"))
-    later = strings.join(least, ["a", "b"]).join(own, ["a", "b", "id", "key"]).where("id <> least OR start <> own")
-    return later.select("id", "key", "start", (F.col("start") + LENGTH).alias("end"))
+    Equal strings have their anchor at the same place, so a cell takes the strings with the anchor at one of ``width``
+    successive places. All of them hold the bytes that the first and the last such string share around the anchor: a
+    context gives each cell one part, and parts that differ in these bytes share no string. What is still a large group meets
+    smaller cells; in those of one place a part is one string. Aggregations that combine before the shuffle decide; of the rows,
+    only those of one part within one text need to meet.
+    """
+    few, whole = [], []
+    for width in WIDTHS:
+        parts = written(_parts(contexts, width))
+        least = written(parts.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("size")))
+        told = join_dealt(parts, least.drop("size"), "digest", "id", hot_keys(least, "digest"))
+        own = F.min("start").over(Window.partitionBy("digest", "id", "key"))
+        told = written(told.withColumn("again", (F.col("id") != F.col("least")) | (F.col("start") != own)).drop("least"))
+        whole.append(told.where("again").select("id", "key", "start", (F.col("start") + F.octet_length("context")).alias("end")))
+        if width == 1:
+            break
+        firsts = told.where("NOT again").drop("again")
+        sizes = firsts.groupBy("gram").agg(F.count("*").alias("size"), (F.min("digest") < F.max("digest")).alias("open"))
+        sizes = written(sizes.where("open").drop("open"))
+        large = sizes.where(F.col("size") > group).select("gram")
+        few.append(of_ids(firsts, large, "left_anti", "gram").join(sizes.select("gram"), "gram"))
+        contexts = of_ids(firsts, large, "left_semi", "gram").drop("digest")
+        if contexts.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, few), reduce(DataFrame.unionByName, whole)
+
+
+def _parts(contexts: DataFrame, width: int) -> DataFrame:
+    """``gram, id, key, start, lead, context, digest`` of the parts of contexts in cells of ``width`` places; gram now stands for the
+    cell and the bytes that all its strings hold, digest for the part."""
+    least = F.col("lead") - (F.octet_length("context") - LENGTH)  # bytes before the anchor in the last string
+    cell = F.explode(F.sequence(F.floor(least / width), F.floor(F.col("lead") / width))).alias("cell")
+    low, high = F.col("cell") * width, F.least((F.col("cell") + 1) * width, F.lit(WINDOW)) - 1
+    found = contexts.select("*", cell, least.alias("least"))
+    first, last = F.least(high, "lead"), F.greatest(low, "least")
+
+    def cut(begin: Column, end: Column) -> Column:
+        """Bytes from ``begin`` before the anchor to the end of the string with ``end`` before it."""
+        return F.col("context").substr((F.col("lead") - begin + 1).cast("int"), (begin - end + LENGTH).cast("int"))
+
+    shared = cut(low, high)
+    gram = F.xxhash64("gram", "cell", shared)
+    told = F.concat(F.concat_ws(" ", "gram", "lead", F.lit("")).cast("binary"), "context")
+    out = found.select(gram.alias("gram"), "id", "key", (F.col("start") + F.col("lead") - first).alias("start"), first.alias("lead"), cut(first, last).alias("context"))
+    return out.withColumn("digest", F.md5(told))
