@@ -5,6 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -74,13 +76,34 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="recordloom-")).rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: later readers take the columns they need."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: later readers take the columns they need. ``options`` are
+    the writer's."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Writer's options for rows of some megabytes. Parquet counts on small rows: it looks at the size of a row group after 100 of
+#: them at the earliest, and a reader holds a whole row group at once.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+BATCH_BYTES = 4 << 20  # one row at least
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs within hands rows to Python in batches of about ``size`` bytes and no longer of 64 MB, which every task holds
+    outside of the JVM's heap (twice while they grow) and again in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext

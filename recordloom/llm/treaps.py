@@ -11,7 +11,9 @@ splits the interval in two. Intervals of many items and of one depth are walked
 
 Scale. Two scans of the texts (lengths of the collection, then the index), and one scan of the index for each block of
 items, whose terms travel to the tasks (BLOCK_TERMS at most). Texts and postings are never shuffled: what leaves a task
-is a document frequency for each term of the block and k rows for each item, which meet in a tree of merges.
+is a document frequency for each term of the block and k rows for each item, which meet in a tree of merges. A task holds
+some megabytes of texts and a chunk of the index at a time, however much it reads: chunks are written in small row groups
+and, as the texts, handed to Python in small batches.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textbatch as tb
-from recordloom.llm.common import received, sent_to_tasks, written
+from recordloom.llm.common import LARGE_ROWS, received, sent_to_tasks, small_batches, written
 
 CHUNK = 2 << 20  # bytes of text indexed together, one document at least
 BLOCK_TERMS = 1 << 18  # terms of the items that are searched together
@@ -60,7 +62,9 @@ def collection_lengths(docs: DataFrame) -> tuple[int, int]:
                 some, total = some + len(np.unique(doc)), total + len(starts)
         yield pa.RecordBatch.from_pydict({"some": pa.array([some], pa.int64()), "total": pa.array([total], pa.int64())})
 
-    row = docs.select("text").where("text IS NOT NULL").mapInArrow(count, "some long, total long").agg(F.sum("some").alias("some"), F.sum("total").alias("total")).first()
+    counted = docs.select("text").where("text IS NOT NULL").mapInArrow(count, "some long, total long").agg(F.sum("some").alias("some"), F.sum("total").alias("total"))
+    with small_batches(docs.sparkSession):
+        row = counted.first()
     return row.some or 0, row.total or 0
 
 
@@ -165,7 +169,8 @@ def index(docs: DataFrame, lengths: tuple[int, int] | None = None) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(texts.mapInArrow(build, INDEX_SCHEMA))
+    with small_batches(docs.sparkSession):
+        return written(texts.mapInArrow(build, INDEX_SCHEMA), **LARGE_ROWS)
 
 
 @dataclass
@@ -379,12 +384,13 @@ def ranked(treaps: DataFrame, items: DataFrame, documents: int, k: int = 10) ->
         wanted.destroy()
         shared.destroy()
 
-    for row in written(item_terms(items)).orderBy("item_id").toLocalIterator():  # a block is held at a time
-        held.append((row.item_id, np.sort(np.array(row.terms, np.int64).view(np.uint64))))
-        if sum(len(x) for _, x in held) >= BLOCK_TERMS:
+    with small_batches(session):
+        for row in written(item_terms(items)).orderBy("item_id").toLocalIterator():  # a block is held at a time
+            held.append((row.item_id, np.sort(np.array(row.terms, np.int64).view(np.uint64))))
+            if sum(len(x) for _, x in held) >= BLOCK_TERMS:
+                search_held()
+        if held:
             search_held()
-    if held:
-        search_held()
     lists = reduce(DataFrame.unionByName, found, session.createDataFrame([], "item_id long, doc_id long, score long, part long"))
     levels = math.ceil(math.log(max(2, lists.select("part").distinct().count()), FAN_IN))
     for level in range(levels - 1, 0, -1):

@@ -2,9 +2,11 @@ import math
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from recordloom.llm import treaps
+from recordloom.llm.common import BATCH_BYTES, small_batches
 from tests.llm.fixtures import SCHEMA, odd_rows, plain_documents, with_clashes
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -116,3 +118,32 @@ def test_empty_tables(spark):
     none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "word")], "item_id long, text string")
     assert treaps.search(none, items).collect() == []
     assert treaps.search(spark.createDataFrame(odd_rows(), SCHEMA), items.limit(0)).collect() == []
+
+
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_a_task_holds_little_of_what_it_reads(spark, monkeypatch):
+    session, before, seen = spark, spark.conf.get(BATCHES), []
+    keep = treaps.written
+    monkeypatch.setattr(treaps, "written", lambda *a, **b: seen.append(session.conf.get(BATCHES)) or keep(*a, **b))
+    docs = spark.range(0, 12, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 120000), x -> hex(x * 12 + id)), ' ') AS text")
+    index = treaps.index(docs)
+    groups = [m.row_group(i) for f in index.inputFiles() if (m := pq.ParquetFile(f.removeprefix("file://")).metadata).num_rows for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 2 and sum(g.total_byte_size for g in groups) > 40 << 20
+    assert max(g.total_byte_size for g in groups) < 32 << 20
+    items = spark.createDataFrame([(1, f"{12 * 70_000 + 7:x}"), (2, f"{12 * 119_999 + 11:x}")], "item_id long, text string")
+    assert [r[:3] for r in found(treaps.ranked(index, items, 12))] == [(1, 1, 7), (2, 1, 11)]
+    assert len(seen) == 3 and set(seen) == {f"{BATCH_BYTES}b"} and spark.conf.get(BATCHES) == before
+
+
+def test_small_batches_end_with_their_block(spark):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"bytes": [b.nbytes]})
+
+    before, rows = spark.conf.get(BATCHES), spark.range(0, 60, 1, 1).selectExpr("repeat('x', 100000) AS t").mapInArrow(sizes, "bytes long")
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 1 << 20):
+        told = [r.bytes for r in rows.collect()]
+        raise ZeroDivisionError
+    assert max(told) < 1200000 and sum(told) > 6000000 and spark.conf.get(BATCHES) == before
