@@ -123,11 +123,26 @@ def candidates_of(tasks: DataFrame, holders: DataFrame, persons: DataFrame) -> D
     """``task, account``: holders of a task's position, without any account of the initiator's person.
 
     ``tasks``: task, position columns, initiator; ``holders``: the same columns, account; ``persons``: account, person.
+    Tasks meet each account of their position once, however often it holds it; so only tasks of several positions can give a
+    pair twice.
     """
     keys = [c for c in holders.columns if c != "account"]
-    who = tasks.join(persons.select(F.col("account").alias("initiator"), F.col("person").alias("own")), "initiator", "left").withColumn("own", F.coalesce("own", "initiator"))
-    found = who.join(holders, keys).join(persons, "account", "left")
-    return found.where(F.coalesce("person", "account") != F.col("own")).select("task", "account").distinct()
+    person = F.coalesce("person", "account")
+    known = persons.groupBy("account").agg(F.min(person).alias("_low"), F.max(person).alias("_high"))
+
+    def told(rows: DataFrame, account: str) -> DataFrame:
+        """The first and the last of the account's persons; it is its own person if it has none."""
+        return rows.join(known.withColumnRenamed("account", account), account, "left").withColumns({c: F.coalesce(c, account) for c in ("_low", "_high")})
+
+    held = told(holders.distinct(), "account").withColumnsRenamed({"_low": "_least", "_high": "_most"})
+    asked = told(tasks.select("task", *keys, "initiator"), "initiator").repartition("task").groupBy("task", *keys).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    asked = asked.withColumn("_positions", F.count("*").over(Window.partitionBy("task")))
+    other = (F.col("_least") != F.col("_high")) | (F.col("_most") != F.col("_low"))  # some person of one side is not one of the other's
+
+    def pairs(some: DataFrame) -> DataFrame:
+        return some.join(held, keys).where(other).select("task", "account")
+
+    return pairs(asked.where("_positions = 1")).unionByName(pairs(asked.where("_positions > 1")).distinct())
 
 
 def collapsed(intents: DataFrame, now: Column) -> DataFrame:

@@ -539,6 +539,44 @@ def test_approval_instances(spark):
     assert got == {"a": ("approved", 2), "r": ("returned", 2), "w": ("running", 2), "n": ("running", 1)}
 
 
+def test_candidates_of_repeated_and_missing_names(spark):
+    from recordloom.operators import commands
+
+    rnd = random.Random(7)
+    pick = lambda prefix, n: rnd.choice([None, *(f"{prefix}{i}" for i in range(n))])
+    for _ in range(3):
+        tasks = [(rnd.choice([None, *range(12)]), pick("e", 2), rnd.choice([None, 0, 1]), pick("a", 7)) for _ in range(30)]
+        holders = [(pick("e", 2), rnd.choice([None, 0, 1]), pick("a", 6)) for _ in range(30)]
+        persons = [(pick("a", 5), pick("p", 2)) for _ in range(7)]
+        of = lambda account: {person or a for a, person in persons if a == account and a} or {account}  # noqa: E731, B023
+        want = {
+            (task, a) for task, e, p, initiator in tasks for e2, p2, a in holders
+            if None not in (e, p) and (e, p) == (e2, p2) and any(x and y and x != y for x in of(a) for y in of(initiator))
+        }
+        got = commands.candidates_of(
+            spark.createDataFrame(tasks, "task int, entity string, position int, initiator string"), spark.createDataFrame(holders, "entity string, position int, account string"), spark.createDataFrame(persons, "account string, person string"),
+        ).collect()
+        assert len(got) == len(want) and {(r.task, r.account) for r in got} == want
+
+
+def joined_rows(plan):
+    """Rows that the joins of a plan that has run made."""
+    name = plan.nodeName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if name.endswith("QueryStage") else None
+    below = [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum(map(joined_rows, below)) + (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0)
+
+
+def test_tasks_meet_each_account_of_a_position_once(spark):
+    from recordloom.operators import commands
+
+    tasks = spark.range(200).selectExpr("id AS task", "0 AS position", "'me' AS initiator")
+    holders = spark.range(6000).selectExpr("0 AS position", "concat('a', id % 3) AS account")
+    found = commands.candidates_of(tasks, holders, spark.createDataFrame([("a0", "p"), ("me", "p")], "account string, person string"))
+    assert sorted({(r.task, r.account) for r in found.collect()}) == [(t, a) for t in range(200) for a in ("a1", "a2")]
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) < 20_000  # 200 tasks of 6 000 holders: 1 200 000
+
+
 def test_alignment_rules(spark):
     """One log per rule: what a source's state becomes, and the action."""
     confirmed = (("foreign", 5), ("operator_confirms", 5))
